@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +42,25 @@ def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def pieces(n_rows: int, step: int):
     return (slice(i, min(i + step, n_rows)) for i in range(0, n_rows, step))
+
+
+def slices(column: pa.Array, most_bytes: int = 10 << 20):
+    """Slices of a text column of about so many bytes each, one row at least."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+    part = np.cumsum(sizes) // most_bytes
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(sizes) else np.zeros(0, np.int64)
+    return [slice(int(a), int(b)) for a, b in zip(edges, np.r_[edges[1:], len(sizes)], strict=True)]
+
+
+def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, codes, offsets): each text parted at spaces, a word as its place among the distinct ones."""
+    lists = pc.split_pattern(texts, " ")
+    words = lists.flatten().dictionary_encode()
+    offsets = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))] if len(texts) else np.zeros(1, np.int64)
+    return words.dictionary.to_pylist(), np.asarray(words.indices, np.int64), offsets
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[starts[i] : starts[i] + sizes[i]] one after another."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
