@@ -19,7 +19,8 @@ BLOCK = 2048
 
 def _blocks(vectors: DataFrame, n_blocks: int, name: str) -> DataFrame:
     """A row for each block: its ids and vectors side by side."""
-    return vectors.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias(name), "id", "vec")
+    # fresh names, as both sides of a comparison may come from one table
+    return vectors.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias(name), F.col("id").alias(f"{name}_id"), F.col("vec").alias(f"{name}_vec"))
 
 
 def block_pairs(queries: DataFrame, vectors: DataFrame, work, schema: str, n_blocks: int | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def block_pairs(queries: DataFrame, vectors: DataFrame, work, schema: str, n_blo
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        return work((a["id"].to_numpy(), stack(a["vec"])), (b["id"].to_numpy(), stack(b["vec"])))
+        return work((a["qb_id"].to_numpy(), stack(a["qb_vec"])), (b["vb_id"].to_numpy(), stack(b["vb_vec"])))
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(one, schema)
 
@@ -77,14 +78,14 @@ def nearest_reference(targets: DataFrame, references: DataFrame, group: str) ->
     n = max(1, -(-max(references.count(), 1) // BLOCK))
     m = max(1, -(-max(targets.count(), 1) // BLOCK))
     left = _blocks(targets, m, "qb").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = references.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("vb"), F.col(group).cast("bigint").alias("g"), "vec").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = references.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("vb"), F.col(group).cast("bigint").alias("g"), F.col("vec").alias("vb_vec")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["id", "g", "distance"])
-        x, out = np.stack(a["vec"].to_numpy()), []
+        x, out = np.stack(a["qb_vec"].to_numpy()), []
         for g, part in b.groupby("g"):
-            out.append(pd.DataFrame({"id": a["id"], "g": g, "distance": (1 - x @ np.stack(part["vec"].to_numpy()).T).min(1)}))
+            out.append(pd.DataFrame({"id": a["qb_id"], "g": g, "distance": (1 - x @ np.stack(part["vb_vec"].to_numpy()).T).min(1)}))
         return pd.concat(out)
 
     parts = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(one, "id bigint, g bigint, distance double")

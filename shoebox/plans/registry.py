@@ -33,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
 
 FOLDER = "/lib/1996"
 INSIDE = f"(directory = '{FOLDER}' OR starts_with(directory, '{FOLDER}/'))"
-PEOPLE = ("GERMANY", "FRANCE")
+PEOPLE = ("NATION_3", "NATION_4")
 _NAMED = """named AS (SELECT f.*, c.label, c.person_id, p.name AS person_name FROM face f LEFT JOIN cluster c ON f.cluster_id = c.id LEFT JOIN person p ON c.person_id = p.id)"""
 _KEY = "lower(trim(coalesce(person_name, 'Unbekannt')))"
 
@@ -74,12 +74,12 @@ def image_total(spark, sf_dir):
     return R.image_total(library(spark, sf_dir), folders=[FOLDER])
 
 
-_ALL_PEOPLE = f"SELECT image_id FROM named WHERE review_status = 'active' AND {_KEY} IN ('germany', 'unbekannt') GROUP BY image_id HAVING count(DISTINCT {_KEY}) = 2"
+_ALL_PEOPLE = f"SELECT image_id FROM named WHERE review_status = 'active' AND {_KEY} IN ('nation_3') GROUP BY image_id HAVING count(DISTINCT {_KEY}) = 1"
 
 
 @register("images_by_all_persons", sql_of(_ALL_PEOPLE, _NAMED))
 def images_by_all_persons(spark, sf_dir):
-    return R.images_of_persons(library(spark, sf_dir), [" Germany ", "Unbekannt", "germany"])
+    return R.images_of_persons(library(spark, sf_dir), [" Nation_3 ", "nation_3"])
 
 
 @register("images_by_status", sql_of("SELECT image_id, path FROM matching", _matching(statuses="('active', 'not_face')", more="AND image_id IN (SELECT image_id FROM face WHERE review_status = 'not_face')")))
@@ -151,9 +151,9 @@ def cluster_summary(spark, sf_dir):
     return R.cluster_summaries(library(spark, sf_dir)).where("cluster_id = 8")
 
 
-@register("cluster_search", sql_of("SELECT * FROM summaries WHERE lower(coalesce(person_name, '')) LIKE '%an%' OR lower(coalesce(cluster_label, '')) LIKE '%an%'", _SUMMARIES))
+@register("cluster_search", sql_of("SELECT * FROM summaries WHERE lower(coalesce(person_name, '')) LIKE '%n_1%' OR lower(coalesce(cluster_label, '')) LIKE '%n_1%'", _SUMMARIES))
 def cluster_search(spark, sf_dir):
-    return R.search_clusters(library(spark, sf_dir), "AN")
+    return R.search_clusters(library(spark, sf_dir), "N_1")
 
 
 @register("cluster_previews", sql_of("SELECT cluster_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS face_ids FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS rn FROM face WHERE review_status = 'active' AND cluster_id IS NOT NULL) WHERE rn <= 6 GROUP BY cluster_id"))
@@ -358,3 +358,170 @@ def balanced_sample(spark, sf_dir):
 @register("leave_one_out", f"WITH {_V}, {_CENTRES}, m AS (SELECT cluster_id, count(*) AS n FROM v GROUP BY cluster_id), rest AS (SELECT v.id, v.cluster_id, m.n, v.vec, list_transform(list_zip(c.s, v.vec), lambda z: z[1] - z[2]) AS r FROM v JOIN c USING (cluster_id) JOIN m USING (cluster_id)) SELECT id, cluster_id, CASE WHEN n > 1 THEN round(least(2.0, greatest(0.0, 1 - list_dot_product(vec, r) / sqrt(list_dot_product(r, r)))), 6) END AS distance FROM rest")
 def leave_one_out(spark, sf_dir):
     return vectors.leave_one_out(face_vectors(spark, sf_dir), "cluster_id").withColumn("distance", F.round("distance", 6))
+
+
+def _movable(spark, sf_dir):
+    # small clusters beside the large ones: every fortieth face stands alone
+    v = face_vectors(spark, sf_dir).withColumn("movable", F.expr("id % 40 = 0"))
+    return v.withColumn("cluster_id", F.expr("if(id % 40 = 0, 1000 + id, cluster_id)"))
+
+
+_SMALL = f"base AS ({FACE_VECTORS}), v AS (SELECT id, vec, CASE WHEN id % 40 = 0 THEN 1000 + id ELSE cluster_id END AS cluster_id, id % 40 = 0 AS movable FROM base)"
+
+
+@register("consolidation_choice", f"""WITH {_SMALL}, size AS (SELECT cluster_id, count(*) AS n, bool_and(movable) AS free FROM v GROUP BY cluster_id),
+ d AS (SELECT a.id, a.cluster_id AS source, b.id AS other, b.cluster_id AS target, 1 - {_DOT} AS d FROM v a JOIN v b ON a.id <> b.id WHERE a.movable),
+ k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 12), other) AS rn FROM d),
+ near AS (SELECT k.*, row_number() OVER (PARTITION BY k.id ORDER BY round(d, 12), other) AS vote FROM k JOIN size t ON t.cluster_id = k.target AND t.n >= 3 JOIN size s ON s.cluster_id = k.source AND s.n <= 2 AND s.free WHERE rn <= 15 AND d <= 0.55),
+ per AS (SELECT id, source, target, list_sort(list(d)) AS ds, count(*) FILTER (vote <= 5) AS votes FROM near GROUP BY ALL),
+ tot AS (SELECT *, sum(votes) OVER (PARTITION BY id) AS all_votes FROM per),
+ cand AS (SELECT *, list_avg(ds[1:3]) AS score FROM tot WHERE len(ds) >= CASE WHEN ds[1] <= 0.5 THEN 2 ELSE 3 END),
+ r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, target) AS place, lead(score) OVER (PARTITION BY id ORDER BY score, target) AS next FROM cand),
+ chosen AS (SELECT * FROM r WHERE place = 1 AND votes >= 2 AND votes >= 0.6 * all_votes AND (next IS NULL OR next - score >= 0.03)),
+ merges AS (SELECT c.source, max(c.target) AS target FROM chosen c JOIN size s ON s.cluster_id = c.source GROUP BY c.source, s.n HAVING count(*) = s.n AND min(c.target) = max(c.target))
+ SELECT v.id, coalesce(m.target, v.cluster_id) AS cluster_id FROM v LEFT JOIN merges m ON m.source = v.cluster_id""")
+def consolidation_choice(spark, sf_dir):
+    from shoebox.operators import clustering
+
+    return clustering.consolidate(_movable(spark, sf_dir), 0.5)
+
+
+_PAIRS = f"""pairs AS (SELECT a.id, a.person_id, min(CASE WHEN a.person_id = b.person_id THEN 1 - {_DOT} END) AS pos, min(CASE WHEN a.person_id <> b.person_id THEN 1 - {_DOT} END) AS neg
+ FROM v a JOIN v b ON a.id <> b.id AND b.person_id IS NOT NULL WHERE a.person_id IS NOT NULL GROUP BY ALL)"""
+_GRID = """rates AS (SELECT g / 100.0 AS threshold, person_id, avg(CASE WHEN pos <= g / 100.0 THEN 1.0 ELSE 0.0 END) AS same, avg(CASE WHEN neg > g / 100.0 THEN 1.0 ELSE 0.0 END) AS other FROM pairs, range(101) AS r(g) GROUP BY ALL),
+ grid AS (SELECT threshold, avg(same) AS same, avg(other) AS other FROM rates GROUP BY threshold)"""
+
+
+@register("tune_grid", f"WITH {_V}, {_PAIRS}, {_GRID} SELECT threshold::DOUBLE AS threshold, round(same, 6) AS same, round(other, 6) AS other, round((same + other) / 2, 6) AS balanced FROM grid")
+def tune_grid(spark, sf_dir):
+    from shoebox.operators import tuning
+
+    grid = tuning.tune_grid(tuning.person_distances(face_vectors(spark, sf_dir)))
+    return grid.select("threshold", *(F.round(c, 6).alias(c) for c in ("same", "other", "balanced")))
+
+
+@register("effective_distance", f"WITH {_V}, {_PAIRS} SELECT id, person_id, round(pos, 6) AS pos, round(neg, 6) AS neg FROM pairs")
+def effective_distance(spark, sf_dir):
+    from shoebox.operators import tuning
+
+    return tuning.person_distances(face_vectors(spark, sf_dir)).select("id", "person_id", F.round("pos", 6).alias("pos"), F.round("neg", 6).alias("neg"))
+
+
+def _clip(x: str, low: str = "0", high: str = "1") -> str:
+    return f"least({high}, greatest({low}, {x}))"
+
+
+@register("person_suggestion_scores", f"""WITH {_V}, {_NEAR.replace("round(min(1 - " + _DOT + "), 6)", "min(1 - " + _DOT + ")")}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, person_id) AS rn FROM near),
+ best AS (SELECT id, max(CASE WHEN rn = 1 THEN person_id END) AS person_id, max(CASE WHEN rn = 1 THEN distance END) AS d, max(CASE WHEN rn = 2 THEN distance END) - max(CASE WHEN rn = 1 THEN distance END) AS margin FROM r GROUP BY id),
+ placed AS (SELECT v.cluster_id, best.* FROM v JOIN best USING (id)),
+ per AS (SELECT cluster_id, person_id, count(*) AS support_count, median(d) AS middle, min(d) AS best_distance, median(margin) AS runner_up_margin FROM placed WHERE d <= 0.9 AND margin >= 0.01 GROUP BY ALL),
+ sized AS (SELECT per.*, s.n AS face_count, count(*) FILTER (support_count >= 3) OVER (PARTITION BY cluster_id) AS qualified, row_number() OVER (PARTITION BY cluster_id ORDER BY support_count DESC, person_id) AS place FROM per JOIN (SELECT cluster_id, count(*) AS n FROM v WHERE person_id IS NULL GROUP BY ALL) s USING (cluster_id)),
+ kept AS (SELECT *, qualified > 1 OR support_count / face_count < 0.8 AS peel FROM sized WHERE support_count >= 3), final AS (SELECT *, CASE WHEN peel THEN 1.0 ELSE support_count / face_count END AS ratio FROM kept WHERE peel OR place = 1)
+ SELECT cluster_id, person_id, support_count, (CASE WHEN peel THEN support_count ELSE face_count END)::BIGINT AS face_count, round({_clip("0.40 * ratio + 0.25 * " + _clip("(0.9 - middle) / 0.72") + " + 0.35 * " + _clip("runner_up_margin / 0.16"))}, 6)::DOUBLE AS confidence FROM final""")
+def person_suggestion_scores(spark, sf_dir):
+    from shoebox.operators import tuning
+
+    v = face_vectors(spark, sf_dir)
+    found = tuning.person_suggestions(v.where("person_id is null"), v.where("person_id is not null and status = 'active'").select("person_id", "vec"), 0.9, 0.01)
+    return found.select("cluster_id", "person_id", "support_count", "face_count", F.round("confidence", 6).alias("confidence"))
+
+
+@register("review_suggestion_scores", f"""WITH {_V}, near AS (SELECT a.id, a.cluster_id, b.status, min(1 - {_DOT}) AS d FROM v a, v b WHERE a.person_id IS NULL AND a.status = 'active' AND b.status <> 'active' GROUP BY ALL),
+ per AS (SELECT cluster_id, status, count(*) AS face_count, count(*) FILTER (d <= CASE status WHEN 'unknown_person' THEN 0.405 ELSE 0.3 END) AS support_count, median(d) AS middle FROM near GROUP BY ALL),
+ fits AS (SELECT *, support_count / face_count AS ratio, CASE status WHEN 'unknown_person' THEN 0.405 ELSE 0.3 END AS lim FROM per), scored AS (SELECT *, {_clip("0.62 * ratio + 0.38 * " + _clip("(lim - middle) / greatest(0.12, lim - 0.12)"))} AS confidence FROM fits WHERE (support_count >= 2 AND ratio >= CASE status WHEN 'unknown_person' THEN 0.78 ELSE 0.88 END) OR (face_count = 1 AND middle <= lim - 0.09)),
+ r AS (SELECT *, row_number() OVER w AS place, lead(confidence) OVER w AS next FROM scored WINDOW w AS (PARTITION BY cluster_id ORDER BY confidence DESC, status DESC))
+ SELECT cluster_id, status AS review_status, support_count, face_count, round(confidence, 6)::DOUBLE AS confidence FROM r WHERE place = 1 AND (next IS NULL OR confidence - next >= 0.06)""")
+def review_suggestion_scores(spark, sf_dir):
+    from shoebox.operators import tuning
+
+    v = face_vectors(spark, sf_dir)
+    found = tuning.review_suggestions(v.where("person_id is null and status = 'active'"), v.where("status <> 'active'"), 0.45)
+    return found.select("cluster_id", "review_status", "support_count", "face_count", F.round("confidence", 6).alias("confidence"))
+
+
+@register("prototypes")
+def prototypes(spark, sf_dir):
+    from shoebox.operators import clustering
+
+    return clustering.prototypes(face_vectors(spark, sf_dir))
+
+
+@register("split_clusters")
+def split_clusters(spark, sf_dir):
+    from shoebox.operators import clustering
+
+    v = face_vectors(spark, sf_dir)
+    return clustering.split_clusters(v.withColumn("cluster_id", F.expr("id % 7")).withColumn("movable", F.lit(True)), 0.5)
+
+
+@register("incremental_assign")
+def incremental_assign(spark, sf_dir):
+    from shoebox.operators import clustering
+
+    v = face_vectors(spark, sf_dir).withColumn("group_id", F.coalesce("person_id", F.lit(-1)))
+    return clustering.assign_incrementally(v.where("id % 3 = 0"), v.where("id % 3 > 0").select("group_id", "id", "vec", "cluster_id"), 0.5)
+
+
+@register("similarity_path")
+def similarity_path(spark, sf_dir):
+    from shoebox.operators import clustering
+
+    return clustering.similarity_order(face_vectors(spark, sf_dir))
+
+
+@register("regroup_persons")
+def regroup_persons(spark, sf_dir):
+    from shoebox.operators import clustering
+
+    return clustering.regroup(face_vectors(spark, sf_dir), 0.5)
+
+
+@register("repaired_clusters", sql_of("SELECT DISTINCT f.cluster_id AS id, CASE WHEN p.id IS NOT NULL THEN c.person_id END AS person_id FROM face f LEFT JOIN (SELECT * FROM cluster WHERE id % 3 > 0) c ON c.id = f.cluster_id LEFT JOIN (SELECT * FROM person WHERE id % 5 > 0) p ON p.id = c.person_id WHERE f.cluster_id IS NOT NULL"))
+def repaired_clusters(spark, sf_dir):
+    from shoebox.operators import mutations
+
+    lib = library(spark, sf_dir)
+    return mutations.repair(lib.with_tables(cluster=lib.cluster.where("id % 3 > 0"), person=lib.person.where("id % 5 > 0"))).cluster.select("id", "person_id")
+
+
+@register("missing_path_cleanup", sql_of("SELECT i.id, min(l.path) AS path FROM image i JOIN image_location l ON l.image_id = i.id WHERE l.id % 4 > 0 GROUP BY i.id"))
+def missing_path_cleanup(spark, sf_dir):
+    from shoebox.operators import mutations
+
+    lib = library(spark, sf_dir)
+    lib, _ = mutations.remove_missing_paths(lib, lib.image_location.where("id % 4 = 0").select("path"))
+    return lib.image.select("id", "path")
+
+
+@register("colour_slot", "SELECT c_custkey, CASE WHEN c_name = '' THEN 0 ELSE abs(list_reduce(list_prepend(0::BIGINT, [ascii(x)::BIGINT for x in string_split(c_name, '')]), lambda h, x: ((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)) % 8 + 1 END::INTEGER AS slot FROM customer")
+def colour_slot(spark, sf_dir):
+    from shoebox.functions.text import colour_slot as slot
+
+    return tables(spark, sf_dir, "customer")["customer"].select("c_custkey", slot(F.col("c_name")).alias("slot"))
+
+
+@register("bbox_orientation", "SELECT id, o, CASE o WHEN 3 THEN 1000 - x - w WHEN 6 THEN 800 - y - h WHEN 8 THEN y ELSE x END AS x, CASE o WHEN 3 THEN 800 - y - h WHEN 6 THEN x WHEN 8 THEN 1000 - x - w ELSE y END AS y FROM (SELECT l_orderkey * 8 + l_linenumber AS id, (l_linenumber + 1)::INTEGER AS o, l_quantity AS x, l_tax * 100 AS y, l_discount * 100 AS w, 7.0::DOUBLE AS h FROM lineitem)")
+def bbox_orientation(spark, sf_dir):
+    from shoebox.functions.text import bbox_for_orientation as turned
+
+    li = tables(spark, sf_dir, "lineitem")["lineitem"]
+    o = (F.col("l_linenumber") + 1).cast("int")
+    box = turned(o, F.lit(1000), F.lit(800), F.col("l_quantity"), F.col("l_tax") * 100, F.col("l_discount") * 100, F.lit(7.0))
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), o.alias("o"), box.alias("b")).select("id", "o", "b.x", "b.y")
+
+
+@register("semver_range", "WITH v AS (SELECT p_partkey, p_size % 3 AS a, p_size % 7 AS b, p_partkey % 11 AS c FROM part) SELECT p_partkey FROM v WHERE a * 10000 + b * 100 + c > 305 AND a * 10000 + b * 100 + c <= 20100")
+def semver_range(spark, sf_dir):
+    from shoebox.sources.files import releases_between
+
+    p = tables(spark, sf_dir, "part")["part"]
+    return releases_between(p.select("p_partkey", F.expr("concat('v', p_size % 3, '.', p_size % 7, '.', p_partkey % 11)").alias("version")), "0.3.5", "2.1.0").select("p_partkey")
+
+
+@register("profile_from_threshold", "SELECT t AS threshold, least(0.48, 0.7 * t)::DOUBLE AS anchor, greatest(0.055, 0.09 * t)::DOUBLE AS ambiguity, least(1.0, 1.12 * t)::DOUBLE AS outlier, (1 - t)::DOUBLE AS strictness FROM (SELECT g / 10.0 AS t FROM range(11) AS r(g))")
+def profile_from_threshold(spark, sf_dir):
+    from shoebox.schemas import clustering_profile
+
+    rows = [(g / 10.0, clustering_profile(g / 10.0)) for g in range(11)]
+    keep = ("cluster_person_anchor_threshold", "cluster_ambiguity_margin", "cluster_outlier_threshold", "strictness")
+    return spark.createDataFrame([(t, *(p[k] for k in keep)) for t, p in rows], "threshold double, anchor double, ambiguity double, outlier double, strictness double")
