@@ -60,18 +60,34 @@ def _rounds(batches, hashes_of):
         yield held
 
 
+def _runs(at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(rows, runs): for each row its places, which ascend, as start, length, start, length."""
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])
+    pairs = np.stack([at[new], np.diff(np.r_[new, len(at)])], 1).astype(np.int32)
+    cuts = np.flatnonzero(row[new][1:] != row[new][:-1]) + 1
+    return row[new][np.r_[0, cuts]], [x.ravel() for x in np.split(pairs, cuts)]
+
+
+def _unrun(at: list[int] | None, runs: list[int] | None) -> np.ndarray:
+    """All places of a list and of runs, ascending and once each."""
+    pairs = np.asarray(runs or [], np.int64).reshape(-1, 2)
+    spread = np.repeat(pairs[:, 0] - np.cumsum(pairs[:, 1]) + pairs[:, 1], pairs[:, 1]) + np.arange(int(pairs[:, 1].sum()))
+    return np.unique(np.r_[np.asarray(at or [], np.int64), spread])
+
+
 def _settled(batches, hashes_of, decided):
-    """The rows that a task passes on, as (k, doc_id, rid, at, sure).
+    """The rows that a task passes on, as (k, doc_id, rid, at, runs).
 
-    ``decided(least, most, docs)`` tells which rows the round's own documents settle: they are
-    sure, and go by rid. Of the others, and of each settled hash the first row, k is the hash.
+    ``decided(least, most, docs)`` tells which rows the round's own documents settle: they go
+    by rid, one row of runs for a document. Of the others, and of each settled hash one row, k is the hash.
     """
     for held in _rounds(batches, hashes_of):
         sizes = [len(h) for h, *_ in held]
         hashes = np.concatenate([h for h, *_ in held]).view(np.int64)
         at = np.concatenate([a for _, a, *_ in held])
-        docs = np.repeat(np.array([d for _, _, d, _ in held], np.int64), sizes)
-        rids = np.repeat(np.array([r for *_, r in held], np.int64), sizes)
+        row = np.repeat(np.arange(len(held)), sizes)
+        doc_of, rid_of = np.array([d for _, _, d, _ in held], np.int64), np.array([r for *_, r in held], np.int64)
+        docs = doc_of[row]
         order = np.argsort(hashes)
         ranked = hashes[order]
         starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
@@ -83,51 +99,69 @@ def _settled(batches, hashes_of, decided):
         lead = np.zeros(len(order), bool)
         small = np.flatnonzero(sure & (docs == least[group]))
         lead[small[np.unique(group[small], return_index=True)[1]]] = True
-        for part, k, flag in ((np.flatnonzero(~sure | lead), hashes, False), (np.flatnonzero(sure), rids, True)):
-            for s in range(0, len(part), 1 << 16):
-                i = part[s : s + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(docs[i]), pa.array(rids[i]), pa.array(at[i].astype(np.int32)), pa.array(np.full(len(i), flag))], ["k", "doc_id", "rid", "at", "sure"])
+        asked = np.flatnonzero(~sure | lead)
+        for s in range(0, len(asked), 1 << 16):
+            i = asked[s : s + (1 << 16)]
+            columns = [pa.array(hashes[i]), pa.array(docs[i]), pa.array(rid_of[row[i]]), pa.array(at[i].astype(np.int32)), pa.nulls(len(i), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "doc_id", "rid", "at", "runs"])
+        known = np.flatnonzero(sure)
+        if len(known):
+            rows, runs = _runs(at[known], row[known])
+            columns = [pa.array(rid_of[rows]), pa.array(doc_of[rows]), pa.array(rid_of[rows]), pa.nulls(len(rows), pa.int32()), pa.array(runs, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "doc_id", "rid", "at", "runs"])
 
 
-_SETTLED = "k bigint, doc_id bigint, rid bigint, at int, sure boolean"
+_SETTLED = "k bigint, doc_id bigint, rid bigint, at int, runs array<int>"
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("rid").agg(F.collect_set("at").alias("at"), F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
-    """(rid, anchors array<int>): the places of anchors that another document has too."""
+    """(rid, at, runs): the anchors that another document has too, counted along the cover.
+
+    Where two texts share a doc_id their anchors may count as shared; the windows tell.
+    """
 
     def hashes_of(row):
         h = ts.window_sums(word_hashes((row["text"] or "").encode().split()), ANCHOR)
-        at = np.flatnonzero(_IN_COVER[np.arange(len(h)) % PERIOD])
-        return h[at], at
+        h = h[_IN_COVER[np.arange(len(h)) % PERIOD]]
+        return h, np.arange(len(h))
 
     def run(batches):
         return _settled(batches, hashes_of, lambda least, most, docs: least != most)
 
-    rows = texts.mapInArrow(run, _SETTLED)
-    two = F.expr("sure or min(doc_id) over (partition by k) < max(doc_id) over (partition by k)")
-    return rows.withColumn("two", two).where("two").groupBy("rid").agg(F.collect_set("at").alias("anchors"))
+    rows = texts.mapInArrow(run, _SETTLED).select("k", "rid", "at", "runs")
+    two = F.expr("runs is not null or min(rid) over (partition by k) <> max(rid) over (partition by k)")
+    return _by_row(rows.withColumn("two", two).where("two"))
 
 
 def covered_windows(texts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(rid, starts array<int>): the windows that a smaller doc_id has too. Only windows around shared anchors are hashed.
+    """(rid, at, runs): the windows that a smaller doc_id has too. Only windows around shared anchors are hashed.
 
     ``texts`` has rid, doc_id and the packed text."""
+    cover = np.array(COVER)
 
     def hashes_of(row):
         words = zstandard.decompress(row["packed"]).split()
         sums = ts.window_sums(word_hashes(words), WINDOW)
-        near = ts.covered(np.maximum(np.unique(np.asarray(row["anchors"], np.int64)) - (PERIOD - 1), 0), PERIOD, len(words))
-        at = np.flatnonzero(near[: len(sums)])
+        shared = _unrun(row["at"], row["runs"])
+        shared = PERIOD * (shared // len(cover)) + cover[shared % len(cover)]
+        near = np.zeros(len(words) + 1, np.int64)
+        np.add.at(near, np.maximum(shared - (PERIOD - 1), 0), 1)
+        np.add.at(near, shared + 1, -1)
+        at = np.flatnonzero(np.cumsum(near)[: len(sums)] > 0)
         return sums[at], at
 
     def run(batches):
         # of a hash's documents in the round all but the least are settled; that one asks the other tasks
         return _settled(batches, hashes_of, lambda least, most, docs: docs > least)
 
-    asked = texts.join(anchors, "rid").select("rid", "doc_id", "packed", "anchors").sortWithinPartitions("rid")
+    asked = texts.join(anchors, "rid").select("rid", "doc_id", "packed", "at", "runs").sortWithinPartitions("rid")
     rows = asked.mapInArrow(run, _SETTLED)
-    gone = F.expr("sure or min(doc_id) over (partition by k) < doc_id")
-    return rows.withColumn("gone", gone).where("gone").groupBy("rid").agg(F.collect_set("at").alias("starts"))
+    gone = F.expr("runs is not null or min(doc_id) over (partition by k) < doc_id")
+    return _by_row(rows.withColumn("gone", gone).where("gone").select("rid", "at", "runs"))
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -159,18 +193,18 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     more = "".join(f", {c} {kinds[c]}" for c in kept)
     texts = rows.select("rid", "doc_id", "text", *kept).mapInArrow(pack, f"rid bigint, doc_id bigint, packed binary{more}")
     # both joins below deal the same texts out by the same key: one exchange serves both
-    texts = texts.repartition("rid")
+    texts = texts.where("rid is not null").repartition("rid")
     gone = covered_windows(texts, anchors)
 
     def finish(batches):
         for b in batches:
             out = []
-            for packed, starts in zip(b.column("packed").to_pylist(), b.column("starts").to_pylist(), strict=True):
+            for packed, at, runs in zip(*(b.column(c).to_pylist() for c in ("packed", "at", "runs")), strict=True):
                 text = zstandard.decompress(packed)
                 words = text.split()
                 left = words
-                if starts:
-                    off = ts.covered(np.asarray(starts, np.int64), WINDOW, len(words))
+                if at or runs:
+                    off = ts.covered(_unrun(at, runs), WINDOW, len(words))
                     left = [w for w, o in zip(words, off.tolist(), strict=True) if not o]
                 joined = b" ".join(left)
                 out.append(((text if len(left) == len(words) else joined).decode(), len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest()))
@@ -180,5 +214,5 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 ["doc_id", "text", "n_words", "n_removed", "kept_sha256", *kept],
             )
 
-    done = texts.join(gone, "rid", "left").select("doc_id", "packed", "starts", *kept).mapInArrow(finish, f"doc_id bigint, text string, n_words bigint, n_removed bigint, kept_sha256 string{more}")
+    done = texts.join(gone, "rid", "left").select("doc_id", "packed", "at", "runs", *kept).mapInArrow(finish, f"doc_id bigint, text string, n_words bigint, n_removed bigint, kept_sha256 string{more}")
     return done.select(F.nullif("doc_id", F.lit(last)).alias("doc_id"), "text", "n_words", "n_removed", "kept_sha256", *(F.col(f"_{c}").alias(c) for c in carry))
