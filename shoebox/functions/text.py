@@ -40,7 +40,7 @@ def to_unix_path(path: Column) -> Column:
 def to_display_path(path: Column) -> Column:
     """A mounted Unix path as the Windows path that it shows."""
     drive = F.upper(F.regexp_extract(path, r"^/mnt/([a-z])(?:/|$)", 1))
-    rest = F.regexp_replace(F.regexp_replace(path, r"^/mnt/[a-z]/?", ""), "/", r"\\\\")
+    rest = F.translate(F.regexp_replace(path, r"^/mnt/[a-z]/?", ""), "/", "\\")
     return F.when(drive != "", F.concat(drive, F.lit(":\\"), rest)).otherwise(path)
 
 
