@@ -167,8 +167,9 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
     narrow = read_arc(spark, arc_path, payloads=False).where(f"http <> '' and payload_bytes >= {least_bytes}")
     same = cut(narrow.groupBy("digest", "page_id").count(), "digests")
     first = same.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    # one row for each page that repeats another's payload
+    # one row for each page that repeats another's payload; written, so that its size decides how it is joined
     later = same.join(first, "digest").where("not (page_id <=> first)").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
+    later = cut(later, "revisits")
     rows = read_arc(spark, arc_path)
     rows = rows.join(later, rows["page_id"].eqNullSafe(later["_page"]) & (rows["digest"] == later["_digest"]), "left").drop("_page", "_digest")
 
