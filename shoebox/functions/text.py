@@ -62,7 +62,8 @@ def semver(text: Column) -> Column:
 def seconds_between(start: Column, end: Column) -> Column:
     """Elapsed seconds of two ISO timestamps, not below zero; null where either can't be read."""
     micros = lambda x: F.unix_micros(F.try_to_timestamp(x))
-    return F.greatest(F.lit(0.0), (micros(end) - micros(start)) / 1e6)
+    gone = (micros(end) - micros(start)) / 1e6
+    return F.when(gone > 0, gone).when(gone.isNotNull(), 0.0)
 
 
 def format_summary(joiner: str = JOINER, block: str = BLOCK) -> str:
