@@ -31,7 +31,7 @@ _BESIDE = ("  ", " \n", "\n ")
 #: Characters that make the closer look of _APART needed: white space other than space and newline, and the marks.
 _RARE = frozenset("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\x01\x02") | frozenset(map(chr, range(0x2000, 0x200B)))
 #: Stretches of text that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def byte_symbols() -> list[str]:

@@ -44,7 +44,7 @@ def pieces(n_rows: int, step: int):
     return (slice(i, min(i + step, n_rows)) for i in range(0, n_rows, step))
 
 
-def slices(column: pa.Array, most_bytes: int = 10 << 20):
+def slices(column: pa.Array, most_bytes: int = 6 << 20):
     """Slices of a text column of about so many bytes each, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     part = np.cumsum(sizes) // most_bytes

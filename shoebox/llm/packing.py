@@ -25,7 +25,7 @@ from shoebox.llm.merges import MergeTable
 #: The id that closes a text; the share of the capacity from which a bin is done.
 END, NEARLY = 1, 0.995
 #: Words that a worker remembers; tasks whose leftovers meet in one; bins that one task takes in at most.
-REMEMBERED, FAN_IN, TASK_BINS = 500_000, 8, 50_000
+REMEMBERED, FAN_IN, TASK_BINS = 400_000, 8, 50_000
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 

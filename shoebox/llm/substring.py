@@ -30,7 +30,7 @@ PERIOD, COVER = 7, (1, 2, 4)
 WINDOW = 13
 ANCHOR = WINDOW - PERIOD + 1
 #: Words of one task's round: it settles and passes on what it holds once it holds so many.
-ROUND_WORDS = 4_000_000
+ROUND_WORDS = 2_000_000
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
