@@ -29,14 +29,13 @@ def best_threshold(grid: DataFrame) -> DataFrame:
 def person_distances(faces: DataFrame) -> DataFrame:
     """(id, person_id, pos, neg): a face's nearest distance to its own person's other faces, and to any other person's."""
     named = faces.where("person_id is not null")
-    owner = named.select(F.col("id").alias("other"), F.col("person_id").alias("other_person"))
-    near = vectors.nearest_reference(named, named.select("id", "person_id", "vec"), "person_id")
+    near = vectors.nearest_reference(named, named.select("id", "person_id", "vec"), "person_id", but_itself=True)
     joined = near.withColumnRenamed("person_id", "other_person").join(named.select("id", "person_id"), "id")
-    neg = joined.where("person_id <> other_person").groupBy("id").agg(F.min("distance").alias("neg"))
-    # its own person at distance zero is the face itself: the two nearest of all tell the next
-    own = vectors.knn(named.select("id", "vec"), named.select("id", "vec"), 16).join(owner, "other").join(named.select("id", "person_id"), "id")
-    pos = own.where("person_id = other_person").groupBy("id").agg(F.min("distance").alias("pos"))
-    return named.select("id", "person_id").join(pos, "id", "left").join(neg, "id", "left")
+    least = joined.groupBy("id").agg(
+        F.min(F.when(F.col("person_id") == F.col("other_person"), F.round("distance", 6))).alias("pos"),
+        F.min(F.when(F.col("person_id") != F.col("other_person"), F.col("distance"))).alias("neg"),
+    )
+    return named.select("id", "person_id").join(least, "id", "left")
 
 
 def profile_quantiles(pairs: DataFrame, threshold: float) -> DataFrame:

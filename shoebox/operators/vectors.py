@@ -73,20 +73,24 @@ def pairs_within(vectors: DataFrame, limit: float, digits: int = 6) -> DataFrame
     return block_pairs(vectors, vectors, work, _PAIR)
 
 
-def nearest_reference(targets: DataFrame, references: DataFrame, group: str) -> DataFrame:
-    """(id, group, distance): each target's least distance to the references of each group; a task returns one row per target and group."""
+def nearest_reference(targets: DataFrame, references: DataFrame, group: str, but_itself: bool = False) -> DataFrame:
+    """(id, group, distance): each target's least distance to the references of each group, a reference of its own id excluded if ``but_itself``; a task returns one row per target and group."""
     n = max(1, -(-max(references.count(), 1) // BLOCK))
     m = max(1, -(-max(targets.count(), 1) // BLOCK))
     left = _blocks(targets, m, "qb").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = references.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("vb"), F.col(group).cast("bigint").alias("g"), F.col("vec").alias("vb_vec")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = references.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("vb"), F.col(group).cast("bigint").alias("g"), F.col("id").alias("vb_id"), F.col("vec").alias("vb_vec")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["id", "g", "distance"])
         x, out = np.stack(a["qb_vec"].to_numpy()), []
         for g, part in b.groupby("g"):
-            out.append(pd.DataFrame({"id": a["qb_id"], "g": g, "distance": (1 - x @ np.stack(part["vb_vec"].to_numpy()).T).min(1)}))
-        return pd.concat(out)
+            d = 1 - x @ np.stack(part["vb_vec"].to_numpy()).T
+            if but_itself:
+                d[a["qb_id"].to_numpy()[:, None] == part["vb_id"].to_numpy()[None, :]] = np.inf
+            out.append(pd.DataFrame({"id": a["qb_id"], "g": g, "distance": d.min(1)}))
+        found = pd.concat(out)
+        return found[found["distance"] != np.inf]
 
     parts = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(one, "id bigint, g bigint, distance double")
     return parts.groupBy("id", F.col("g").alias(group)).agg(F.min("distance").alias("distance"))
