@@ -25,20 +25,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), EPSILON)
 
 
-def consolidate(faces: DataFrame, threshold: float, neighbours: int = 16, largest_source: int = 2, least_target: int = 3) -> DataFrame:
+def consolidate(faces: DataFrame, threshold: float, neighbours: int = 16, largest_source: int = 2, least_target: int = 3, group: str | None = None) -> DataFrame:
     """(id, cluster_id): clusters of at most ``largest_source`` movable faces join the cluster that all their faces agree on.
 
     ``faces`` has id, cluster_id, vec and movable. A face votes among its nearest faces of
     clusters of ``least_target`` or more, within a somewhat relaxed threshold; a target
     needs support, most of the votes, and a lead over the next. All decisions read the
-    labels as they came, so nothing depends on order.
+    labels as they came, so nothing depends on order. With ``group``, a column within which
+    clusters lie, faces look for neighbours in their own group only.
     """
     relaxed = min(1.0, threshold + min(0.06, max(0.02, 0.1 * threshold)))
     margin = max(0.02, 0.06 * threshold)
     sizes = faces.groupBy("cluster_id").agg(F.count("*").alias("size"), F.bool_and(F.coalesce("movable", F.lit(False))).alias("all_movable"))
-    sized = faces.select("id", "cluster_id", "vec").join(sizes, "cluster_id")
+    own = [group] if group else []
+    sized = faces.select("id", "cluster_id", "vec", *own).join(sizes, "cluster_id")
     movers = sized.where((F.col("size") <= largest_source) & F.col("all_movable"))
-    edges = vectors.knn(movers.select("id", "vec"), faces.select("id", "vec"), neighbours - 1, digits=12).select("id", "other", "distance")
+    edges = vectors.knn(movers.select("id", "vec", *own), faces.select("id", "vec", *own), neighbours - 1, digits=12, group=group).select("id", "other", "distance")
     target = sized.where(F.col("size") >= least_target).select(F.col("id").alias("other"), F.col("cluster_id").alias("target"))
     near = edges.join(target, "other").where(F.col("distance") <= relaxed)
     near = near.withColumn("vote", F.expr("row_number() over (partition by id order by distance, other)"))
@@ -274,9 +276,7 @@ def regroup(faces: DataFrame, threshold: float, cohesion: float | None = None, o
         return df.withColumn("_c", F.expr(f"min(id) over (partition by {', '.join(keys)})")).select("group_id", "id", F.col("_c").alias("cluster_id"))
 
     held = named(first, "group_id", "cluster_id").join(rows.select("id", "vec"), "id").withColumn("movable", F.lit(True))
-    groups = [r[0] for r in rows.select("group_id").distinct().limit(2).collect()]
-    if len(groups) == 1:
-        merged = consolidate(held, threshold).join(held.select("id", "group_id", "vec", "movable"), "id")
-        held = named(merged, "group_id", "cluster_id").join(rows.select("id", "vec"), "id").withColumn("movable", F.lit(True))
+    merged = consolidate(held, threshold, group="group_id").join(held.select("id", "group_id", "vec", "movable"), "id")
+    held = named(merged, "group_id", "cluster_id").join(rows.select("id", "vec"), "id").withColumn("movable", F.lit(True))
     parts = split_clusters(held, threshold if cohesion is None else cohesion, outlier).join(held.select("id", "group_id"), "id")
     return named(parts, "group_id", "cluster_id", "part").select("id", F.when(F.col("group_id") >= 0, F.col("group_id")).alias("person_id"), "cluster_id")

@@ -17,22 +17,24 @@ from shoebox.functions.vector import clipped, distance, normalized
 BLOCK = 2048
 
 
-def _blocks(vectors: DataFrame, n_blocks: int, name: str) -> DataFrame:
+def _blocks(vectors: DataFrame, n_blocks: int, name: str, *keep: str) -> DataFrame:
     """A row for each block: its ids and vectors side by side."""
     # fresh names, as both sides of a comparison may come from one table
-    return vectors.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias(name), F.col("id").alias(f"{name}_id"), F.col("vec").alias(f"{name}_vec"))
+    return vectors.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias(name), F.col("id").alias(f"{name}_id"), F.col("vec").alias(f"{name}_vec"), *(F.col(c).alias(f"{name}_{c}") for c in keep))
 
 
-def block_pairs(queries: DataFrame, vectors: DataFrame, work, schema: str, n_blocks: int | None = None) -> DataFrame:
+def block_pairs(queries: DataFrame, vectors: DataFrame, work, schema: str, n_blocks: int | None = None, group: str | None = None) -> DataFrame:
     """``work(left, right)`` over every pair of a block of queries and a block of vectors.
 
     ``left`` and ``right`` are (ids, matrix). Each row is copied to as many tasks as the
-    other side has blocks, which is what comparing all with all by blocks takes.
+    other side has blocks, which is what comparing all with all by blocks takes. With
+    ``group``, a column of both sides, only rows of the same group meet.
     """
     n = n_blocks or max(1, -(-max(vectors.count(), 1) // BLOCK))
     m = n_blocks or max(1, -(-max(queries.count(), 1) // BLOCK))
-    left = _blocks(queries, m, "qb").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = _blocks(vectors, n, "vb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    kept = [group] if group else []
+    left = _blocks(queries, m, "qb", *kept).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = _blocks(vectors, n, "vb", *kept).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     stack = lambda s: np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, 0))
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -40,14 +42,14 @@ def block_pairs(queries: DataFrame, vectors: DataFrame, work, schema: str, n_blo
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         return work((a["qb_id"].to_numpy(), stack(a["qb_vec"])), (b["vb_id"].to_numpy(), stack(b["vb_vec"])))
 
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(one, schema)
+    return left.groupBy("qb", "vb", *(f"qb_{c}" for c in kept)).cogroup(right.groupBy("qb", "vb", *(f"vb_{c}" for c in kept))).applyInPandas(one, schema)
 
 
 _PAIR = "id bigint, other bigint, distance double"
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """(id, other, distance, rank): the k nearest others of each query; ties by id. A task keeps k of its block."""
+def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, group: str | None = None) -> DataFrame:
+    """(id, other, distance, rank): the k nearest others of each query, of its ``group`` if that is given; ties by id. A task keeps k of its block."""
 
     def work(a, b):
         d = np.round(1 - a[1] @ b[1].T, digits)
@@ -57,7 +59,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> Data
         found = pd.DataFrame({"id": a[0][rows], "other": b[0][order.ravel()], "distance": d[rows, order.ravel()]})
         return found[np.isfinite(found["distance"])]
 
-    near = block_pairs(queries, vectors, work, _PAIR)
+    near = block_pairs(queries, vectors, work, _PAIR, group=group)
     ranked = near.withColumn("rank", F.expr("row_number() over (partition by id order by distance, other)"))
     return ranked.where(F.col("rank") <= k)
 
