@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch, where the session sets no limit: a batch of long texts must fit a small worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set."""
+    """The folder that all executors share. Only where driver and executors are one process may it be a local one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shoebox-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shoebox-"))
     return sc.getCheckpointDir()
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches are bounded by bytes: BATCH_BYTES unless the session says otherwise."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH, None) in (None, str(2**31 - 1), "2147483647b"):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -28,7 +46,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.scratch_path = path
+    return held
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +80,9 @@ def slices(column: pa.Array, most_bytes: int = 6 << 20):
     return [slice(int(a), int(b)) for a, b in zip(edges, np.r_[edges[1:], len(sizes)], strict=True)]
 
 
+_SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
+
+
 def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, codes, offsets): each text parted at spaces, a word as its place among the distinct ones."""
     lists = pc.split_pattern(texts, " ")
@@ -60,6 +91,22 @@ def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words.dictionary.to_pylist(), np.asarray(words.indices, np.int64), offsets
 
 
+def spaced_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, codes, offsets) of texts parted at ASCII white space; the words of text i are codes[offsets[i] : offsets[i + 1]]."""
+    words, codes, offsets = coded_words(pa.array([t.translate(_SPACES) for t in texts], pa.binary()))
+    if b"" in words:
+        there = codes != words.index(b"")
+        before = np.r_[0, np.cumsum(there)]
+        codes, offsets = codes[there], before[offsets]
+    return words, codes, offsets
+
+
+def digests(words: list[bytes]) -> np.ndarray:
+    """A 128-bit hash of each word, as rows of two uint64."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, words))
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+
+
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs flat[starts[i] : starts[i] + sizes[i]] one after another."""
     before = np.cumsum(sizes) - sizes

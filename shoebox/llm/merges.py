@@ -16,9 +16,12 @@ _NONE = np.int32(2**31 - 1)
 class MergeTable:
     """The merges of a ``tokenizers`` BPE file over byte symbols, with an optional word-end suffix."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, path: str, held: dict | None = None):
+        """``held`` is the file's content where it is at hand."""
+        if held is None:
+            with open(path, encoding="utf-8") as f:
+                held = json.load(f)
+        model = held["model"]
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         symbols = byte_symbols()
         self.inner = np.array([vocab[c] for c in symbols], np.int32)

@@ -1,13 +1,15 @@
 """Best-fit packing of tokenized texts into sequences of bounded length, in rounds.
 
 Each task packs its own pieces best-fit: the longest first, each into the bin that it fills
-best. Bins that are nearly full are done. The others become items themselves: they travel,
-with their pieces, to fewer tasks, which pack them best-fit into each other, and so on up
-a tree until one task has met all that is left or nothing more would fit together.
+best. Bins that are nearly full are done. The others become items themselves: their numbers
+and sizes travel to fewer tasks, which pack them best-fit into each other, and so on up a
+tree until one task has met all that is left. A round writes which bin went into which, and
+where; the pieces stay where they were written and are told their sequence at the end.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -19,14 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import coded_words, cut, gathered, pieces, slices
+from shoebox.llm.common import coded_words, cut, gathered, in_small_batches, slices
 from shoebox.llm.merges import MergeTable
 
 #: The id that closes a text; the share of the capacity from which a bin is done.
 END, NEARLY = 1, 0.995
-#: Words that a worker remembers; tasks whose leftovers meet in one; bins that one task takes in at most.
-REMEMBERED, FAN_IN, TASK_BINS = 400_000, 8, 50_000
-MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
+#: Words that a worker remembers; tasks whose leftovers meet in one; items that one task packs together.
+REMEMBERED, FAN_IN, TASK_ITEMS = 120_000, 8, 100_000
+#: Bytes of text that are tokenized together.
+TOGETHER = 2 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -36,6 +39,21 @@ _PLAIN = regex.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u017f]*")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: Fixed value: the tokenizer's own rules, which the two patterns above restate.
+RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PARTS.pattern}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+]
+
+
+def rules_of(held: dict) -> list:
+    """The normalizer and pre-tokenizer of a tokenizer file."""
+    return [held["normalizer"], held["pre_tokenizer"]]
+
+
 class WordTokenizer:
     """Token ids, as little-endian uint32 bytes, of texts whose words can't affect each other.
 
@@ -46,18 +64,26 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merges = MergeTable(path)
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        if (found := rules_of(held)) != RULES:
+            raise ValueError(f"{path} cuts texts by other rules: {found}")
+        self.path, self.tokenizer = path, None
+        self.special = [t["content"] for t in held["added_tokens"]]
+        self.merges = MergeTable(path, held)
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        if self.tokenizer is None:  # only a worker that meets such a text loads the library's model
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _words(self, new: list[str]) -> dict[str, bytes]:
@@ -100,25 +126,20 @@ def load(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def tokenize(docs: DataFrame, path: str, capacity: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for every piece of every text: its ids and END, cut after each ``capacity``."""
+def tokenized(batches, path: str, capacity: int):
+    """(doc_id, piece, start, length, ids_crc32) as lists, for every piece of every text: its ids and END, cut after each ``capacity``."""
     closed = np.array([END], "<u4")
-
-    def run(batches):
-        words = load(path)
-        for b in batches:
-            for s in slices(b.column("text")):
-                part = b.slice(s.start, s.stop - s.start)
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    ids = np.concatenate([ids, closed])
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        own = ids[at : at + capacity]
-                        rows.append((doc_id, k, at, len(own), zlib.crc32(own)))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    words = load(path)
+    for b in batches:
+        for s in slices(b.column("text"), TOGETHER):
+            part = b.slice(s.start, s.stop - s.start)
+            rows = []
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                ids = np.concatenate([ids, closed])
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    own = ids[at : at + capacity]
+                    rows.append((doc_id, k, at, len(own), zlib.crc32(own)))
+            yield [list(x) for x in zip(*rows, strict=True)]
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -146,74 +167,107 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _round(level: int, capacity: int):
-    """A task's round: takes (used, members), returns (sequence_id, used, members) packed best-fit."""
-    schema = pa.schema([("sequence_id", pa.int64()), ("used", pa.int32()), ("members", pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])))])
+def _placed(sizes: np.ndarray, capacity: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset, used) of each item, packed best-fit; bins are numbered from ``base``."""
+    bin_, offset, used = (np.zeros(len(sizes), np.int64) for _ in range(3))
+    for k, members in enumerate(best_fit(sizes.tolist(), capacity)):
+        own = sizes[members]
+        bin_[members], offset[members], used[members] = base + k, np.cumsum(own) - own, own.sum()
+    return bin_, offset, used
+
+
+def _numbers(level: int) -> int:
+    """The first number for bins of this task in this round."""
+    return (level << 56) | (TaskContext.get().partitionId() << 32)
+
+
+def _first_round(docs: DataFrame, path: str, capacity: int) -> DataFrame:
+    """Every piece with its bin, its offset there, and what the bin holds in all."""
 
     def run(batches):
-        base = (level << 56) | (TaskContext.get().partitionId() << 32)
-        made = 0
-        rows: list[tuple[int, list]] = []
+        base = _numbers(0)
+        held: list[list] = [[] for _ in range(5)]
 
         def pack():
-            nonlocal made, rows
-            packed = best_fit([r[0] for r in rows], capacity)
-            out = []
-            for b in packed:
-                used, members = 0, []
-                for i in b:
-                    members += [m | {"offset": used + m["offset"]} for m in rows[i][1]]
-                    used += rows[i][0]
-                out.append((base + made, used, members))
-                made += 1
-            rows = []
-            for s in pieces(len(out), 2000):
-                part = out[s]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+            nonlocal base, held
+            bin_, offset, used = _placed(np.array(held[3], np.int64), capacity, base)
+            base = int(bin_.max()) + 1
+            columns = [pa.array(x, t) for x, t in zip(held, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            held = [[] for _ in range(5)]
+            whole = pa.RecordBatch.from_arrays([*columns, pa.array(bin_), pa.array(offset), pa.array(used)], ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "used"])
+            yield from (whole.slice(i, 10_000) for i in range(0, whole.num_rows, 10_000))
+
+        for rows in tokenized(batches, path, capacity):
+            for own, more in zip(held, rows, strict=True):
+                own += more
+            if len(held[0]) >= TASK_ITEMS:
+                yield from pack()
+        if held[0]:
+            yield from pack()
+
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return texts.mapInArrow(run, f"{PIECES}, bin bigint, offset bigint, used bigint")
+
+
+def _next_round(items: DataFrame, level: int, capacity: int) -> DataFrame:
+    """(item, bin, offset, used): where each item (item, size) went, and what the bin holds in all."""
+
+    def run(batches):
+        base, held = _numbers(level), []
+
+        def pack():
+            nonlocal base, held
+            item, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+            bin_, offset, used = _placed(size, capacity, base)
+            base = int(bin_.max()) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (item, bin_, offset, used)], ["item", "bin", "offset", "used"])
 
         for b in batches:
-            rows += zip(b.column("used").to_pylist(), b.column("members").to_pylist(), strict=True)
-            if len(rows) >= TASK_BINS:
+            held.append((b.column("item").to_numpy(), b.column("size").to_numpy()))
+            if sum(len(x) for x, _ in held) >= TASK_ITEMS:
                 yield from pack()
-        if rows:
+        if held:
             yield from pack()
 
-    return run
+    return items.select("item", "size").mapInArrow(run, "item bigint, bin bigint, offset bigint, used bigint")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4096, least_gain: float = 0.01) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only a text of more than ``capacity`` tokens, END included, is cut. A null or empty
     text is one piece of END alone. sequence_id may be any number; offset is gapless from 0
     in each sequence. Repeated rows and rows without a doc_id are packed as others; other
-    columns are ignored; an empty table gives an empty result. Each round writes its bins,
-    so a lost executor costs a round at most; rounds end when one task has met all that is
-    left, or when a round lessens the bins by less than a twentieth.
+    columns are ignored; an empty table gives an empty result; a very long text is many
+    pieces. Each round writes its moves, so a lost executor costs a round at most. Rounds go
+    on until all that is left has met in one task; where that is more than a task takes in,
+    until a round lessens the bins by less than the share ``least_gain``.
     """
-    out = "sequence_id bigint, used int, members array<" + MEMBER + ">"
-    members = F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("bigint").alias("offset")))
-    items = tokenize(docs, path, capacity).select(F.col("length").cast("int").alias("used"), members.alias("members"))
-    done, level = [], 0
-    packed = cut(items.mapInArrow(_round(0, capacity), out), "bins")
+    placed = cut(_first_round(docs, path, capacity), "pieces")
+    full, task = int(NEARLY * capacity), F.shiftright("bin", 32)
+    bins = placed.where(F.col("used") < full).groupBy("bin").agg(F.max("used").alias("used"))
+    moves: list[DataFrame] = []
     while True:
-        full = F.col("used") >= F.lit(int(NEARLY * capacity))
-        done.append(packed.where(full))
-        left = packed.where(~full)
-        n, tasks = left.agg(F.count("*"), F.count_distinct(F.shiftright("sequence_id", 32))).first()
+        n, tasks = bins.agg(F.count("*"), F.count_distinct(task)).first()
         if n < 2:
-            done.append(left)
             break
-        level += 1
-        tasks = max(-(-n // TASK_BINS), tasks // FAN_IN, 1)
+        least = -(-n // TASK_ITEMS)
+        tasks = max(least, tasks // FAN_IN)
         # bins of all sizes meet: the hash of a bin's number says nothing of its size
-        met = left.repartition(tasks, F.xxhash64("sequence_id")).select("used", "members")
-        packed = cut(met.mapInArrow(_round(level, capacity), out), "bins")
-        if tasks == 1 or packed.count() > 0.95 * n:
-            done.append(packed)
+        items = bins.select(F.col("bin").alias("item"), F.col("used").alias("size")).repartition(tasks, F.xxhash64("bin", F.lit(len(moves))))
+        moves.append(cut(_next_round(items, len(moves) + 1, capacity), "moves"))
+        bins = moves[-1].where(F.col("used") < full).groupBy("bin").agg(F.max("used").alias("used"))
+        if tasks == 1 or tasks == least and bins.count() > (1 - least_gain) * n:
             break
-    bins = done[0]
-    for d in done[1:]:
-        bins = bins.unionByName(d)
-    each = bins.select("sequence_id", F.explode("members").alias("m"))
-    return each.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+    # from the last round down: a bin that moved on stands for its place in a sequence
+    where = None
+    for m in reversed(moves):
+        m = m.select("item", "bin", "offset")
+        if where is not None:
+            m = m.join(where, "bin", "left").select("item", F.coalesce("sequence_id", "bin").alias("bin"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"))
+        where = m.select(F.col("item").alias("bin"), F.col("bin").alias("sequence_id"), F.col("offset").alias("at"))
+    if where is None:
+        return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    found = placed.join(where, "bin", "left")
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence_id", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"))

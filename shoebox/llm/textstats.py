@@ -21,14 +21,14 @@ def count_of(text: bytes, characters: bytes) -> int:
     return len(text) - len(text.translate(None, characters))
 
 
-def window_sums(values: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit sum for each window of ``width`` uint64 values."""
+def window_sums(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """A 64-bit sum for each window of ``width`` uint64 values; lanes 0 and 1 have factors of their own."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for i in range(width):
-        total += values[i : i + n] * _ODD[i]
+        total += values[i : i + n] * _ODD[i + 30 * lane]
     total ^= total >> np.uint64(29)
     return total * _ODD[63]
 

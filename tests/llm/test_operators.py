@@ -9,6 +9,8 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -170,6 +172,40 @@ def test_packing(docs):
     assert packing.pack(df.where("false"), path).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aAbé'stre 1\n\t.,!<|>"), st.characters()), max_size=40), max_size=6))
+def test_word_tokenizer_equals_the_library(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    theirs = Tokenizer.from_file(path)
+    got = [x.tolist() for x in packing.load(path).encode(texts)]
+    assert got == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_in_many_rounds(spark, monkeypatch):
+    """Leftovers of many tasks climb the tree; every piece keeps a gapless place."""
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "a " * rng.randrange(1, 60)) for i in range(300)], "doc_id bigint, text string").repartition(13)
+    got = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), 64).collect()
+    assert sorted(r.doc_id for r in got) == list(range(300))
+    by = {}
+    for r in sorted(got, key=lambda r: r.offset):
+        assert by.setdefault(r.sequence_id, 0) == r.offset
+        by[r.sequence_id] += r.length
+    # tasks of two dozen pieces commit early; tasks of thousands come within a bin or two
+    assert max(by.values()) <= 64 and len(by) <= 1.1 * len(packing.best_fit([r.length for r in got], 64))
+
+
+def test_another_tokenizer_is_refused(tmp_path):
+    import json
+
+    held = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    held["normalizer"] = None
+    (tmp_path / "t.json").write_text(json.dumps(held))
+    with pytest.raises(ValueError):
+        packing.WordTokenizer(str(tmp_path / "t.json"))
+
+
 def test_best_fit():
     assert [sorted(b) for b in packing.best_fit([6, 5, 4, 5], 10)] == [[0, 2], [1, 3]]
     rng = random.Random(2)
