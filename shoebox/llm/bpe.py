@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import coded_words, slices
+from shoebox.llm.common import coded_words, in_small_batches, slices
 
 #: Fixed value: how byte-level tokenizers of this family cut a text into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -31,7 +31,7 @@ _BESIDE = ("  ", " \n", "\n ")
 #: Characters that make the closer look of _APART needed: white space other than space and newline, and the marks.
 _RARE = frozenset("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000\x01\x02") | frozenset(map(chr, range(0x2000, 0x200B)))
 #: Stretches of text that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -234,7 +234,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = pa.array(bpe.encode([t or "" for t in part.column("text").to_pylist()], known), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return in_small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -277,4 +277,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 n = counts[offsets[1:]] - counts[offsets[:-1]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)

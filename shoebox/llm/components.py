@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import cut
+from shoebox.llm.common import cut, forget
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             small.where("near <> least").select(F.col("near").alias("node"), F.col("least").alias("near"))
             .unionByName(small.select("node", F.col("least").alias("near"))).where("node <> near").distinct()
         )
-        held = cut(small, "edges")
+        held, before = cut(small, "edges"), held
+        forget(before)
         now = held.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "near")), F.bit_xor(F.xxhash64("near", "node"))).first()
         if now == seen:
             return held.select("node", F.col("near").alias("root"))

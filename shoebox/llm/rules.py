@@ -1,23 +1,26 @@
 """Quality rules with thresholds that follow the data, per language and source.
 
-Signals of every text are counted into histogram sketches: a value falls into a bin of
-fixed width, and a sketch is the number of texts by bin, so sketches of parts, days or
-sources merge by addition and give the same thresholds in whatever order they meet.
-A source's fence for a signal is read from its own sketch, or, where that holds few texts,
-from the merged one of its language, or of all; texts beyond a fence go.
+Signals of every text are counted into quantile sketches: a value falls into one of at most
+BUCKETS + 1 buckets, whose bounds grow by a constant factor, and a sketch is the number of
+texts by bucket. So a sketch is bounded, a quantile read from it is off by half that factor
+at most, and sketches of parts, days or sources merge by addition and give the same
+thresholds in whatever order they meet. A source's fence for a signal is made of quantiles
+of its own sketch, into which its language's is mixed with the weight of PRIOR texts, so a
+small source leans on its language and a large one on itself. Texts beyond a fence go.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm import textstats as ts
-from shoebox.llm.common import byte_texts, cut
+from shoebox.llm.common import byte_texts, cut, in_small_batches
 
 #: The contract's base rule.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -25,23 +28,28 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
 @dataclass(frozen=True)
 class Signal:
-    """A signal with the width of its bins and the least distance of a fence from the middle half."""
+    """A signal: what is counted, by what it is divided, and the least that a single find adds to the count."""
 
     name: str
-    bin: float
-    slack: float
+    count: str
+    per: str
+    unit: int
     low: bool = False
 
 
 #: What is measured, each a value per word or per line; only ``word_length`` has a fence below too.
 SIGNALS = (
-    Signal("symbols", 0.01, 0.20),
-    Signal("repeated", 0.01, 0.30),
-    Signal("dup_lines", 0.01, 0.50),
-    Signal("word_length", 0.05, 3.0, low=True),
+    Signal("symbols", "n_symbols", "n_words", 1),
+    Signal("repeated", "n_repeat_words", "n_words", 2 * WINDOW),
+    Signal("dup_lines", "n_dup_lines", "n_lines", 1),
+    Signal("word_length", "word_chars", "n_words", 0, low=True),
 )
-#: A fence stands REACH times the distance from the median to the quartile away from the quartile; a sketch of fewer than ENOUGH texts is merged into the wider one.
-REACH, ENOUGH = 4.0, 200
+#: Sizes of texts; their medians tell how much a single find weighs in a source.
+SIZES = ("n_words", "n_lines")
+#: The factor between the bounds of buckets, the least value with a bucket of its own, and the number of buckets above 0.
+GROWTH, LEAST, BUCKETS = 1.02, 1e-4, 1200
+#: A fence stands REACH times the distance from the median to the quartile away from the quartile; PRIOR texts of the language are mixed in.
+REACH, PRIOR = 8.0, 100.0
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
 
 
@@ -52,86 +60,107 @@ def counts_of(text: bytes) -> tuple[int, ...]:
     return len(words), chars, ts.count_of(text, ts.SYMBOLS), ts.duplicate_lines(text), ts.repeated_words(words, WINDOW), lines
 
 
-def signals(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with its counts and without its text: doc_id, lang, source, and the columns of COUNTS."""
+def signals(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of ``docs`` with its counts and without its text: doc_id, lang, source, the columns of COUNTS, and those of ``keep`` with a line before their names."""
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
     def run(batches):
         for b in batches:
             found = np.array([counts_of(t) for t in byte_texts(b)], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("source"), *(pa.array(found[:, i]) for i in range(len(names)))], ["doc_id", "lang", "source", *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(found[:, i]) for i in range(len(names))), *(b.column(c) for c in kept)], ["doc_id", "lang", "source", *names, *kept])
 
-    narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return narrow.mapInArrow(run, f"doc_id bigint, lang string, source string, {COUNTS}")
+    kept = [f"_{c}" for c in keep]
+    narrow = in_small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"), *(F.col(c).alias(f"_{c}") for c in keep))
+    more = "".join(f", {c} {narrow.schema[c].dataType.simpleString()}" for c in kept)
+    return narrow.mapInArrow(run, f"doc_id bigint, lang string, source string, {COUNTS}{more}")
 
 
-def _bins(rows: DataFrame) -> DataFrame:
-    words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
-    value = {
-        "symbols": F.col("n_symbols") / words, "repeated": F.col("n_repeat_words") / words,
-        "dup_lines": F.col("n_dup_lines") / lines, "word_length": F.col("word_chars") / words,
-    }
-    return rows.withColumns({f"bin_{s.name}": F.floor(value[s.name] / s.bin).cast("bigint") for s in SIGNALS})
+def values(rows: DataFrame) -> dict[str, Column]:
+    """What the sketches count of a row: the signals, and the sizes."""
+    found = {s.name: F.col(s.count) / F.greatest(F.col(s.per), F.lit(1)) for s in SIGNALS}
+    return found | {c: F.greatest(F.col(c), F.lit(1)).cast("double") for c in SIZES}
+
+
+def bucket(value: Column) -> Column:
+    """The bucket of a value: 0 below LEAST, else by the logarithm, BUCKETS at most."""
+    place = F.round(F.log(F.greatest(value, F.lit(LEAST)) / LEAST) / math.log(GROWTH)).cast("int") + 1
+    return F.when(value < LEAST, 0).otherwise(F.least(place, F.lit(BUCKETS)))
+
+
+def value_of(bucket_: Column) -> Column:
+    return F.when(bucket_ == 0, 0.0).otherwise(LEAST * F.pow(F.lit(GROWTH), bucket_ - 1))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(lang, source, signal, bin, texts): the histogram sketch of every signal and source, over rows with ``bin_`` columns."""
-    each = F.explode(F.array(*(F.struct(F.lit(s.name).alias("signal"), F.col(f"bin_{s.name}").alias("bin")) for s in SIGNALS)))
-    return rows.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.signal", "x.bin").agg(F.count("*").alias("texts"))
+    """(lang, source, signal, bucket, texts): the sketch of every signal and source."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("signal"), bucket(v).alias("bucket")) for name, v in values(rows).items())))
+    return rows.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.signal", "x.bucket").agg(F.count("*").alias("texts"))
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """One sketch from several of the same source: bins add up."""
-    return parts.groupBy("lang", "source", "signal", "bin").agg(F.sum("texts").alias("texts"))
+    """One sketch from several of the same source: buckets add up."""
+    return parts.groupBy("lang", "source", "signal", "bucket").agg(F.sum("texts").alias("texts"))
+
+
+def _quantile(held: Column, total: Column, q: float) -> Column:
+    """The value at share q of a sketch given as its buckets in order, array<struct<bucket, w>>."""
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("int").alias("at"))
+    # the least bucket with the share at or below it; a hair's breadth for sums of weights
+    step = lambda a, x: F.struct((a["upto"] + x["w"]).alias("upto"), F.when(a["at"].isNotNull(), a["at"]).when(a["upto"] + x["w"] >= q * total - 1e-9 * total, x["bucket"]).alias("at"))
+    return value_of(F.aggregate(held, start, step)["at"])
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, signal, low, high): the bins beyond which a text goes. Null languages and sources are groups like others."""
-    wide = sketch.groupBy("lang", "signal", "bin").agg(F.sum("texts").alias("texts"))
-    all_ = wide.groupBy("signal", "bin").agg(F.sum("texts").alias("texts"))
-
-    def quartiles(of: DataFrame, keys: list[str], level: str) -> DataFrame:
-        part = ", ".join(keys)
-        ranked = of.withColumn("_upto", F.expr(f"sum(texts) over (partition by {part} order by bin)")).withColumn("_all", F.expr(f"sum(texts) over (partition by {part})"))
-        at = lambda q: F.min(F.when(F.col("_upto") >= F.col("_all") * q, F.col("bin")))
-        return ranked.groupBy(*keys).agg(F.struct(F.max("_all").alias("n"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3")).alias(level))
-
-    own = quartiles(sketch, ["lang", "source", "signal"], "own")
-    lang = quartiles(wide, ["lang", "signal"], "by_lang").select(F.col("lang").alias("_lang"), F.col("signal").alias("_signal"), "by_lang")
-    every = quartiles(all_, ["signal"], "every").select(F.col("signal").alias("_name"), "every")
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("signal") == F.col("_signal"))).join(every, F.col("signal") == F.col("_name"))
-    q = F.when(F.col("own.n") >= ENOUGH, F.col("own")).when(F.col("by_lang.n") >= ENOUGH, F.col("by_lang")).otherwise(F.col("every"))
-    slack = F.element_at(F.create_map(*(x for s in SIGNALS for x in (F.lit(s.name), F.lit(s.slack / s.bin)))), F.col("signal"))
+    """(lang, source, signal, low, high, middle): the values beyond which a text goes, and the median. Null languages and sources are groups like others.
+
+    The distance from the median to the quartile counts as no less than what a single find
+    adds in a text of the source's median size; so where three of four texts have none of
+    what a signal counts, the fence is as many finds as REACH.
+    """
+    wide = sketch.groupBy("lang", "signal", "bucket").agg(F.sum("texts").alias("n"))
+    # a language's sketch is one short array: a bucket each
+    lang = wide.groupBy("lang", "signal").agg(F.collect_list(F.struct("bucket", "n")).alias("all"), F.sum("n").alias("most"))
+    lang = lang.select(F.col("lang").alias("_lang"), F.col("signal").alias("_signal"), F.transform("all", lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] * F.least(F.lit(1.0), PRIOR / F.col("most"))).alias("w"))).alias("prior"))
+    own = sketch.groupBy("lang", "source", "signal").agg(F.collect_list(F.struct("bucket", F.col("texts").cast("double").alias("w"))).alias("own"))
+    both = own.join(lang, own["lang"].eqNullSafe(lang["_lang"]) & (own["signal"] == lang["_signal"]))
+    held = both.select("lang", "source", "signal", F.array_sort(F.concat("own", "prior")).alias("held"))
+    held = held.withColumn("total", F.aggregate("held", F.lit(0.0), lambda a, x: a + x["w"]))
+    q = held.select("lang", "source", "signal", *(_quantile(F.col("held"), F.col("total"), x).alias(name) for name, x in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))))
+    size = q.where(F.col("signal").isin(*SIZES)).groupBy("lang", "source").agg(*(F.max(F.when(F.col("signal") == c, F.col("q2"))).alias(c) for c in SIZES))
+    size = size.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    q = q.where(~F.col("signal").isin(*SIZES))
+    q = q.join(size, q["lang"].eqNullSafe(size["_lang"]) & q["source"].eqNullSafe(size["_source"]))
+    find = F.coalesce(*(F.when(F.col("signal") == s.name, s.unit / F.col(s.per)) for s in SIGNALS))
     low_too = F.col("signal").isin([s.name for s in SIGNALS if s.low])
-    chosen = joined.select("lang", "source", "signal", q.alias("q"), slack.alias("slack"), low_too.alias("low_too"))
-    high = F.col("q.q3") + F.greatest(REACH * (F.col("q.q3") - F.col("q.q2")), F.col("slack"))
-    low = F.when(F.col("low_too"), F.col("q.q1") - F.greatest(REACH * (F.col("q.q2") - F.col("q.q1")), F.col("slack")))
-    return chosen.select("lang", "source", "signal", low.alias("low"), high.alias("high"))
+    high = F.col("q3") + REACH * F.greatest(F.col("q3") - F.col("q2"), find)
+    low = F.when(low_too, F.col("q1") - REACH * F.greatest(F.col("q2") - F.col("q1"), find))
+    return q.select("lang", "source", "signal", low.alias("low"), high.alias("high"), F.col("q2").alias("middle"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the columns ``keep``.
 
     A text goes if the base rule fails it (fewer than LEAST_WORDS words, or over
-    MOST_REPEATED percent of them repeated) or a signal lies beyond its source's fence.
-    A null text has no words; rows without a language or source form groups of their own;
-    repeated rows stay; other columns are ignored; an empty table gives an empty result.
+    MOST_REPEATED percent of them repeated) or a signal lies beyond its source's fence; a
+    value at a fence stays. A null text has no words; rows without a language or source form
+    groups of their own; repeated rows stay, and count again in the sketches; very long
+    texts are counted whole; other columns are ignored; an empty table gives an empty result.
     The fences are one row for each source, so their join is left to the optimizer's size check.
     """
-    rows = cut(_bins(signals(docs)), "signals")
+    rows = cut(signals(docs, keep), "signals")
     limits = cut(fences(sketches(rows)), "fences")
     wide = limits.groupBy("lang", "source").agg(
         *(F.max(F.when(F.col("signal") == s.name, F.col("high"))).alias(f"high_{s.name}") for s in SIGNALS),
         *(F.max(F.when(F.col("signal") == s.name, F.col("low"))).alias(f"low_{s.name}") for s in SIGNALS if s.low),
     ).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    beyond = F.lit(False)
+    beyond, value = F.lit(False), values(rows)
     for s in SIGNALS:
-        beyond = beyond | (F.col(f"bin_{s.name}") > F.col(f"high_{s.name}"))
+        beyond = beyond | (value[s.name] > F.col(f"high_{s.name}"))
         if s.low:
-            beyond = beyond | (F.col(f"bin_{s.name}") < F.col(f"low_{s.name}"))
+            beyond = beyond | (value[s.name] < F.col(f"low_{s.name}"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     joined = rows.join(wide, rows["lang"].eqNullSafe(wide["_lang"]) & rows["source"].eqNullSafe(wide["_source"]), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & ~F.coalesce(beyond, F.lit(False))).alias("kept"),
+        (~failed & ~F.coalesce(beyond, F.lit(False))).alias("kept"), *(F.col(f"_{c}").alias(c) for c in keep),
     )

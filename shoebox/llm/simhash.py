@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import byte_texts, cut
+from shoebox.llm.common import byte_texts, cut, in_small_batches
 from shoebox.llm.components import connected_components
 
 BITS = 64
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 [b.column("doc_id"), pa.array([fingerprint(t, width) for t in byte_texts(b)], pa.int64())], ["doc_id", "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return in_small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def _hook(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:

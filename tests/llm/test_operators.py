@@ -142,15 +142,71 @@ def test_rules(docs):
     assert rules.judge(df.where("false")).count() == 0
 
 
+def slow_judge(rows):
+    """The verdicts by sorting: buckets of all values of a source and weights of its language's, in order."""
+    import math
+    from collections import defaultdict
+
+    bucket = lambda v: 0 if v < rules.LEAST else min(rules.BUCKETS, math.floor(math.log(max(v, rules.LEAST) / rules.LEAST) / math.log(rules.GROWTH) + 0.5) + 1)
+    value = lambda k: 0.0 if k == 0 else rules.LEAST * rules.GROWTH ** (k - 1)
+    lists = [len([x for x in (r[1] or "").split("\n") if words_of(x)]) for r in rows]
+    held, groups = [], defaultdict(list)
+    for r, lines in zip(rows, lists, strict=True):
+        n, chars, symbols, dup, rep = slow_counts(r[1])
+        v = {"symbols": symbols / max(n, 1), "repeated": rep / max(n, 1), "dup_lines": dup / max(lines, 1), "word_length": chars / max(n, 1), "n_words": max(n, 1), "n_lines": max(lines, 1)}
+        held.append((v, n < 20 or 100 * rep > 30 * n))
+        groups[r[2], r[3]].append(v)
+    kept = []
+    for r, (v, failed) in zip(rows, held, strict=True):
+        own, lang = groups[r[2], r[3]], [x for k, g in groups.items() if k[0] == r[2] for x in g]
+
+        def q(name, share):
+            some = sorted([(bucket(x[name]), 1.0) for x in own] + [(bucket(x[name]), min(1.0, rules.PRIOR / len(lang))) for x in lang])
+            total, upto = sum(w for _, w in some), 0.0
+            for k, w in some:
+                upto += w
+                if upto >= share * total - 1e-9 * total:
+                    return value(k)
+
+        ok = not failed
+        for s in rules.SIGNALS:
+            find = s.unit / q(s.per, 0.5)
+            ok &= v[s.name] <= q(s.name, 0.75) + rules.REACH * max(q(s.name, 0.75) - q(s.name, 0.5), find)
+            ok &= not s.low or v[s.name] >= q(s.name, 0.25) - rules.REACH * max(q(s.name, 0.5) - q(s.name, 0.25), find)
+        kept.append((str(r[0]), ok))
+    return kept
+
+
+def test_verdicts_by_sorting(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        lang, source = rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", "c", None])
+        n = rng.randrange(15, 60) if source == "b" else rng.randrange(15, 200)
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7 + 3 * (lang == "de")))) for _ in range(n)]
+        if i % 15 == 0:
+            words = [w + "###" for w in words]
+        elif i % 15 == 1:
+            words = [w * 6 for w in words]
+        elif i % 15 == 2:
+            words[3] += "#"  # a single find
+        text = " ".join(words)
+        rows.append((i // 2 if i < 6 else i, text if i % 40 else text + ("\n" + "q w") * 30, lang, source))  # some doc_ids and lines twice
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    want = slow_judge(rows)
+    assert sorted((str(r.doc_id), r.kept) for r in rules.judge(df).collect()) == sorted(want)
+    kept = {i for (_, ok), i in zip(want, range(400), strict=True) if ok}
+    assert not any(i in kept for i in range(400) if i % 15 < 2) and sum(i in kept for i in range(2, 400, 15)) > 20
+    limits = {(r.lang, r.source): r.high for r in rules.fences(rules.sketches(rules.signals(df))).where("signal = 'symbols'").collect()}
+    assert len({round(limits["en", s], 4) for s in ("a", "b", "c")}) > 1  # a source has fences of its own
+
+
 def test_sketches_merge(spark):
-    clean = [(i, "word and other words " * 9 + str(i) + " " + " ".join(f"u{i}x{j}" for j in range(150)), "en", "a") for i in range(60)]
-    loud = [(100 + i, "# " * 300 + " ".join(f"v{i}y{j}" for j in range(150)), "en", "a") for i in range(3)]
-    df = spark.createDataFrame(clean + loud, "doc_id bigint, text string, lang string, source string")
-    binned = rules._bins(rules.signals(df))
-    whole = rules.sketches(binned)
-    parts = rules.sketches(binned.where("doc_id % 2 = 0")).unionByName(rules.sketches(binned.where("doc_id % 2 = 1")))
+    df = spark.createDataFrame([(i, "word # " * (i % 7) + str(i) * (i % 5), "en", "ab"[i % 2]) for i in range(90)], "doc_id bigint, text string, lang string, source string")
+    rows = rules.signals(df)
+    whole = rules.sketches(rows)
+    parts = rules.sketches(rows.where("doc_id % 3 = 0")).unionByName(rules.sketches(rows.where("doc_id % 3 > 0")))
     assert sorted(map(str, whole.collect())) == sorted(map(str, rules.merged(parts).select(*whole.columns).collect()))
-    assert {r.doc_id for r in rules.judge(df).where("not kept").collect()} == {100, 101, 102}
 
 
 def test_packing(docs):
