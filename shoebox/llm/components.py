@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm.common import cut, forget
 
+#: So many edges are one task's work; more of them go through rounds of joins.
+SMALL = 50_000
+
+
+def hook(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Merge the classes of u[i] and v[i]; a class is named by its least position."""
+    while True:
+        a, b = labels[u], labels[v]
+        open_ = a != b
+        if not open_.any():
+            return
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = labels[labels]
+            if np.array_equal(up, labels):
+                break
+            labels[:] = up
+
+
+def _in_one_task(batches):
+    """The rows (node, root) of all edges (node, near) of a task."""
+    held = [(b.column("node").to_numpy(), b.column("near").to_numpy()) for b in batches]
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
+    names, at = np.unique(np.r_[a, b], return_inverse=True)
+    labels = np.arange(len(names))
+    hook(labels, at[: len(a)], at[len(a) :])
+    far = labels != np.arange(len(labels))
+    yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[labels[far]])], ["node", "root"])
+
 
 def _stars(pairs: DataFrame) -> DataFrame:
     """Edges (node, near) with the least neighbour of each node, itself included."""
@@ -17,8 +49,8 @@ def _stars(pairs: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Label every node of ``edges`` (a, b: bigint) with the least node that it reaches.
 
-    Alternates large stars and small stars until the edges stand still; each round
-    ends in a written table, so that lineage stays short and a lost executor costs
+    Up to SMALL edges are one task's work. More alternate large stars and small stars
+    until the edges stand still, with the same outcome; each round ends in a written table, so that lineage stays short and a lost executor costs
     one round at most. Loops and repeated edges don't matter; null ends are dropped.
     Returns (node, root), for nodes with another root than themselves only.
     """
@@ -27,6 +59,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         .select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("near")).distinct(),
         "edges",
     )
+    if held.count() <= SMALL:
+        return cut(held.repartition(1).mapInArrow(_in_one_task, "node bigint, root bigint"), "roots")
     seen = None
     for _ in range(max_rounds):
         both = held.unionByName(held.select(F.col("near").alias("node"), F.col("node").alias("near")))

@@ -27,7 +27,7 @@ from shoebox.llm.merges import MergeTable
 #: The id that closes a text; the share of the capacity from which a bin is done.
 END, NEARLY = 1, 0.995
 #: Words that a worker remembers; tasks whose leftovers meet in one; items that one task packs together.
-REMEMBERED, FAN_IN, TASK_ITEMS = 120_000, 8, 100_000
+REMEMBERED, FAN_IN, TASK_ITEMS = 80_000, 8, 50_000
 #: Bytes of text that are tokenized together.
 TOGETHER = 2 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm.common import byte_texts, cut, in_small_batches
-from shoebox.llm.components import connected_components
+from shoebox.llm.components import connected_components, hook
 
 BITS = 64
 #: Node pairs that the walk holds at once, and the pairs of a small node pair that are compared outright.
@@ -56,22 +56,6 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return in_small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _hook(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Merge the classes of u[i] and v[i]; a class is named by its least position."""
-    while True:
-        a, b = labels[u], labels[v]
-        open_ = a != b
-        if not open_.any():
-            return
-        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
-        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = labels[labels]
-            if np.array_equal(up, labels):
-                break
-            labels[:] = up
-
-
 def trie_links(keys: np.ndarray, depth: int, budget: int) -> np.ndarray:
     """Classes of the sorted distinct uint64 ``keys`` that share their first ``depth`` bits
     and are linked by steps of at most ``budget`` differing bits: the least position of each."""
@@ -98,7 +82,7 @@ def trie_links(keys: np.ndarray, depth: int, budget: int) -> np.ndarray:
             u, v = sa[at] + k // nb[at], sb[at] + k % nb[at]
             near = np.bitwise_count(keys[u] ^ keys[v]) <= budget
             near &= u != v
-            _hook(labels, u[near], v[near])
+            hook(labels, u[near], v[near])
             a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
         if not len(a0):
             continue

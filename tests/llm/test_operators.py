@@ -343,6 +343,50 @@ def test_classifier(spark, docs):
     assert classifier.classify(df.where("false"), labels).count() == 0
 
 
+def test_fits_are_plain_logistic_fits():
+    """The fits against plain gradient descent on the same loss, over whole matrices."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=60) > 0).astype(int)
+    better, worse = classifier.pairs_of(y)
+    assert (y[better] == 1).all() and (y[worse] == 0).all()
+    d, w = x[better] - x[worse], np.zeros(3)
+    for _ in range(20_000):
+        w -= 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + classifier.PENALTY * w)
+    assert np.allclose(classifier.fit_counts(d), w, atol=1e-4)
+
+    sparse = [classifier.shares(c) for c in classifier.grams([b"good words here " * int(3 + k) if k else b"bad junk junk" for k in y])]
+    full = np.zeros((60, 2 * classifier.CELLS))
+    for i, (c, v) in enumerate(sparse):
+        full[i, c] = v
+    base, v, seen = x @ w, np.zeros(full.shape[1]), np.full(full.shape[1], 1e-12)
+    for _ in range(classifier.GRAM_STEPS):
+        s = base + full @ v
+        p = 1 / (1 + np.exp(s[better] - s[worse]))
+        g = -((full[better] - full[worse]) * p[:, None]).mean(0) + classifier.PENALTY * v
+        seen += g * g
+        v -= classifier.RATE * g / np.sqrt(seen)
+    cells, values = (np.concatenate(z) for z in zip(*sparse, strict=True))
+    got = classifier.fit_grams(base, cells, values, np.r_[0, np.cumsum([len(c) for c, _ in sparse])], better, worse)
+    assert np.allclose(full @ got, full @ v, atol=1e-3)
+    assert (full @ v)[y == 1].min() > (full @ v)[y == 0].max()
+
+
+def test_grams_count_every_occurrence():
+    words, chars = classifier.grams([b"a b a b", b"", b"abc"])[0]
+    assert len(words) == 4 + 3 and len(chars) == 4 and words[0] == words[2] and words[4] == words[6]
+    assert [len(x) for x in classifier.grams([b"x", b""])[1]] == [0, 0]
+    cells, values = classifier.shares((words, chars))
+    assert abs(values.sum() - 2 * classifier.SHARE) < 1e-3 and len(set(cells.tolist())) == len(cells)
+
+
+def test_equal_texts_score_alike(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, None), (None, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2, 4)], "doc_id bigint, quality int")
+    got = classifier.classify(df, labels).collect()
+    assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1 and len({r.score for r in got if r.doc_id in (3, None)}) == 1
+
+
 def test_repeated_words_of_random_sequences():
     rng = random.Random(4)
     for _ in range(200):

@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from shoebox.llm import simhash
+from shoebox.llm import components
 from shoebox.llm.components import connected_components
 
 SCHEMA = "doc_id bigint, text string, fp string, root int"
@@ -78,7 +79,9 @@ def test_nulls_repeats_and_empty_table(spark):
 
 
 @pytest.mark.parametrize("n", [2, 40])
-def test_components_of_paths_and_hubs(spark, n):
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_components_of_paths_and_hubs(spark, n, small, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, n)] + [(5000, 5000), (None, 3)]
     got = {(r.node, r.root) for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {(i, 0) for i in range(1, n + 1)} | {(1000 + i, 1000) for i in range(1, n)}
