@@ -3,8 +3,11 @@
 An ARC file starts with a version block that names the fields of its record lines; each
 record is such a line, whose last field declares the length of the body, and the body.
 The converter reads the lines by their version, and makes the WARC identifier, date, type
-and digests that ARC lacks. Archives are written by Spark's text sink, whose line end is
-the end of a record, and read whole by its binary source, a record at a time.
+and digests that ARC lacks. Payloads are bytes, whatever their character set. Archives are
+files of gzip members, one for each record, written through Spark's text sink: a member of
+less than 16 MiB ends in a zero byte, which serves as the sink's line end. They are read by
+its binary source, a file at a time - what one task wrote, so about a scan split - and a
+record of it at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import cut, scratch_path
+from shoebox.llm.common import cut, forget, in_small_batches, scratch_path
 
 #: The fields of a record line in ARC versions 1 and 2.
 FIELDS = {
@@ -29,7 +32,9 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 SOFTWARE = "shoebox"
-ARC_ROWS = "url string, ip string, date string, content_type string, page_id bigint, http string, payload string, payload_bytes bigint, digest string"
+#: Bytes of a gzip member at most, so that the last byte of its length is zero.
+MEMBER = (1 << 24) - 1
+ARC_ROWS = "url string, ip string, date string, content_type string, page_id bigint, http string, payload binary, payload_bytes bigint, digest string"
 WARC_ROWS = "record_type string, record_id string, refers_to_id string, target_uri string, date string, page_id bigint, payload_bytes bigint, payload_digest string"
 _PAGE = re.compile(r"^X-Page-Id: (-?\d+)\r?$", re.M)
 _LENGTH = re.compile(r"^Content-Length: (\d+)\r?$", re.M)
@@ -57,33 +62,44 @@ def _no_space(text: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f\x85\xa0  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text or "") or "-"
 
 
-def version_block(version: int) -> str:
+def member(record: bytes) -> bytes:
+    """A record as gzip members - one, unless it is longer than MEMBER - without the zero byte that the last one ends with."""
+    cuts = range(0, max(1, len(record)), MEMBER)
+    return b"".join(gzip.compress(record[i : i + MEMBER], 1, mtime=0) for i in cuts)[:-1]
+
+
+def _write(records: DataFrame, path: str) -> None:
+    """Write the rows of one binary column as archives: the bytes as they are, each followed by the zero byte that ``member`` left out."""
+    records.select(F.col(records.columns[0]).cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+
+
+def version_block(version: int) -> bytes:
     body = f"{version} 0 {SOFTWARE}\n{FIELDS[version]}\n"
     more = "" if version == 1 else " 200 - - 0 pages.arc"
-    return f"filedesc://pages.arc 0.0.0.0 19960101000000 text/plain{more} {len(body)}\n{body}"
+    return f"filedesc://pages.arc 0.0.0.0 19960101000000 text/plain{more} {len(body)}\n{body}\n".encode()
 
 
-def arc_record(version: int, url: str, date: str, page_id: int | None, html: str) -> str:
-    payload = html.encode()
+def arc_record(version: int, url: str, date: str, page_id: int | None, payload: bytes) -> bytes:
     own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
     body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
     more = "" if version == 1 else f" 200 {hashlib.md5(payload).hexdigest()} - 0 pages.arc"
-    return f"{_no_space(url)} 0.0.0.0 {date} text/html{more} {len(body) + len(payload)}\n{body}{html}"
+    return f"{_no_space(url)} 0.0.0.0 {date} text/html{more} {len(body) + len(payload)}\n{body}".encode() + payload + b"\n"
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
-    """Archives of ``pages`` (page_id, url, html): one file for each task, of version 1 and 2 in turn."""
+    """Archives of ``pages`` (page_id, url, html): one file for each task, of version 1 and 2 in turn; html may be text or bytes."""
 
     def run(batches):
         version = 1 + TaskContext.get().partitionId() % 2
-        first = [version_block(version)]
+        first = [member(version_block(version))]
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(first + [arc_record(version, url, "19960101000000", page_id, html or "") for page_id, url, html in rows], pa.string())], ["value"])
+            made = [member(arc_record(version, url, "19960101000000", page_id, html or b"")) for page_id, url, html in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(first + made, pa.binary())], ["value"])
             first = []
 
-    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "value string")
-    rows.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows = in_small_batches(pages).select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("binary"))
+    _write(rows.mapInArrow(run, "value binary"), path)
 
 
 def arc_records(stream):
@@ -114,7 +130,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
 
 
-def _batches(rows, schema: pa.Schema, most_bytes: int = 16 << 20):
+def _batches(rows, schema: pa.Schema, most_bytes: int = 4 << 20):
     held, size = [], 0
     for row, weight in rows:
         held.append(row)
@@ -127,7 +143,7 @@ def _batches(rows, schema: pa.Schema, most_bytes: int = 16 << 20):
 
 
 def _schema(ddl: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "bigint": pa.int64()}
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
@@ -138,9 +154,9 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     def rows(content: bytes):
         for f, body in arc_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))):
             http, _, payload = body.partition(b"\r\n\r\n") if body.startswith(b"HTTP/") else (b"", b"", body)
-            http = http.decode("utf-8", "replace")
+            http = http.decode("latin-1")
             page = _PAGE.search(http)
-            shown = payload.decode("utf-8", "replace") if payloads else None
+            shown = payload if payloads else None
             yield (f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"], int(page[1]) if page else None, http, shown, len(payload), base32_sha1(payload)), len(payload) * payloads
 
     def run(batches):
@@ -151,9 +167,9 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     return _files(spark, path).mapInArrow(run, ARC_ROWS)
 
 
-def warc_record(kind: str, headers: dict[str, str | None], block: str) -> str:
+def warc_record(kind: str, headers: dict[str, str | None], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in headers.items() if v is not None)
-    return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(block.encode())}\r\n\r\n{block}"
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
@@ -162,39 +178,39 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
     Of records with equal payloads of ``least_bytes`` or more, the one with the least
     page_id is a response, the others are revisits that refer to it; all records of that
     page_id with that payload are responses. A record without a page_id comes after all
-    others. Records that aren't HTTP are resources.
+    others. Records that aren't HTTP are resources. The archives are parsed once: what is
+    read is written as a table, from which digests and records are taken.
     """
-    narrow = read_arc(spark, arc_path, payloads=False).where(f"http <> '' and payload_bytes >= {least_bytes}")
-    same = cut(narrow.groupBy("digest", "page_id").count(), "digests")
+    rows = cut(read_arc(spark, arc_path), "arc_records")
+    same = cut(rows.where(f"http <> '' and payload_bytes >= {least_bytes}").groupBy("digest", "page_id").count(), "digests")
     first = same.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     # one row for each page that repeats another's payload; written, so that its size decides how it is joined
     later = same.join(first, "digest").where("not (page_id <=> first)").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first")
     later = cut(later, "revisits")
-    rows = read_arc(spark, arc_path)
-    rows = rows.join(later, rows["page_id"].eqNullSafe(later["_page"]) & (rows["digest"] == later["_digest"]), "left").drop("_page", "_digest")
+    marked = rows.join(later, rows["page_id"].eqNullSafe(later["_page"]) & (rows["digest"] == later["_digest"]), "left").drop("_page", "_digest")
 
     def run(batches):
-        info = [warc_record("warcinfo", {"WARC-Record-ID": f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'warcinfo:{TaskContext.get().partitionId()}').urn}>", "WARC-Date": iso_date("19960101"), "Content-Type": "application/warc-fields"}, f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n")]
+        info = [member(warc_record("warcinfo", {"WARC-Record-ID": f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'warcinfo:{TaskContext.get().partitionId()}').urn}>", "WARC-Date": iso_date("19960101"), "Content-Type": "application/warc-fields"}, f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode()))]
         for b in batches:
             out = []
             for r in b.to_pylist():
                 kind = "resource" if not r["http"] else "revisit" if r["first"] is not None else "response"
-                digest = f"sha1:{r['digest']}"
-                headers = {"WARC-Record-ID": f"<{record_id(r['page_id'], r['digest'])}>", "WARC-Date": iso_date(r["date"]), "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": digest}
+                headers = {"WARC-Record-ID": f"<{record_id(r['page_id'], r['digest'])}>", "WARC-Date": iso_date(r["date"]), "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": f"sha1:{r['digest']}"}
                 if kind == "resource":
-                    out.append(warc_record(kind, headers | {"Content-Type": r["content_type"]}, r["payload"]))
+                    out.append(member(warc_record(kind, headers | {"Content-Type": r["content_type"]}, r["payload"])))
                     continue
-                block = f"{r['http']}\r\n\r\n" + (r["payload"] if kind == "response" else "")
+                block = r["http"].encode("latin-1") + b"\r\n\r\n" + (r["payload"] if kind == "response" else b"")
                 headers["Content-Type"] = "application/http; msgtype=response"
-                headers["WARC-Block-Digest"] = f"sha1:{base32_sha1(block.encode())}"
+                headers["WARC-Block-Digest"] = f"sha1:{base32_sha1(block)}"
                 if kind == "revisit":
                     headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
                     headers["WARC-Refers-To"] = f"<{record_id(r['first'], r['digest'])}>"
-                out.append(warc_record(kind, headers, block))
-            yield pa.RecordBatch.from_arrays([pa.array(info + out, pa.string())], ["value"])
+                out.append(member(warc_record(kind, headers, block)))
+            yield pa.RecordBatch.from_arrays([pa.array(info + out, pa.binary())], ["value"])
             info = []
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    _write(in_small_batches(marked).mapInArrow(run, "value binary"), warc_path)
+    forget(rows, same, later)
 
 
 def warc_records(stream):
@@ -225,7 +241,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             if kind == "warcinfo":
                 continue
             http, _, payload = block.partition(b"\r\n\r\n") if kind != "resource" else (b"", b"", block)
-            http = http.decode("utf-8", "replace")
+            http = http.decode("latin-1")
             digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
             if kind != "revisit" and base32_sha1(payload) != digest:
                 raise ValueError(f"the payload of {h['WARC-Record-ID']} isn't that of its digest")
@@ -254,8 +270,11 @@ def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     write_arc(pages, arc)
     convert(spark, arc, warc, least_bytes)
     found = cut(read_warc(spark, warc), "records")
-    known = found.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("refers_to"))
-    return found.join(known.withColumnRenamed("record_id", "_id"), F.col("refers_to_id") == F.col("_id"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type")
+    known = found.where("record_type = 'response'").groupBy("record_id").agg(F.min("page_id").alias("refers_to")).withColumnRenamed("record_id", "_id")
+    # only revisits look for the record that they refer to
+    revisits = found.where("record_type = 'revisit'").join(known, F.col("refers_to_id") == F.col("_id"), "left").select(*columns, "refers_to")
+    return found.where("record_type <> 'revisit'").select(*columns, F.lit(None).cast("bigint").alias("refers_to")).unionByName(revisits)
 
 
 def oracle() -> str:

@@ -316,7 +316,7 @@ def test_arc_versions_and_damage():
     import io
 
     for v in (1, 2):
-        text = (warc.version_block(v) + "\n" + warc.arc_record(v, "http://x/é y", "20010203", 4, "hé\n\nllo") + "\n" + warc.arc_record(v, "http://z", "1", None, "") + "\n").encode()
+        text = warc.version_block(v) + warc.arc_record(v, "http://x/é y", "20010203", 4, "hé\n\nllo".encode()) + warc.arc_record(v, "http://z", "1", None, b"")
         found = list(warc.arc_records(io.BytesIO(text)))
         assert [b.partition(b"\r\n\r\n")[2].decode() for _, b in found] == ["hé\n\nllo", ""]
         assert found[0][0]["URL"] == "http://x/é%20y"
@@ -325,6 +325,45 @@ def test_arc_versions_and_damage():
     assert warc.iso_date("20010203") == "2001-02-03T00:00:00Z" and warc.iso_date("bad") == "1970-01-01T00:00:00Z"
 
 
+def test_bytes_that_are_no_text_survive(spark, tmp_path):
+    """Latin-1 and binary bodies keep their bytes and digests, from ARC to WARC and back, a record a gzip member."""
+    import gzip
+    import io
+
+    bodies = {1: "Käse".encode("latin-1"), 2: bytes(range(256)) * 40, 3: b"", 4: b"\0\0", 5: "Käse".encode("latin-1")}
+    pages = spark.createDataFrame([(k, "http://u", bytearray(v)) for k, v in bodies.items()], "page_id bigint, url string, html binary").coalesce(1)
+    warc.write_arc(pages, f"{tmp_path}/arc")
+    read = {r.page_id: r for r in warc.read_arc(spark, f"{tmp_path}/arc").collect()}
+    assert {k: bytes(r.payload) for k, r in read.items()} == bodies
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    back = {r.page_id: r for r in warc.read_warc(spark, f"{tmp_path}/warc").collect()}
+    assert {k: r.payload_digest for k, r in back.items()} == {k: warc.base32_sha1(v) for k, v in bodies.items()}
+    assert back[5].record_type == "revisit" and back[5].refers_to_id == back[1].record_id
+    raw = next(p.read_bytes() for p in (tmp_path / "warc").glob("part-*"))
+    members, rest = 0, raw
+    while rest:
+        one = __import__("zlib").decompressobj(31)
+        assert one.decompress(rest).startswith(b"WARC/1.1") and one.eof
+        members, rest = members + 1, one.unused_data
+    assert members == 6 and gzip.GzipFile(fileobj=io.BytesIO(raw)).read().count(b"WARC/1.1") == 6
+
+
+def test_many_equal_pages_are_spread(spark):
+    df = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("p"), F.col("id"))).alias("html"))
+    got = warc.archive(df)
+    assert got.where("record_type = 'revisit'").count() == 999 and got.where("refers_to = 0").count() == 999
+    sizes = [r[1] for r in got.where("record_type = 'response'").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2] + 10
+
+
+def test_long_records_are_several_members(monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "MEMBER", 1000)
+    record = random.Random(1).randbytes(4321)
+    assert gzip.decompress(warc.member(record) + b"\0") == record
+
+
 def test_classifier(spark, docs):
     df, rows = docs
     rng = random.Random(3)
