@@ -85,6 +85,22 @@ def test_license(docs):
     assert license.scan(df.where("false")).count() == 0
 
 
+def test_whole_and_damaged_licence_texts(spark):
+    """A template agrees with itself in full, a damaged one in part, a moved or partial one by its key phrase."""
+    whole = license._MIT
+    words = whole.split()
+    damaged = " ".join(w if i < 14 or i % 10 else "other" for i, w in enumerate(words))
+    texts = [whole, f"Copyright 2020 a name\n{whole} more", damaged, " ".join(words[:20]), license._gnu("Affero General Public License", "3"), "mit license " * 500, f"{license._BSD_TOP} {license._BSD_NAMES}", "permission is granted"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license.scan(df).collect()}
+    assert got[0].labels == got[1].labels == "mit-text" and got[0].score == got[1].score == 1.0
+    assert got[2].labels == "mit-text" and 0.85 < got[2].score < 0.95
+    assert 0.05 < got[3].score < 0.2
+    assert got[4].labels == "agpl,gpl" or "agpl" in got[4].labels and got[4].score == 1.0
+    assert got[5].n_base == 500 and got[5].last_word == 998 and "bsd-3-clause" in got[6].labels and (got[7].labels, got[7].score) == ("", 0.0)
+    same(license.scan(df), as_duck(list(enumerate(texts))), license.oracle())
+
+
 def test_syncmers(docs):
     df, rows = docs
     got = syncmers.compare(df).collect()
