@@ -123,6 +123,77 @@ def test_syncmers(docs):
     assert syncmers.compare(df.where("false")).count() == 0
 
 
+def slow_anchors(text, rate, least):
+    """[(hash, place)] of a fingerprint, from every k-mer of the text."""
+    import xxhash
+
+    def chained(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else (v & (2**64 - 1)).to_bytes(8, "little"), seed)
+        return seed - (1 << 64) * (seed >> 63)
+
+    words = words_of(text)
+    t = list("".join(words)) if len(text) < syncmers.SHORT else [x for w in words for x in (list(w) if len(w) > syncmers.LONG else [w])]
+    h, found = [chained(w.encode()) for w in t], {}
+    for i in range(len(h) - syncmers.K + 1):
+        runs = [chained(h[i + j], h[i + j + 1]) for j in range(syncmers.K - syncmers.S + 1)]
+        if min(runs) in (runs[0], runs[-1]):
+            found.setdefault(chained(runs[0], chained(h[i + 2], h[i + 3]), h[i + 4]) & 0xFFFFFFFF, i)
+    if not found and h:
+        whole = 17
+        for x in h:
+            whole = chained(whole, x)
+        return [(whole & 0xFFFFFFFF, 0)]
+    return [(d, p) for k, (d, p) in enumerate(sorted(found.items())) if k < least or d < 2**32 // rate]
+
+
+def slow_likeness(a, b, rate, least):
+    if not a and not b:
+        return 1.0
+    limit = min(2**32 - 1 if rate == 1 or len(x) < least else max(2**32 // rate - 1, x[-1][0]) for x in (a, b))
+    a, b = ({d: p for d, p in x if d <= limit} for x in (a, b))
+    bins = [(a[d] - b[d]) // syncmers.SLACK for d in a.keys() & b.keys()]
+    return 2 * max((bins.count(k) + bins.count(k - 1) for k in bins), default=0) / (len(a) + len(b)) if bins else 0.0
+
+
+@pytest.mark.parametrize("rate, least", [(syncmers.RATE, syncmers.LEAST), (4, 5), (1, 5)])
+def test_fingerprints_and_likeness_by_brute_force(docs, rate, least):
+    df, rows = docs
+    key = lambda r: -(1 << 63) if r[0] is None else r[0]
+    text = {}
+    for r in rows:
+        text.setdefault(key(r), r[1] or "")
+    ids = sorted(text, reverse=True)
+    want = []
+    for r in rows:
+        t = r[1] or ""
+        after = text[ids[(ids.index(key(r)) + 1) % len(ids)]]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, e, n = (slow_anchors(x, rate, least) for x in (t, edited, after))
+        want.append(str((r[0], *(" ".join(f"{d:08x}@{p}" for d, p in x) for x in (a, e)), round(slow_likeness(a, e, rate, least), 9), round(slow_likeness(a, n, rate, least), 9))))
+    got = syncmers.compare(df, rate, least).collect()
+    assert sorted(str((r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9))) for r in got) == sorted(want)
+
+
+def test_sampled_likeness_is_near_the_exact_one():
+    rng = random.Random(9)
+    worst = 0.0
+    for n in (150, 600, 3000):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(n)]
+        for share in (0.5, 0.8, 0.95):
+            # the other text is cut short or has words changed
+            other = words[: int(n * share)] if rng.random() < 0.5 else [w if rng.random() < share else "x" + w for w in words]
+            exact, some = (slow_likeness(*(slow_anchors(" ".join(x), r, syncmers.LEAST) for x in (words, other)), r, syncmers.LEAST) for r in (1, syncmers.RATE))
+            worst = max(worst, abs(exact - some))
+    assert worst < 0.15  # a sample of 64 anchors has a deviation of about 0.06
+
+
+def test_unspaced_and_short_texts_have_many_anchors():
+    assert len(slow_anchors("".join(chr(0x4E00 + i * 7 % 900) for i in range(300)), 1, 1)) > 50
+    assert len(slow_anchors("a few words only in this one", 1, 1)) > 3
+
+
 def test_syncmers_are_closed_and_context_free(spark):
     rng = random.Random(1)
     body = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
