@@ -80,17 +80,35 @@ def distinct_names(names) -> list[str]:
 
 
 def trailing_names(stem: str, names: list[str], block: str = BLOCK) -> tuple[str, list[str]]:
-    """(root, names): the known names that end a stem after some block separator, the earliest that leaves a root."""
+    """(root, names): the known names that end a stem after some block separator, the earliest that leaves a root.
+
+    Names are compared without case, the longest first; between two of them stands something of BETWEEN_NAMES.
+    """
     if not stem or not names or not block:
         return stem, []
-    one = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
-    ending = re.compile(rf"(?:{one})(?:{BETWEEN_NAMES}(?:{one}))*", re.IGNORECASE)
-    known = {n.casefold(): n for n in names}
+    longest = sorted(names, key=lambda n: (-len(n), n))
+    between = re.compile(BETWEEN_NAMES)
+
+    def read(rest: str) -> list[str]:
+        found, at = [], 0
+        while at < len(rest):
+            if found:
+                gap = between.match(rest, at)
+                if not gap:
+                    return []
+                at = gap.end()
+            hit = next((n for n in longest if rest[at : at + len(n)].casefold() == n.casefold()), None)
+            if hit is None:
+                return []
+            found.append(hit)
+            at += len(hit)
+        return found
+
     at = stem.find(block)
     while at >= 0:
         rest = stem[at + len(block) :].strip()
-        if at > 0 and rest and ending.fullmatch(rest):
-            return stem[:at], [known[m.casefold()] for m in re.findall(one, rest, re.IGNORECASE)]
+        if at > 0 and rest and (found := read(rest)):
+            return stem[:at], found
         at = stem.find(block, at + len(block))
     return stem, []
 

@@ -177,11 +177,13 @@ def rename_person(lib: Library, person_id: int, name: str) -> Library:
 
 
 def delete_person(lib: Library, person_id: int, target: str = "unassigned") -> Library:
-    """Delete a person; the faces become loose, or are archived with their clusters."""
+    """Delete a person; the faces become active and loose, or are archived with their clusters. Nobody's pool is to be rebuilt."""
+    if not lib.person.where(F.col("id") == person_id).limit(1).count():
+        raise LookupError(f"there is no person {person_id}")
     own = lib.cluster.where(F.col("person_id") == person_id).select(F.col("id").alias("cluster_id"), F.lit(True).alias("_own"))
     face = lib.face.join(own, "cluster_id", "left")
     if target == "unassigned":
-        face = face.withColumn("cluster_id", F.when(F.col("_own"), None).otherwise(F.col("cluster_id")))
+        face = face.withColumn("cluster_id", F.when(F.col("_own"), None).otherwise(F.col("cluster_id"))).withColumn("review_status", F.when(F.col("_own"), "active").otherwise(F.col("review_status")))
     elif target in FACE_STATUSES[1:]:
         face = face.withColumn("review_status", F.when(F.col("_own"), target).otherwise(F.col("review_status")))
     else:
@@ -268,3 +270,49 @@ def merge_duplicate_images(lib: Library) -> Library:
     gone = remap.select(F.col("_old").alias("id"))
     face = lib.face.join(remap.select(F.col("_old").alias("image_id")), "image_id", "left_anti").select(*lib.face.columns)
     return drop_empty_clusters(lib.with_tables(image=lib.image.join(gone, "id", "left_anti"), image_location=places, face=face))
+
+
+def clear_dirty(lib: Library, persons: DataFrame) -> Library:
+    """Take people (null: nobody's pool) off the list of groups to be rebuilt."""
+    done = persons.select(F.coalesce(F.col("person_id").cast("bigint"), F.lit(-1)).alias("person_id")).distinct()
+    held = lib.recluster_dirty_person
+    return lib if held is None else lib.with_tables(recluster_dirty_person=held.join(done, "person_id", "left_anti"))
+
+
+def dirty_scopes(lib: Library) -> DataFrame:
+    """(person_id, face_count) of the groups to be rebuilt that still have active faces; -1 is nobody's pool."""
+    owner = lib.cluster.select(F.col("id").alias("cluster_id"), "person_id")
+    faces = lib.face.where("review_status = 'active'").join(owner, "cluster_id", "left").groupBy(F.coalesce("person_id", F.lit(-1)).alias("person_id")).agg(F.count("*").alias("face_count"))
+    return faces.join(lib.recluster_dirty_person, "person_id", "left_semi")
+
+
+def recluster_inbox(lib: Library, vectors: DataFrame, threshold: float) -> Library:
+    """Group the active loose faces among themselves and with nobody's active clusters; each group's cluster is made, a face alone too.
+
+    ``vectors`` has id and vec; faces without one stay loose. Known clusters keep their ids,
+    new ones are numbered after all others; only faces that are still loose are claimed.
+    """
+    from shoebox.operators.clustering import assign_incrementally
+
+    nobody = lib.cluster.where("person_id is null").select(F.col("id").alias("cluster_id"))
+    active = lib.face.where("review_status = 'active'").join(vectors, "id")
+    pool = F.lit(-1).cast("bigint").alias("group_id")
+    new = active.where("cluster_id is null").select(pool, "id", "vec")
+    known = active.join(nobody, "cluster_id", "left_semi").select(pool, "id", "vec", "cluster_id")
+    found = assign_incrementally(new, known, threshold).select("id", "cluster_id")
+    fresh = max(next_id(lib.cluster), (lib.face.agg(F.max("cluster_id")).first()[0] or 0) + 1)
+    # numbers beyond the pool's own are new; they are moved beyond everybody's
+    top = known.agg(F.max("cluster_id")).first()[0] or 0
+    moved = F.when(F.col("cluster_id") > top, F.col("cluster_id") - top - 1 + fresh).otherwise(F.col("cluster_id"))
+    none = lib.person.where("false").select(F.col("id").alias("person_id"))
+    gone = none.unionByName(lib.person.sparkSession.createDataFrame([(None,)], "person_id bigint"))
+    return clear_dirty(claim_faces(lib, found.withColumn("cluster_id", moved.cast("bigint"))), gone)
+
+
+def rebuild_pool(lib: Library, vectors: DataFrame, threshold: float) -> Library:
+    """Nobody's active faces are set loose and grouped anew; faces of people and archived ones stay."""
+    nobody = lib.cluster.where("person_id is null").select(F.col("id").alias("cluster_id"), F.lit(True).alias("_nobody"))
+    face = lib.face.join(nobody, "cluster_id", "left")
+    loose = F.coalesce("_nobody", F.lit(False)) & (F.col("review_status") == "active")
+    face = face.withColumn("cluster_id", F.when(loose, None).otherwise(F.col("cluster_id"))).select(*lib.face.columns)
+    return recluster_inbox(drop_empty_clusters(lib.with_tables(face=face)), vectors, threshold)

@@ -79,8 +79,9 @@ def image_page(lib: Library, folders=(), persons=(), statuses=(), sort_by="date"
     """The faces and number of locations of a page of images: the page is cut before faces are joined."""
     rows = page(matching_images(lib, folders, persons, statuses), image_order(sort_by, direction), limit, offset)
     counts = lib.image_location.groupBy("image_id").agg(F.count("*").alias("location_count"))
-    faces = named_faces(lib).where(F.col("review_status").isin("active", *statuses)).select("image_id", F.col("id").alias("face_id"), "cluster_id", "person_name", "review_status")
-    return rows.join(counts, "image_id", "left").join(faces, "image_id", "left")
+    faces = named_faces(lib).where(F.col("review_status").isin("active", *statuses)).select("image_id", F.col("id").alias("face_id"), "bbox_x", "cluster_id", "person_name", "review_status")
+    # a page is short, so its order is put back after the joins; faces stand from the left
+    return rows.join(counts, "image_id", "left").join(faces, "image_id", "left").orderBy(*image_order(sort_by, direction), "bbox_x", "face_id")
 
 
 def image_documents(lib: Library, rows: DataFrame) -> DataFrame:
@@ -102,8 +103,8 @@ def image_detail(lib: Library, image_id: int) -> DataFrame:
 
 def available_path(locations: DataFrame, preferred: str | None = None) -> DataFrame:
     """For each image the first location that exists: the preferred path, else the least. Needs a column ``exists``."""
-    order = f"(path <> '{preferred}'), path" if preferred else "path"
-    return locations.where("exists").withColumn("_rank", F.expr(f"row_number() over (partition by image_id order by {order})")).where("_rank = 1").select("image_id", "path")
+    other = F.col("path") != F.lit(preferred) if preferred else F.lit(False)
+    return locations.where("exists").groupBy("image_id").agg(F.min(F.struct(other.alias("other"), "path")).alias("r")).select("image_id", "r.path")
 
 
 def available_persons(lib: Library, folders: Sequence[str] = ()) -> DataFrame:
@@ -175,11 +176,12 @@ def review_group_faces(lib: Library, group_key: str) -> DataFrame:
 
 
 def person_list(lib: Library) -> DataFrame:
-    return lib.person.select("id", "name")
+    """People by name, without regard to case, then id."""
+    return lib.person.select("id", "name").orderBy(F.lower("name"), "id")
 
 
 def person_faces(lib: Library, person_id: int) -> DataFrame:
-    return named_faces(lib).where(F.col("person_id") == person_id).select(F.col("id").alias("face_id"), "image_id", "cluster_id", "review_status")
+    return named_faces(lib).where(F.col("person_id") == person_id).select(F.col("id").alias("face_id"), "image_id", "cluster_id", "review_status").orderBy("face_id")
 
 
 def person_rollup(lib: Library) -> DataFrame:
@@ -260,3 +262,83 @@ def search_clusters(lib: Library, text: str) -> DataFrame:
     q = text.lower()
     hit = F.lower(F.coalesce("person_name", F.lit(""))).contains(q) | F.lower(F.coalesce("cluster_label", F.lit(""))).contains(q) | F.concat(F.lit("gruppe "), F.col("cluster_id").cast("string")).contains(q)
     return cluster_summaries(lib).where(hit)
+
+
+def rename_order() -> list[Column]:
+    return [F.lower("directory"), F.lower("current_filename"), F.col("location_id")]
+
+
+def rename_page(candidates: DataFrame, limit: int = 40, offset: int = 0) -> DataFrame:
+    """A page of renaming candidates in order of folder and name: what is to change is filtered before the page is cut."""
+    return page(candidates, rename_order(), limit, offset)
+
+
+def in_asked_order(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """The ``rows`` whose key was asked for, in the order of asking: ``asked`` has the key and its place; of a key asked twice the first place counts."""
+    first = asked.groupBy(key).agg(F.min("place").alias("place"))
+    return rows.join(first, key).orderBy("place")
+
+
+def person_picker(lib: Library) -> DataFrame:
+    """(id, name, face_count) of people by their active faces, most first, then by name."""
+    counts = cluster_summaries(lib).join(lib.cluster.select(F.col("id").alias("cluster_id"), "person_id"), "cluster_id").groupBy("person_id").agg(F.sum("face_count").alias("face_count"))
+    named = lib.person.join(counts, lib.person["id"] == counts["person_id"], "left")
+    return named.select("id", "name", F.coalesce("face_count", F.lit(0)).alias("face_count")).orderBy(F.desc("face_count"), F.lower("name"), "id")
+
+
+def archive_sections(lib: Library) -> DataFrame:
+    """(review_status, face_count, cluster_count, image_count) of archived faces; each count is of grouped rows."""
+    archived = lib.face.where("review_status <> 'active'")
+    faces = archived.groupBy("review_status").agg(F.count("*").alias("face_count"))
+    clusters = archived.where("cluster_id is not null").select("review_status", "cluster_id").distinct().groupBy("review_status").agg(F.count("*").alias("cluster_count"))
+    images = archived.select("review_status", "image_id").distinct().groupBy("review_status").agg(F.count("*").alias("image_count"))
+    return faces.join(clusters, "review_status", "left").join(images, "review_status", "left").select("review_status", "face_count", F.coalesce("cluster_count", F.lit(0)).alias("cluster_count"), "image_count")
+
+
+def active_vectors(lib: Library) -> DataFrame:
+    """(id, cluster_id, person_id, embedding) of active faces with a vector; -1 for no cluster and no person."""
+    faces = named_faces(lib).where("review_status = 'active' and embedding is not null")
+    none = F.lit(-1).cast("bigint")
+    return faces.select("id", F.coalesce("cluster_id", none).alias("cluster_id"), F.coalesce("person_id", none).alias("person_id"), "embedding")
+
+
+def after_id(rows: DataFrame, last: int | None, limit: int) -> DataFrame:
+    """The next ``limit`` rows by id after the last one seen: a keyset page."""
+    rest = rows if last is None else rows.where(F.col("id") > last)
+    return rest.orderBy("id").limit(max(1, limit))
+
+
+def overview(lib: Library) -> DataFrame:
+    """One row of totals: images, locations, faces, people, clusters, inbox, archived."""
+    count = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_one", F.lit(1))
+    faces = lib.face.agg(F.count("*").alias("faces"), F.count_if(F.expr("review_status = 'active' and cluster_id is null")).alias("inbox"), F.count_if(F.expr("review_status <> 'active'")).alias("archived")).withColumn("_one", F.lit(1))
+    out = faces
+    for df, name in ((lib.image, "images"), (lib.image_location, "locations"), (lib.person, "people"), (lib.cluster, "clusters")):
+        out = out.join(count(df, name), "_one")  # each side is one row
+    return out.drop("_one")
+
+
+def _previews(lib: Library, suggestions: DataFrame) -> DataFrame:
+    shown = cluster_previews(lib).select("cluster_id", F.col("face_ids").alias("preview_face_ids"))
+    return suggestions.join(shown, "cluster_id", "left")
+
+
+def person_suggestion_list(lib: Library) -> DataFrame:
+    """Pending proposals of people for clusters without one, with the first faces: by name without case, then confidence and size, largest first."""
+    free = lib.cluster.where("person_id is null").select(F.col("id").alias("cluster_id"))
+    names = lib.person.select(F.col("id").alias("person_id"), F.col("name").alias("person_name"))
+    pending = lib.cluster_person_suggestion.where("status = 'pending'").drop("status").join(free, "cluster_id", "left_semi").join(names, "person_id")
+    found = _previews(lib, pending.withColumn("recommended", F.col("confidence") >= 0.72))
+    return found.orderBy(F.lower("person_name"), F.desc("confidence"), F.desc("face_count"), "cluster_id")
+
+
+def review_suggestion_list(lib: Library) -> DataFrame:
+    """Pending proposals of review states with the first faces, by confidence and size, largest first."""
+    pending = lib.cluster_review_suggestion.where("status = 'pending'").drop("status").withColumn("recommended", F.col("confidence") >= 0.80)
+    return _previews(lib, pending).orderBy(F.desc("confidence"), F.desc("face_count"), "cluster_id")
+
+
+def suggestions_by_person(lib: Library) -> DataFrame:
+    """(person_id, person_name, clusters, faces, recommended): pending proposals summed up for each person."""
+    pending = person_suggestion_list(lib)
+    return pending.groupBy("person_id", "person_name").agg(F.count("*").alias("clusters"), F.sum("face_count").cast("bigint").alias("faces"), F.count_if("recommended").alias("recommended"))

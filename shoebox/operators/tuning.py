@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.functions.vector import clipped
+from shoebox.functions.vector import clipped, distance, normalized
 from shoebox.operators import vectors
 
 
@@ -26,16 +26,77 @@ def best_threshold(grid: DataFrame) -> DataFrame:
     return grid.agg(F.max_by(F.struct("threshold", "same", "other", "balanced"), key).alias("r")).select("r.threshold", *(F.round(f"r.{c}", 4).alias(c) for c in ("same", "other", "balanced")))
 
 
+def group_distances(faces: DataFrame, group: str) -> DataFrame:
+    """(id, group, distance): how far each face is from each group's faces but itself: the largest of the nearest, the centroid of them and, where they are three or more, the second nearest."""
+    two = vectors.nearest_two(faces, faces.select("id", group, "vec"), group)
+    centre = vectors.centroids(faces, group).select(F.col(group).alias("_group"), "sum", "n")
+    mine = faces.select("id", F.col(group).alias("_own"), "vec")
+    met = two.join(mine, "id").join(centre, F.col(group) == F.col("_group"))
+    own = F.col("_own").eqNullSafe(F.col(group))
+    rest = F.when(own, F.zip_with("sum", "vec", lambda s, x: s - x)).otherwise(F.col("sum"))
+    n = F.col("n") - own.cast("int")
+    far = F.greatest("nearest", distance(F.col("vec"), normalized(rest)), F.when(n >= 3, F.col("second")))
+    return met.where(n > 0).select("id", group, clipped(far, 0.0, 2.0).alias("distance"))
+
+
 def person_distances(faces: DataFrame) -> DataFrame:
-    """(id, person_id, pos, neg): a face's nearest distance to its own person's other faces, and to any other person's."""
-    named = faces.where("person_id is not null")
-    near = vectors.nearest_reference(named, named.select("id", "person_id", "vec"), "person_id", but_itself=True)
-    joined = near.withColumnRenamed("person_id", "other_person").join(named.select("id", "person_id"), "id")
-    least = joined.groupBy("id").agg(
-        F.min(F.when(F.col("person_id") == F.col("other_person"), F.round("distance", 6))).alias("pos"),
-        F.min(F.when(F.col("person_id") != F.col("other_person"), F.col("distance"))).alias("neg"),
+    """(id, person_id, pos, neg): each named face's distance to its own appearance, and the least to another person.
+
+    The own appearance is the face's cluster, or where it is alone there, its person, without
+    the face itself; null where there is none. Distances are those of ``group_distances``.
+    """
+    if "cluster_id" not in faces.columns:  # then a person has one appearance
+        faces = faces.withColumn("cluster_id", F.col("person_id"))
+    named = faces.where("person_id is not null").select("id", "person_id", "cluster_id", "vec")
+    own = named.select("id", F.col("person_id").alias("_person"), F.col("cluster_id").alias("_cluster"))
+    people = group_distances(named, "person_id").join(own, "id")
+    per = people.groupBy("id").agg(F.min(F.when(F.col("person_id") == F.col("_person"), F.col("distance"))).alias("by_person"), F.min(F.when(F.col("person_id") != F.col("_person"), F.col("distance"))).alias("neg"))
+    looks = group_distances(named, "cluster_id").join(own, "id").where(F.col("cluster_id") == F.col("_cluster")).select("id", F.col("distance").alias("by_cluster"))
+    return named.select("id", "person_id").join(per, "id", "left").join(looks, "id", "left").select("id", "person_id", F.coalesce("by_cluster", "by_person").alias("pos"), "neg")
+
+
+def cohesion(sample: DataFrame, unknown: DataFrame, threshold: float) -> DataFrame:
+    """(cohesion, stable): how wide clusters are, from the sampled people's and from steady clusters of nobody, within 0.85 of the threshold and itself.
+
+    ``sample`` and ``unknown`` have cluster_id and vec; of nobody's clusters those of 5 to 1000 faces that fit the threshold count.
+    """
+    wide = vectors.radii(sample, "cluster_id").where("n >= 3").agg(F.percentile("radius", 0.75).alias("observed"))
+    steady = vectors.radii(unknown, "cluster_id").where((F.col("n") >= 5) & (F.col("n") <= 1000) & (F.col("radius") <= threshold)).agg(F.max("radius").alias("floor"), F.count("*").alias("stable"))
+    first = F.coalesce(clipped(F.col("observed"), 0.85 * threshold, threshold), F.lit(threshold))
+    # both are one row
+    return wide.withColumn("_one", F.lit(1)).join(steady.withColumn("_one", F.lit(1)), "_one").select(clipped(F.greatest(first, F.coalesce("floor", first)), 0.85 * threshold, threshold).alias("cohesion"), "stable")
+
+
+def nearest_pairs(sample: DataFrame) -> DataFrame:
+    """(id, pos, neg): the plain nearest distance to the own cluster, or else the own person, and to any other person, of the faces that have both."""
+    own = sample.select("id", F.col("person_id").alias("_person"), F.col("cluster_id").alias("_cluster"))
+    people = vectors.nearest_two(sample, sample.select("id", "person_id", "vec"), "person_id").join(own, "id")
+    looks = vectors.nearest_two(sample, sample.select("id", "cluster_id", "vec"), "cluster_id").join(own, "id").where(F.col("cluster_id") == F.col("_cluster")).select("id", F.col("nearest").alias("near_cluster"))
+    per = people.groupBy("id").agg(F.min(F.when(F.col("person_id") == F.col("_person"), F.col("nearest"))).alias("near_person"), F.min(F.when(F.col("person_id") != F.col("_person"), F.col("nearest"))).alias("neg"))
+    return per.join(looks, "id", "left").select("id", F.coalesce("near_cluster", "near_person").alias("pos"), "neg").where("pos is not null and neg is not null")
+
+
+def auto_tune(faces: DataFrame) -> DataFrame:
+    """One row: threshold, same, other, balanced, cohesion, anchor, ambiguity, support_ratio, outlier, stable, sampled: the profile that named faces suggest.
+
+    ``faces`` are active ones with id, person_id (null: nobody), cluster_id and vec. A
+    balanced sample of at most 4000 named faces is tuned on. Raises ValueError where there
+    are fewer than three, of one person, or no two of any.
+    """
+    sample = vectors.balanced_sample(faces.where("person_id is not null and cluster_id is not null")).select("id", "person_id", "cluster_id", "vec")
+    n, people, most = sample.groupBy("person_id").count().agg(F.sum("count"), F.count("*"), F.max("count")).first()
+    if (n or 0) < 3 or people < 2 or most < 2:
+        raise ValueError("tuning needs three faces of two people, two of them of one")
+    best = best_threshold(tune_grid(person_distances(sample))).first()
+    t = float(best["threshold"])
+    wide = cohesion(sample, faces.where("person_id is null and cluster_id is not null"), t)
+    limits = profile_quantiles(nearest_pairs(sample), t)
+    held = wide.withColumn("_one", F.lit(1)).join(limits.withColumn("_one", F.lit(1)), "_one")
+    number = lambda x: F.lit(float(x))
+    return held.select(
+        number(t).alias("threshold"), *(number(best[c]).alias(c) for c in ("same", "other", "balanced")), "cohesion", "anchor", "ambiguity", number(0.80).alias("support_ratio"),
+        F.least(F.lit(1.0), F.greatest(number(t), 1.12 * F.col("cohesion"))).alias("outlier"), "stable", F.lit(n).cast("bigint").alias("sampled"),
     )
-    return named.select("id", "person_id").join(least, "id", "left")
 
 
 def profile_quantiles(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -57,7 +118,7 @@ def person_suggestions(targets: DataFrame, prototypes: DataFrame, limit: float,
     (person_id, vec) stand for people. A face anchors its nearest person within the limit and
     ahead of the next; with one person alone the limit is tighter. A cluster whose anchors
     name one person goes to it whole; a mixed one is peeled: each person that has enough
-    anchors is offered those faces alone.
+    anchors is offered those faces alone. best_distance is the median of a proposal's anchors.
     """
     keyed = prototypes.withColumn("id", F.xxhash64("person_id", F.col("vec").cast("string")))
     near = vectors.nearest_reference(targets, keyed, "person_id")
@@ -68,7 +129,7 @@ def person_suggestions(targets: DataFrame, prototypes: DataFrame, limit: float,
     placed = targets.select("id", "cluster_id").join(best, "id")
     sizes = targets.groupBy("cluster_id").agg(F.count("*").alias("face_count"))
     per = placed.where("anchors").groupBy("cluster_id", F.col("best").alias("person_id")).agg(
-        F.count("*").alias("support_count"), F.min("best_distance").alias("best_distance"), F.median("best_distance").alias("middle"), F.median("margin").alias("runner_up_margin")
+        F.count("*").alias("support_count"), F.median("best_distance").alias("best_distance"), F.median("margin").alias("runner_up_margin")
     ).join(sizes, "cluster_id")
     per = per.withColumn("qualified", F.expr(f"count_if(support_count >= {least}) over (partition by cluster_id)"))
     per = per.withColumn("place", F.expr("row_number() over (partition by cluster_id order by support_count desc, person_id)"))
@@ -76,7 +137,7 @@ def person_suggestions(targets: DataFrame, prototypes: DataFrame, limit: float,
     peel = (F.col("qualified") > 1) | (ratio < support)
     per = per.where((F.col("support_count") >= least) & (peel | (F.col("place") == 1)))
     per = per.withColumn("peel", peel).withColumn("support_ratio", F.when(peel, 1.0).otherwise(ratio)).withColumn("face_count", F.when(peel, F.col("support_count")).otherwise(F.col("face_count")))
-    per = per.withColumn("confidence", person_confidence(F.col("support_ratio"), F.col("middle"), F.col("runner_up_margin"), limit))
+    per = per.withColumn("confidence", person_confidence(F.col("support_ratio"), F.col("best_distance"), F.col("runner_up_margin"), limit))
     return per.select("cluster_id", "person_id", "support_count", "face_count", "support_ratio", "best_distance", "runner_up_margin", "confidence", "peel", (F.col("confidence") >= 0.72).alias("recommended"))
 
 
@@ -84,7 +145,8 @@ def review_suggestions(targets: DataFrame, references: DataFrame, anchor: float,
     """(cluster_id, review_status, support_count, face_count, support_ratio, best_distance, confidence, recommended).
 
     ``references`` are archived faces (id, status, vec), of which the newest count. A cluster
-    near enough to archived faces of a state is offered that state, unless two states are close.
+    near enough to archived faces of a state is offered that state, unless two states are close;
+    best_distance is the median of the faces within the state's limit.
     """
     limits = {"unknown_person": min(0.42, max(0.28, 0.9 * anchor)), "not_face": 0.30}
     ratios = {"unknown_person": 0.78, "not_face": 0.88}
@@ -93,11 +155,12 @@ def review_suggestions(targets: DataFrame, references: DataFrame, anchor: float,
     near = vectors.nearest_reference(targets, kept.select("id", code.alias("code"), "vec"), "code").join(targets.select("id", "cluster_id"), "id")
     near = near.withColumn("review_status", F.when(F.col("code") == 1, "unknown_person").otherwise("not_face"))
     of = lambda values: F.when(F.col("review_status") == "unknown_person", values["unknown_person"]).otherwise(values["not_face"])
-    per = near.groupBy("cluster_id", "review_status").agg(F.count_if(F.col("distance") <= of(limits)).alias("support_count"), F.count("*").alias("face_count"), F.median("distance").alias("middle"), F.min("distance").alias("best_distance"))
+    supported = F.when(F.col("distance") <= of(limits), F.col("distance"))
+    per = near.groupBy("cluster_id", "review_status").agg(F.count(supported).alias("support_count"), F.count("*").alias("face_count"), F.median(supported).alias("best_distance")).where("support_count > 0")
     per = per.withColumn("support_ratio", F.col("support_count") / F.col("face_count"))
-    fits = ((F.col("support_count") >= 2) & (F.col("support_ratio") >= of(ratios))) | ((F.col("face_count") == 1) & (F.col("middle") <= of(limits) - 0.09))
+    fits = ((F.col("support_count") >= 2) & (F.col("support_ratio") >= of(ratios))) | ((F.col("face_count") == 1) & (F.col("best_distance") <= of(limits) - 0.09))
     scale = F.greatest(F.lit(0.12), of(limits) - 0.12)
-    per = per.where(fits).withColumn("confidence", clipped(0.62 * F.col("support_ratio") + 0.38 * clipped((of(limits) - F.col("middle")) / scale, 0.0, 1.0), 0.0, 1.0))
+    per = per.where(fits).withColumn("confidence", clipped(0.62 * F.col("support_ratio") + 0.38 * clipped((of(limits) - F.col("best_distance")) / scale, 0.0, 1.0), 0.0, 1.0))
     per = per.withColumn("place", F.expr("row_number() over (partition by cluster_id order by confidence desc, review_status desc)")).withColumn("next", F.expr("lead(confidence) over (partition by cluster_id order by confidence desc, review_status desc)"))
     chosen = per.where((F.col("place") == 1) & (F.col("next").isNull() | (F.col("confidence") - F.col("next") >= 0.06)))
     return chosen.select("cluster_id", "review_status", "support_count", "face_count", "support_ratio", "best_distance", "confidence", (F.col("confidence") >= 0.80).alias("recommended"))

@@ -54,6 +54,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, group:
     def work(a, b):
         d = np.round(1 - a[1] @ b[1].T, digits)
         d[a[0][:, None] == b[0][None, :]] = np.inf
+        if d.shape[1] > k:  # whatever is beyond the k-th distance can't be among the k, ties included
+            keep = (d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]).any(0)
+            d, b = d[:, keep], (b[0][keep], b[1][keep])
         order = np.lexsort((np.broadcast_to(b[0], d.shape), d), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(a[0])), order.shape[1])
         found = pd.DataFrame({"id": a[0][rows], "other": b[0][order.ravel()], "distance": d[rows, order.ravel()]})
@@ -75,8 +78,11 @@ def pairs_within(vectors: DataFrame, limit: float, digits: int = 6) -> DataFrame
     return block_pairs(vectors, vectors, work, _PAIR)
 
 
-def nearest_reference(targets: DataFrame, references: DataFrame, group: str, but_itself: bool = False) -> DataFrame:
-    """(id, group, distance): each target's least distance to the references of each group, a reference of its own id excluded if ``but_itself``; a task returns one row per target and group."""
+def nearest_two(targets: DataFrame, references: DataFrame, group: str, but_itself: bool = True) -> DataFrame:
+    """(id, group, nearest, second): each target's two least distances to the references of each group, a reference of its own id excluded if ``but_itself``.
+
+    second is null where a group has one such reference. A task returns one row per target and group.
+    """
     n = max(1, -(-max(references.count(), 1) // BLOCK))
     m = max(1, -(-max(targets.count(), 1) // BLOCK))
     left = _blocks(targets, m, "qb").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -84,18 +90,26 @@ def nearest_reference(targets: DataFrame, references: DataFrame, group: str, but
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame(columns=["id", "g", "distance"])
+            return pd.DataFrame(columns=["id", "g", "near"])
         x, out = np.stack(a["qb_vec"].to_numpy()), []
         for g, part in b.groupby("g"):
             d = 1 - x @ np.stack(part["vb_vec"].to_numpy()).T
             if but_itself:
                 d[a["qb_id"].to_numpy()[:, None] == part["vb_id"].to_numpy()[None, :]] = np.inf
-            out.append(pd.DataFrame({"id": a["qb_id"], "g": g, "distance": d.min(1)}))
+            best = np.sort(np.partition(d, min(1, d.shape[1] - 1), axis=1)[:, :2], axis=1)
+            out.append(pd.DataFrame({"id": a["qb_id"], "g": g, "near": [[v for v in row if v != np.inf] for row in best.tolist()]}))
         found = pd.concat(out)
-        return found[found["distance"] != np.inf]
+        return found[found["near"].map(len) > 0]
 
-    parts = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(one, "id bigint, g bigint, distance double")
-    return parts.groupBy("id", F.col("g").alias(group)).agg(F.min("distance").alias("distance"))
+    parts = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(one, "id bigint, g bigint, near array<double>")
+    # a block gives two numbers at most, so the list of a target and group is twice the blocks
+    held = parts.groupBy("id", F.col("g").alias(group)).agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    return held.select("id", group, F.get("near", F.lit(0)).alias("nearest"), F.get("near", F.lit(1)).alias("second"))
+
+
+def nearest_reference(targets: DataFrame, references: DataFrame, group: str, but_itself: bool = False) -> DataFrame:
+    """(id, group, distance): each target's least distance to the references of each group."""
+    return nearest_two(targets, references, group, but_itself).select("id", group, F.col("nearest").alias("distance"))
 
 
 def best_and_runner_up(distances: DataFrame, group: str) -> DataFrame:

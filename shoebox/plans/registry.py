@@ -273,9 +273,9 @@ def job_recovery(spark, sf_dir):
     return jobs.recover_jobs(_jobs(spark, sf_dir)).select("id", "status")
 
 
-@register("ewma_rate")
+@register("ewma_rate", "SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda m, x: m * 0.75 + x * 0.25), 6) AS rate, count(*)::INTEGER AS samples FROM events GROUP BY user_id")
 def ewma_rate(spark, sf_dir):
-    return jobs.rates(tables(spark, sf_dir, "events")["events"], ["user_id"], "event_id", "value")
+    return jobs.rates(tables(spark, sf_dir, "events")["events"], ["user_id"], "event_id", "value").withColumn("rate", F.round("rate", 6))
 
 
 @register("makespan_eta")
@@ -386,9 +386,19 @@ def consolidation_choice(spark, sf_dir):
     return clustering.consolidate(_movable(spark, sf_dir), 0.5)
 
 
-_PAIRS = f"""pairs AS (SELECT a.id, a.person_id, min(CASE WHEN a.person_id = b.person_id THEN 1 - {_DOT} END) AS pos, min(CASE WHEN a.person_id <> b.person_id THEN 1 - {_DOT} END) AS neg
- FROM v a JOIN v b ON a.id <> b.id AND b.person_id IS NOT NULL WHERE a.person_id IS NOT NULL GROUP BY ALL)"""
-_GRID = """rates AS (SELECT g / 100.0 AS threshold, person_id, avg(CASE WHEN pos <= g / 100.0 THEN 1.0 ELSE 0.0 END) AS same, avg(CASE WHEN neg > g / 100.0 THEN 1.0 ELSE 0.0 END) AS other FROM pairs, range(101) AS r(g) GROUP BY ALL),
+def _effective(col: str) -> str:
+    """CTEs: far_<col> (id, g, distance), the largest of nearest, leave-one-out centroid and, from three references on, second nearest."""
+    return f"""sum_{col} AS (SELECT {col}, list(s ORDER BY i) AS s FROM (SELECT {col}, i, sum(x) AS s FROM (SELECT {col}, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v WHERE person_id IS NOT NULL) GROUP BY ALL) GROUP BY {col}),
+ near_{col} AS (SELECT a.id, a.{col} AS own, b.{col} AS g, any_value(a.vec) AS vec, list_sort(list(1 - {_DOT})) AS d FROM v a JOIN v b ON a.id <> b.id WHERE a.person_id IS NOT NULL AND b.person_id IS NOT NULL GROUP BY ALL),
+ rest_{col} AS (SELECT n.*, list_transform(list_zip(c.s, n.vec), lambda z: z[1] - CASE WHEN n.own = n.g THEN z[2] ELSE 0 END) AS r FROM near_{col} n JOIN sum_{col} c ON c.{col} = n.g),
+ far_{col} AS (SELECT id, own, g, least(2.0, greatest(0.0, d[1], 1 - list_dot_product(vec, r) / sqrt(list_dot_product(r, r)), CASE WHEN len(d) >= 3 THEN d[2] ELSE 0 END)) AS distance FROM rest_{col})"""
+
+
+_PAIRS = f"""{_effective("person_id")}, {_effective("cluster_id")},
+ by_person AS (SELECT id, min(CASE WHEN own = g THEN distance END) AS pos, min(CASE WHEN own <> g THEN distance END) AS neg FROM far_person_id GROUP BY id),
+ by_cluster AS (SELECT id, min(distance) AS pos FROM far_cluster_id WHERE own = g GROUP BY id),
+ pairs AS (SELECT v.id, v.person_id, coalesce(c.pos, p.pos) AS pos, p.neg FROM v LEFT JOIN by_person p USING (id) LEFT JOIN by_cluster c USING (id) WHERE v.person_id IS NOT NULL)"""
+_GRID = """rates AS (SELECT g / 100.0 AS threshold, person_id, avg(CASE WHEN pos IS NULL THEN NULL WHEN pos <= g / 100.0 THEN 1.0 ELSE 0.0 END) AS same, avg(CASE WHEN neg > g / 100.0 THEN 1.0 ELSE 0.0 END) AS other FROM pairs, range(101) AS r(g) GROUP BY ALL),
  grid AS (SELECT threshold, avg(same) AS same, avg(other) AS other FROM rates GROUP BY threshold)"""
 
 
@@ -414,29 +424,29 @@ def _clip(x: str, low: str = "0", high: str = "1") -> str:
 @register("person_suggestion_scores", f"""WITH {_V}, {_NEAR.replace("round(min(1 - " + _DOT + "), 6)", "min(1 - " + _DOT + ")")}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, person_id) AS rn FROM near),
  best AS (SELECT id, max(CASE WHEN rn = 1 THEN person_id END) AS person_id, max(CASE WHEN rn = 1 THEN distance END) AS d, max(CASE WHEN rn = 2 THEN distance END) - max(CASE WHEN rn = 1 THEN distance END) AS margin FROM r GROUP BY id),
  placed AS (SELECT v.cluster_id, best.* FROM v JOIN best USING (id)),
- per AS (SELECT cluster_id, person_id, count(*) AS support_count, median(d) AS middle, min(d) AS best_distance, median(margin) AS runner_up_margin FROM placed WHERE d <= 0.9 AND margin >= 0.01 GROUP BY ALL),
+ per AS (SELECT cluster_id, person_id, count(*) AS support_count, median(d) AS middle, median(margin) AS runner_up_margin FROM placed WHERE d <= 0.9 AND margin >= 0.01 GROUP BY ALL),
  sized AS (SELECT per.*, s.n AS face_count, count(*) FILTER (support_count >= 3) OVER (PARTITION BY cluster_id) AS qualified, row_number() OVER (PARTITION BY cluster_id ORDER BY support_count DESC, person_id) AS place FROM per JOIN (SELECT cluster_id, count(*) AS n FROM v WHERE person_id IS NULL GROUP BY ALL) s USING (cluster_id)),
  kept AS (SELECT *, qualified > 1 OR support_count / face_count < 0.8 AS peel FROM sized WHERE support_count >= 3), final AS (SELECT *, CASE WHEN peel THEN 1.0 ELSE support_count / face_count END AS ratio FROM kept WHERE peel OR place = 1)
- SELECT cluster_id, person_id, support_count, (CASE WHEN peel THEN support_count ELSE face_count END)::BIGINT AS face_count, round({_clip("0.40 * ratio + 0.25 * " + _clip("(0.9 - middle) / 0.72") + " + 0.35 * " + _clip("runner_up_margin / 0.16"))}, 6)::DOUBLE AS confidence FROM final""")
+ SELECT cluster_id, person_id, support_count, (CASE WHEN peel THEN support_count ELSE face_count END)::BIGINT AS face_count, round(middle, 6) AS best_distance, round({_clip("0.40 * ratio + 0.25 * " + _clip("(0.9 - middle) / 0.72") + " + 0.35 * " + _clip("runner_up_margin / 0.16"))}, 6)::DOUBLE AS confidence FROM final""")
 def person_suggestion_scores(spark, sf_dir):
     from shoebox.operators import tuning
 
     v = face_vectors(spark, sf_dir)
     found = tuning.person_suggestions(v.where("person_id is null"), v.where("person_id is not null and status = 'active'").select("person_id", "vec"), 0.9, 0.01)
-    return found.select("cluster_id", "person_id", "support_count", "face_count", F.round("confidence", 6).alias("confidence"))
+    return found.select("cluster_id", "person_id", "support_count", "face_count", F.round("best_distance", 6).alias("best_distance"), F.round("confidence", 6).alias("confidence"))
 
 
 @register("review_suggestion_scores", f"""WITH {_V}, near AS (SELECT a.id, a.cluster_id, b.status, min(1 - {_DOT}) AS d FROM v a, v b WHERE a.person_id IS NULL AND a.status = 'active' AND b.status <> 'active' GROUP BY ALL),
- per AS (SELECT cluster_id, status, count(*) AS face_count, count(*) FILTER (d <= CASE status WHEN 'unknown_person' THEN 0.405 ELSE 0.3 END) AS support_count, median(d) AS middle FROM near GROUP BY ALL),
+ per AS (SELECT cluster_id, status, count(*) AS face_count, count(*) FILTER (d <= CASE status WHEN 'unknown_person' THEN 0.405 ELSE 0.3 END) AS support_count, median(CASE WHEN d <= CASE status WHEN 'unknown_person' THEN 0.405 ELSE 0.3 END THEN d END) AS middle FROM near GROUP BY ALL),
  fits AS (SELECT *, support_count / face_count AS ratio, CASE status WHEN 'unknown_person' THEN 0.405 ELSE 0.3 END AS lim FROM per), scored AS (SELECT *, {_clip("0.62 * ratio + 0.38 * " + _clip("(lim - middle) / greatest(0.12, lim - 0.12)"))} AS confidence FROM fits WHERE (support_count >= 2 AND ratio >= CASE status WHEN 'unknown_person' THEN 0.78 ELSE 0.88 END) OR (face_count = 1 AND middle <= lim - 0.09)),
  r AS (SELECT *, row_number() OVER w AS place, lead(confidence) OVER w AS next FROM scored WINDOW w AS (PARTITION BY cluster_id ORDER BY confidence DESC, status DESC))
- SELECT cluster_id, status AS review_status, support_count, face_count, round(confidence, 6)::DOUBLE AS confidence FROM r WHERE place = 1 AND (next IS NULL OR confidence - next >= 0.06)""")
+ SELECT cluster_id, status AS review_status, support_count, face_count, round(middle, 6) AS best_distance, round(confidence, 6)::DOUBLE AS confidence, confidence >= 0.80 AS recommended FROM r WHERE place = 1 AND (next IS NULL OR confidence - next >= 0.06)""")
 def review_suggestion_scores(spark, sf_dir):
     from shoebox.operators import tuning
 
     v = face_vectors(spark, sf_dir)
     found = tuning.review_suggestions(v.where("person_id is null and status = 'active'"), v.where("status <> 'active'"), 0.45)
-    return found.select("cluster_id", "review_status", "support_count", "face_count", F.round("confidence", 6).alias("confidence"))
+    return found.select("cluster_id", "review_status", "support_count", "face_count", F.round("best_distance", 6).alias("best_distance"), F.round("confidence", 6).alias("confidence"), "recommended")
 
 
 @register("prototypes")
@@ -518,10 +528,88 @@ def semver_range(spark, sf_dir):
     return releases_between(p.select("p_partkey", F.expr("concat('v', p_size % 3, '.', p_size % 7, '.', p_partkey % 11)").alias("version")), "0.3.5", "2.1.0").select("p_partkey")
 
 
-@register("profile_from_threshold", "SELECT t AS threshold, least(0.48, 0.7 * t)::DOUBLE AS anchor, greatest(0.055, 0.09 * t)::DOUBLE AS ambiguity, least(1.0, 1.12 * t)::DOUBLE AS outlier, (1 - t)::DOUBLE AS strictness FROM (SELECT g / 10.0 AS t FROM range(11) AS r(g))")
-def profile_from_threshold(spark, sf_dir):
-    from shoebox.schemas import clustering_profile
+#: Proposals for the clusters of nobody, made of their numbers.
+_PROPOSED = "SELECT id AS cluster_id, CAST(id % 25 + 1 AS BIGINT) AS person_id, CASE WHEN id % 2 = 0 THEN 'not_face' ELSE 'unknown_person' END AS review_status, (id % 100) / 100.0D AS confidence, CAST(id % 7 + 1 AS INT) AS face_count, CASE WHEN id % 3 = 0 THEN 'dismissed' ELSE 'pending' END AS status FROM cluster WHERE person_id IS NULL"
+_PROPOSALS = "proposed AS (" + _PROPOSED.replace("100.0D", "100.0::DOUBLE") + ")"
+_SHOWN = "shown AS (SELECT cluster_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS preview_face_ids FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS rn FROM face WHERE review_status = 'active' AND cluster_id IS NOT NULL) WHERE rn <= 6 GROUP BY cluster_id)"
+
+
+def _with_proposals(spark, sf_dir):
+    lib = library(spark, sf_dir)
+    proposed = spark.sql(_PROPOSED.replace("FROM cluster", "FROM {cluster}"), cluster=lib.cluster)
+    return lib.with_tables(cluster_person_suggestion=proposed.drop("review_status"), cluster_review_suggestion=proposed.drop("person_id"))
+
+
+@register("person_suggestion_list", sql_of("SELECT cluster_id, p.person_id, n.name AS person_name, confidence, face_count, confidence >= 0.72 AS recommended, preview_face_ids FROM proposed p JOIN person n ON n.id = p.person_id LEFT JOIN shown USING (cluster_id) WHERE status = 'pending'", _PROPOSALS, _SHOWN))
+def person_suggestion_list(spark, sf_dir):
+    found = R.person_suggestion_list(_with_proposals(spark, sf_dir))
+    return found.select("cluster_id", "person_id", "person_name", "confidence", "face_count", "recommended", F.array_join("preview_face_ids", ",").alias("preview_face_ids"))
+
+
+@register("review_suggestion_list", sql_of("SELECT cluster_id, review_status, confidence, face_count, confidence >= 0.80 AS recommended, preview_face_ids FROM proposed LEFT JOIN shown USING (cluster_id) WHERE status = 'pending'", _PROPOSALS, _SHOWN))
+def review_suggestion_list(spark, sf_dir):
+    found = R.review_suggestion_list(_with_proposals(spark, sf_dir))
+    return found.select("cluster_id", "review_status", "confidence", "face_count", "recommended", F.array_join("preview_face_ids", ",").alias("preview_face_ids"))
+
+
+@register("suggestions_by_person", sql_of("SELECT p.person_id, n.name AS person_name, count(*) AS clusters, sum(face_count)::BIGINT AS faces, count(*) FILTER (confidence >= 0.72) AS recommended FROM proposed p JOIN person n ON n.id = p.person_id WHERE status = 'pending' GROUP BY ALL", _PROPOSALS))
+def suggestions_by_person(spark, sf_dir):
+    return R.suggestions_by_person(_with_proposals(spark, sf_dir))
+
+
+@register("rename_page", sql_of("SELECT l.id AS location_id, l.filename AS current_filename, regexp_replace(l.filename, '[.]jpg$', '') || ' ' || n.names || '.jpg' AS proposed_filename FROM image_location l JOIN joined n ON n.image_id = l.image_id WHERE l.image_id IN (SELECT image_id FROM matching) ORDER BY lower(directory), lower(filename), l.id LIMIT 30 OFFSET 10", _NAMED, _matching(INSIDE), _DISTINCT_NAMES))
+def rename_page(spark, sf_dir):
+    return R.rename_page(R.rename_candidates(library(spark, sf_dir), [FOLDER]), 30, 10).select("location_id", "current_filename", "proposed_filename")
+
+
+@register("person_picker", sql_of("SELECT p.id, p.name, count(f.id) AS face_count FROM person p LEFT JOIN cluster c ON c.person_id = p.id LEFT JOIN face f ON f.cluster_id = c.id AND f.review_status = 'active' GROUP BY ALL"))
+def person_picker(spark, sf_dir):
+    return R.person_picker(library(spark, sf_dir))
+
+
+@register("archive_sections", sql_of("SELECT review_status, count(*) AS face_count, count(DISTINCT cluster_id) AS cluster_count, count(DISTINCT image_id) AS image_count FROM face WHERE review_status <> 'active' GROUP BY review_status"))
+def archive_sections(spark, sf_dir):
+    return R.archive_sections(library(spark, sf_dir))
+
+
+@register("active_keyset_page", sql_of("SELECT id, coalesce(cluster_id, -1) AS cluster_id, coalesce(person_id, -1) AS person_id FROM named WHERE review_status = 'active' AND id > 5000 ORDER BY id LIMIT 500", _NAMED))
+def active_keyset_page(spark, sf_dir):
+    lib = library(spark, sf_dir)
+    with_vectors = lib.with_tables(face=lib.face.withColumn("embedding", F.array(F.col("bbox_x").cast("float"))))
+    return R.after_id(R.active_vectors(with_vectors), 5000, 500).drop("embedding")
+
+
+@register("overview", sql_of("SELECT (SELECT count(*) FROM image) AS images, (SELECT count(*) FROM image_location) AS locations, (SELECT count(*) FROM face) AS faces, (SELECT count(*) FROM person) AS people, (SELECT count(*) FROM cluster) AS clusters, (SELECT count(*) FROM face WHERE review_status = 'active' AND cluster_id IS NULL) AS inbox, (SELECT count(*) FROM face WHERE review_status <> 'active') AS archived"))
+def overview(spark, sf_dir):
+    return R.overview(library(spark, sf_dir))
+
+
+@register("asked_order", "SELECT o_orderkey AS id, n - 1 AS place FROM (SELECT min(n) AS n, k FROM (SELECT l_orderkey AS k, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 50 GROUP BY k) JOIN orders ON o_orderkey = k")
+def asked_order(spark, sf_dir):
+    t = tables(spark, sf_dir, "orders", "lineitem")
+    top = t["lineitem"].orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(50)
+    asked = top.select(F.col("l_orderkey").alias("id"), (F.expr("row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber)") - 1).cast("bigint").alias("place"))
+    return R.in_asked_order(t["orders"].select(F.col("o_orderkey").alias("id")), "id", asked).select("id", "place")
+
+
+@register("person_deleted", sql_of("SELECT f.id, CASE WHEN c.person_id = 3 THEN NULL ELSE f.cluster_id END AS cluster_id, CASE WHEN c.person_id = 3 THEN 'active' ELSE f.review_status END AS review_status FROM face f LEFT JOIN cluster c ON c.id = f.cluster_id"))
+def person_deleted(spark, sf_dir):
+    from shoebox.operators import mutations
+
+    return mutations.delete_person(library(spark, sf_dir), 3).face.select("id", "cluster_id", "review_status")
+
+
+@register("dirty_scopes", sql_of("SELECT coalesce(person_id, -1) AS person_id, count(*) AS face_count FROM named WHERE review_status = 'active' AND coalesce(person_id, -1) IN (-1, 2) GROUP BY ALL", _NAMED))
+def dirty_scopes(spark, sf_dir):
+    from shoebox.operators import mutations
+
+    lib = library(spark, sf_dir)
+    marked = mutations.mark_dirty(lib, spark.createDataFrame([(2,), (4,), (None,)], "person_id bigint"))
+    return mutations.dirty_scopes(mutations.clear_dirty(marked, spark.createDataFrame([(4,)], "person_id bigint")))
+
+
+@register("auto_tune")
+def auto_tune(spark, sf_dir):
+    from shoebox.operators import tuning
 
-    rows = [(g / 10.0, clustering_profile(g / 10.0)) for g in range(11)]
-    keep = ("cluster_person_anchor_threshold", "cluster_ambiguity_margin", "cluster_outlier_threshold", "strictness")
-    return spark.createDataFrame([(t, *(p[k] for k in keep)) for t, p in rows], "threshold double, anchor double, ambiguity double, outlier double, strictness double")
+    return tuning.auto_tune(face_vectors(spark, sf_dir).where("status = 'active'"))
