@@ -45,7 +45,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: what follows starts from there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held.scratch_path = path
     return held

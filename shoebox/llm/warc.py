@@ -65,7 +65,7 @@ def _no_space(text: str | None) -> str:
 def member(record: bytes) -> bytes:
     """A record as gzip members - one, unless it is longer than MEMBER - without the zero byte that the last one ends with."""
     cuts = range(0, max(1, len(record)), MEMBER)
-    return b"".join(gzip.compress(record[i : i + MEMBER], 1, mtime=0) for i in cuts)[:-1]
+    return b"".join(gzip.compress(record[i : i + MEMBER], 6, mtime=0) for i in cuts)[:-1]
 
 
 def _write(records: DataFrame, path: str) -> None:
