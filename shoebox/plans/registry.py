@@ -615,6 +615,65 @@ def auto_tune(spark, sf_dir):
     return tuning.auto_tune(face_vectors(spark, sf_dir).where("status = 'active'"))
 
 
+_SETTINGS = """SELECT c_custkey AS owner, k AS key, CASE k WHEN 'ui_theme' THEN CASE c_custkey % 4 WHEN 0 THEN ' Dark ' WHEN 1 THEN 'light' WHEN 2 THEN 'pink' END
+  WHEN 'file_log_level' THEN CASE c_custkey % 3 WHEN 0 THEN 'debug' WHEN 1 THEN 'loud' END WHEN 'automatic_update_checks' THEN CASE c_custkey % 5 WHEN 0 THEN ' Off' WHEN 1 THEN '1' WHEN 2 THEN 'no' END
+  WHEN 'cluster_distance_threshold' THEN CASE c_custkey % 6 WHEN 0 THEN '0.25' WHEN 1 THEN 'much' WHEN 2 THEN '1.5' END WHEN 'filename_person_joiner' THEN CASE WHEN c_custkey % 2 = 0 THEN ' & ' END END AS value
+  FROM customer CROSS JOIN (VALUES ('ui_theme'), ('file_log_level'), ('automatic_update_checks'), ('cluster_distance_threshold'), ('filename_person_joiner'), ('other')) AS keys(k) WHERE c_custkey % 7 > 0 OR k = 'other'"""
+
+
+@register("settings_snapshots", f"""WITH s AS ({_SETTINGS}), p AS (SELECT owner, max(CASE WHEN key = 'ui_theme' THEN lower(trim(value)) END) AS t, max(CASE WHEN key = 'file_log_level' THEN upper(trim(value)) END) AS l,
+  max(CASE WHEN key = 'automatic_update_checks' THEN lower(trim(value)) END) AS u, max(CASE WHEN key = 'cluster_distance_threshold' THEN value END) AS d, max(CASE WHEN key = 'filename_person_joiner' THEN value END) AS j FROM s GROUP BY owner)
+ SELECT owner, least(1.0, greatest(0.0, coalesce(try_cast(d AS DOUBLE), 0.5)))::DOUBLE AS cluster_distance_threshold, (1 - least(1.0, greatest(0.0, coalesce(try_cast(d AS DOUBLE), 0.5))))::DOUBLE AS clustering_strictness,
+  'DATEI Name 1' || coalesce(j, ', ') || 'Name 2.jpg' AS filename_person_suffix_format, ' ' AS filename_person_block_separator, coalesce(j, ', ') AS filename_person_joiner,
+  CASE WHEN l IN ('DEBUG', 'INFO', 'WARNING', 'ERROR') THEN l ELSE 'ERROR' END AS file_log_level, CASE WHEN t IN ('system', 'light', 'dark') THEN t ELSE 'system' END AS ui_theme, coalesce(u NOT IN ('0', 'false', 'no', 'off'), true) AS automatic_update_checks FROM p""")
+def settings_snapshots(spark, sf_dir):
+    from shoebox.operators import housekeeping
+
+    held = spark.sql(_SETTINGS.replace("FROM customer", "FROM {customer}"), **tables(spark, sf_dir, "customer"))
+    return housekeeping.settings_snapshot(held, by=["owner"])
+
+
+_RELEASES = "SELECT p_partkey AS n, CASE WHEN p_partkey % 97 = 0 THEN 'Unreleased' WHEN p_partkey % 89 = 0 THEN '1.x' ELSE p_size || '.' || (p_partkey % 13) || '.' || (p_partkey % 7) END AS version, CASE WHEN p_partkey % 11 > 0 THEN '2024-01-' || (p_partkey % 23 + 10) END AS date, p_partkey % 17 AS a, p_partkey % 19 AS b FROM part"
+
+
+@register("changelog_problems", f"""WITH r AS (SELECT n, version, date, list_filter([CASE WHEN a < 9 THEN 'Neu' END, CASE WHEN b < 2 THEN 'Neu' WHEN b = 5 THEN 'Sonst' ELSE 'Behoben' END], lambda x: x IS NOT NULL) AS s FROM ({_RELEASES})),
+ f AS (SELECT *, min(n) OVER (PARTITION BY version) AS first, min(n) OVER () AS start, version = 'Unreleased' AS o FROM r),
+ p AS (SELECT n, version, unnest([CASE WHEN n = start AND NOT o THEN 'not unreleased first' END, CASE WHEN o AND n > start THEN 'unreleased not first' END, CASE WHEN o AND date IS NOT NULL THEN 'unreleased has date' END,
+  CASE WHEN n > first THEN 'duplicate version' END, CASE WHEN NOT o AND NOT regexp_full_match(version, '[0-9]+[.][0-9]+[.][0-9]+') THEN 'invalid version' END, CASE WHEN NOT o AND date IS NULL THEN 'missing date' END,
+  CASE WHEN NOT o AND date IS NOT NULL AND try_cast(date AS DATE) IS NULL THEN 'invalid date' END, CASE WHEN len(s) > len(list_distinct(s)) THEN 'duplicate section' END, CASE WHEN list_contains(s, 'Sonst') THEN 'unknown section' END]) AS problem FROM f)
+ SELECT * FROM p WHERE problem IS NOT NULL""")
+def changelog_problems(spark, sf_dir):
+    from shoebox.operators import housekeeping
+
+    r = spark.sql(_RELEASES.replace("FROM part", "FROM {part}"), **tables(spark, sf_dir, "part"))
+    one, two = F.expr("if(a < 9, 'Neu', null)"), F.expr("case when b < 2 then 'Neu' when b = 5 then 'Sonst' else 'Behoben' end")
+    return housekeeping.changelog_problems(r.select("n", "version", "date", F.array_compact(F.array(one, two)).alias("sections")))
+
+
+@register("finished_tasks", "SELECT user_id AS id, max(ts) AS finished_at, arg_max(event_id, epoch_us(ts)::HUGEINT * 1000000000 + event_id) AS event_id FROM events GROUP BY user_id ORDER BY finished_at DESC, id LIMIT 8")
+def finished_tasks(spark, sf_dir):
+    from shoebox.operators import housekeeping
+
+    e = tables(spark, sf_dir, "events")["events"]
+    return housekeeping.finished_tasks(e.select(F.col("user_id").alias("id"), F.col("ts").alias("finished_at"), "event_id"))
+
+
+@register("progress_eta", "SELECT id, CASE WHEN t > 0 THEN round(greatest(0.0, least(100.0, c / t * 100)), 6)::DOUBLE END AS progress, CASE WHEN c > 0 AND t > 0 AND e IS NOT NULL THEN CASE WHEN c >= t THEN 0.0 ELSE round((t - c) / (c / greatest(e, 1.0)), 6) END END::DOUBLE AS remaining FROM (SELECT o_orderkey AS id, (o_orderkey % 120)::DOUBLE AS c, (o_custkey % 100)::DOUBLE AS t, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 31 / 2 END::DOUBLE AS e FROM orders)")
+def progress_eta(spark, sf_dir):
+    from shoebox.operators import housekeeping
+
+    o = tables(spark, sf_dir, "orders")["orders"]
+    c, t, e = F.expr("double(o_orderkey % 120)"), F.expr("double(o_custkey % 100)"), F.expr("if(o_orderkey % 9 > 0, double(o_orderkey % 31) / 2, null)")
+    return o.select(F.col("o_orderkey").alias("id"), F.round(housekeeping.progress(c, t), 6).alias("progress"), F.round(housekeeping.remaining_seconds(c, t, e), 6).alias("remaining"))
+
+
+@register("cluster_totals", sql_of("SELECT count(*) FILTER (trim(coalesce(person_name, '')) = '') AS open_clusters, count(*) FILTER (trim(coalesce(person_name, '')) <> '') AS assigned_clusters, count(DISTINCT nullif(trim(person_name), '')) AS assigned_persons, (SELECT count(*) FROM face WHERE review_status <> 'active') AS archived_faces FROM summaries", _SUMMARIES))
+def cluster_totals(spark, sf_dir):
+    from shoebox.operators import housekeeping
+
+    return housekeeping.cluster_totals(library(spark, sf_dir))
+
+
 @register("profile_from_threshold", "SELECT t AS threshold, least(0.48, 0.7 * t)::DOUBLE AS anchor, greatest(0.055, 0.09 * t)::DOUBLE AS ambiguity, least(1.0, 1.12 * t)::DOUBLE AS outlier, (1 - t)::DOUBLE AS strictness FROM (SELECT g / 10.0 AS t FROM range(11) AS r(g))")
 def profile_from_threshold(spark, sf_dir):
     from shoebox.schemas import clustering_profile
