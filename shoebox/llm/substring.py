@@ -114,6 +114,8 @@ def _settled(pieces, all_shared: bool):
         first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(some) else some
         count = np.diff(np.r_[first, len(some)])
         one, more = some[first[count == 1]], first[count > 1]
+        # in the order of the texts, which leaves little besides the hashes to the shuffle's compression
+        one = one[np.argsort(order[one])]
         for s in range(0, len(one), 1 << 16):
             i = one[s : s + (1 << 16)]
             yield _batch(h[i].view(np.int64), h2[i].view(np.int64), docs[i], rid_of[row[i]], at[i], None, False)
@@ -138,15 +140,15 @@ def _settled(pieces, all_shared: bool):
 
 
 def _by_row(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("rid").agg(F.collect_set("at").alias("at"), F.flatten(F.collect_list("runs")).alias("runs"))
+    return rows.groupBy("rid").agg(F.collect_list("at").alias("at"), F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
-    """(rid, at, runs): the anchors that another doc_id has too, counted along the cover. Equal hashes of other words may add some; the windows tell."""
+    """(rid, at, runs): the anchors that another row has too, counted along the cover. Rows of one doc_id and equal hashes of other words may add some; the windows tell."""
 
     def pieces(batches):
         for b in batches:
-            doc, rid = (b.column(c).to_numpy() for c in ("doc_id", "rid"))
+            rid = b.column("rid").to_numpy()
             for s, own in _texts(b):
                 words, codes, offsets = spaced_words(own)
                 sums = ts.window_sums(digests(words)[:, 0][codes], ANCHOR)
@@ -155,11 +157,12 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
                 there = (np.arange(len(sums)) + ANCHOR <= offsets[text + 1]) & _IN_COVER[place % PERIOD]
                 place = place[there]
                 at = len(COVER) * (place // PERIOD) + _RANK[place % PERIOD]
-                yield sums[there], np.zeros(len(at), np.uint64), at.astype(np.int32), text[there], doc[s], rid[s]
+                yield sums[there], np.zeros(len(at), np.uint64), at.astype(np.int32), text[there], rid[s], rid[s]
 
-    rows = texts.select("rid", "doc_id", "packed").mapInArrow(lambda batches: _settled(pieces(batches), all_shared=True), _SETTLED)
-    two = F.expr("known or min(doc_id) over (partition by k, known) <> max(doc_id) over (partition by k, known)")
-    return _by_row(rows.select("k", "rid", "doc_id", "at", "runs", "known").withColumn("two", two).where("two"))
+    rows = texts.select("rid", "packed").mapInArrow(lambda batches: _settled(pieces(batches), all_shared=True), _SETTLED)
+    # a known row's k is its rid: where that is some anchor's hash too, both count as shared, and the windows tell
+    two = F.expr("known or min(rid) over (partition by k) <> max(rid) over (partition by k)")
+    return _by_row(rows.select("k", "rid", "at", "runs", "known").withColumn("two", two).where("two").select("rid", "at", "runs"))
 
 
 def covered_windows(asked: DataFrame) -> DataFrame:
@@ -188,7 +191,8 @@ def covered_windows(asked: DataFrame) -> DataFrame:
                     yield *lanes, at.astype(np.int32), np.zeros(len(at), np.int32), doc[i : i + 1], rid[i : i + 1]
 
     rows = asked.mapInArrow(lambda batches: _settled(pieces(batches), all_shared=False), _SETTLED)
-    gone = F.expr("known or min(doc_id) over (partition by k, k2, known) < doc_id")
+    # a known row's key is its rid and zero, which no 128-bit hash is taken to be
+    gone = F.expr("known or min(doc_id) over (partition by k, k2) < doc_id")
     return _by_row(rows.withColumn("gone", gone).where("gone").select("rid", "at", "runs"))
 
 
@@ -220,9 +224,10 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     # the number of a row is settled by the written table
     texts = cut(packed.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("_doc", F.lit(last)).alias("doc_id"), "packed", *kept), "texts")
     anchors = cut(shared_anchors(texts), "anchors")
-    # both joins below deal the same texts out by the same key: one exchange serves both
-    dealt = texts.repartition("rid")
-    gone = covered_windows(dealt.join(anchors, "rid").select("rid", "doc_id", "packed", "at", "runs"))
+    # both joins below read the same columns of the same rows by the same key: one exchange serves both
+    columns = ("rid", "doc_id", "packed", *kept)
+    dealt = texts.where("rid is not null").select(*columns).repartition("rid")
+    gone = covered_windows(dealt.join(anchors, "rid").select(*columns, "at", "runs"))
 
     def finish(batches):
         for b in batches:
@@ -244,5 +249,5 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                     ["text", "n_words", "n_removed", "kept_sha256", *kept],
                 )
 
-    done = dealt.join(gone, "rid", "left").select("packed", "at", "runs", *kept).mapInArrow(finish, f"text string, n_words bigint, n_removed bigint, kept_sha256 string, {more}")
+    done = dealt.join(gone, "rid", "left").select(*columns, "at", "runs").mapInArrow(finish, f"text string, n_words bigint, n_removed bigint, kept_sha256 string, {more}")
     return done.select(F.col("_doc").alias("doc_id"), "text", "n_words", "n_removed", "kept_sha256", *(F.col(f"_{c}").alias(c) for c in carry))
