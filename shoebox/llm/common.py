@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of an Arrow batch, where the session sets no limit: a batch of long texts must fit a small worker.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -42,10 +43,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: what follows starts from there."""
+    """Write a table to the shared folder and read it back: what follows starts from there.
+
+    The shuffle files of the write go with its end, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    held = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if held is None else spark.conf.set(_CLEANUP, held)
     held = spark.read.schema(df.schema).parquet(path)
     held.scratch_path = path
     return held
