@@ -316,7 +316,7 @@ def test_packing(docs):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aAbé'stre 1\n\t.,!<|>"), st.characters()), max_size=40), max_size=6))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aAbé'stre 1\n\t.,!<|>"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=6))
 def test_word_tokenizer_equals_the_library(texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     theirs = Tokenizer.from_file(path)
