@@ -91,20 +91,20 @@ def oracle(n_shards: int) -> str:
     """The same rows in DuckDB SQL, for equal weights."""
     value = lambda i: f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{i}'), 1, {DIGITS}))::BIGINT::DOUBLE + 0.5) / {16**DIGITS}.0"
     draws = ", ".join(value(i) for i in range(n_shards + 1))
-    crc = _crc32_sql()
+    table, crc = crc32_sql()
     return f"""
     WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, [{draws}] AS d FROM documents),
     held AS (SELECT doc_id, t, list_position(d[1:{n_shards}], list_max(d[1:{n_shards}])) - 1 AS shard, list_position(d, list_max(d)) - 1 AS grown_shard FROM drawn),
-    sized AS (SELECT doc_id, strlen(t) + 8 AS size, {crc} AS text_crc32, shard, grown_shard FROM held, {_TABLE_SQL})
+    sized AS (SELECT doc_id, strlen(t) + 8 AS size, {crc} AS text_crc32, shard, grown_shard FROM held, {table})
     SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard
     FROM sized"""
 
 
-def _crc32_sql() -> str:
-    """CRC-32 of the UTF-8 bytes of t: a fold over the list of bytes with the table of the reflected polynomial."""
+def crc32_sql() -> tuple[str, str]:
+    """A one-row table of the reflected polynomial, and over it the CRC-32 of the UTF-8 bytes of t: a fold over the list of bytes."""
     over = "[('0x' || substr(hex(encode(t)), 2 * i::INTEGER + 1, 2))::BIGINT for i in range(strlen(t))]"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {over}), lambda acc, b: xor(acc >> 8, crc_table[xor(acc, b) % 256 + 1])), 4294967295)"
+    return _TABLE_SQL, f"xor(list_reduce(list_prepend(4294967295::BIGINT, {over}), lambda acc, b: xor(acc >> 8, crc_table[xor(acc, b) % 256 + 1])), 4294967295)"
 
 
 _TABLE_SQL = """(SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS crc_table FROM range(256) AS r(b))"""

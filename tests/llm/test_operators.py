@@ -542,4 +542,4 @@ def test_pipeline_against_its_parts(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
