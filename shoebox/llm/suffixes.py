@@ -226,7 +226,8 @@ def _bucket(batches):
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh)
     heads = [x[:CONTEXT] for x in right]
-    edge = np.isin(np.arange(len(heads)), [i for i, x in enumerate(heads) if x in (min(heads), max(heads))])
+    ends = {min(heads), max(heads)}
+    edge = np.fromiter((x in ends for x in heads), bool, len(heads))
     gone_rid, gone_at = [], []
     for o, some, first in equal_strings(right, left, rank):
         gone_rid.append(rid[some[~first]])
