@@ -15,9 +15,10 @@ the string. Three narrowing steps precede the sort:
 The remaining suffixes - around edits and the ends of repeated passages - are dealt into
 ranges of their leading bytes by sampled splitters. A bucket sorts its suffixes, and what
 lies before them reversed, by multikey quicksort over characters of eight bytes, and reads
-from the common prefixes of neighbours which strings are equal. Equal leading bytes may
-lie on both sides of a splitter, so the first and the last such run of each bucket are
-compared once more across all buckets.
+from the common prefixes of neighbours which strings are equal. Suffixes of equal CONTEXT
+bytes stay in one bucket unless they are more than HOT; those are parted by all their bytes,
+and the strings that the runs at a bucket's two ends have are compared once more across all
+buckets.
 """
 
 from __future__ import annotations
@@ -42,9 +43,11 @@ BEFORE = SPREAD - 1
 #: Suffixes of a bucket, about, and the windows that are looked at together, whose numbers fit PLACE bits.
 BUCKET = 50_000
 PLACE = 22
+#: Suffixes of equal CONTEXT bytes that a bucket takes whole.
+HOT = 4096
 _MASK = np.uint64((1 << PLACE) - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_ENTRY = "right binary, left binary, doc_id bigint, rid bigint, at int"
+_ENTRY = "right binary, left binary, doc_id bigint, rid bigint, at int, hot boolean"
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -145,18 +148,19 @@ def repeated_spans(asked: DataFrame) -> DataFrame:
 
 
 def entries(asked: DataFrame) -> DataFrame:
-    """(right, left, doc_id, rid, at): an entry of the suffix array for each of the anchors ``at``, with the bytes around it that strings can cover."""
+    """(right, left, doc_id, rid, at, hot): an entry of the suffix array for each of the anchors in ``firsts`` (at, hot), with the bytes around it that strings can cover."""
 
     def cut_out(batches):
         for b in batches:
             doc, rid = (b.column(c).to_numpy() for c in ("doc_id", "rid"))
-            places = b.column("at").to_pylist()
+            places = b.column("firsts").to_pylist()
             for s, own in _texts(b):
                 for i, text in zip(range(s.start, s.stop), own, strict=True):
-                    at, n = sorted(places[i]), len(places[i])
+                    at, hot = zip(*sorted((x["at"], x["hot"]) for x in places[i]), strict=True)
+                    n = len(at)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([text[a : a + WIDTH] for a in at], pa.binary()), pa.array([text[max(a - BEFORE, 0) : a] for a in at], pa.binary()), pa.array(np.full(n, doc[i])), pa.array(np.full(n, rid[i])), pa.array(at, pa.int32())],
-                        ["right", "left", "doc_id", "rid", "at"],
+                        [pa.array([text[a : a + WIDTH] for a in at], pa.binary()), pa.array([text[max(a - BEFORE, 0) : a] for a in at], pa.binary()), pa.array(np.full(n, doc[i])), pa.array(np.full(n, rid[i])), pa.array(at, pa.int32()), pa.array(hot, pa.bool_())],
+                        ["right", "left", "doc_id", "rid", "at", "hot"],
                     )
 
     return asked.mapInArrow(cut_out, _ENTRY)
@@ -194,8 +198,8 @@ def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def equal_strings(right: list[bytes], left: list[bytes], rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(o, entries, first): for each distance o from a string's start to its anchor the entries that have one, grouped by equal strings, and whether each is as early as any of its group. ``rank`` orders the entries by where they stand."""
+def equal_strings(right: list[bytes], left: list[bytes], rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(o, entries, first, edge): for each distance o from a string's start to its anchor the entries that have one, grouped by equal strings; whether each is as early as any of its group; and whether its bytes from the anchor on are those of the least or the largest entry. ``rank`` orders the entries by where they stand."""
     order_r, common_r = multikey_sort(characters(right, WIDTH))
     order_l, common_l = multikey_sort(characters([x[::-1] for x in left], BEFORE))
     size_r, size_l = (np.array([len(x) for x in xs]) for xs in (right, left))
@@ -210,11 +214,12 @@ def equal_strings(right: list[bytes], left: list[bytes], rank: np.ndarray) -> It
         some, same = some[by], same[by]
         fresh = np.r_[True, same[1:] != same[:-1]]
         first = rank[some][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        yield o, some, rank[some] == first
+        ends = run_r[order_r[0]], run_r[order_r[-1]]
+        yield o, some, rank[some] == first, np.isin(run_r[some], ends)
 
 
 def _bucket(batches):
-    """The strings of a bucket that start earlier in it, as known rows by rid; and of its first and last run of equal CONTEXT bytes one row for each other string, by two hashes of 64 bits."""
+    """The strings of a bucket that start earlier in it, as known rows by rid; and of hot entries at its ends one row for each other string, by two hashes of 64 bits."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -225,14 +230,12 @@ def _bucket(batches):
     fresh = np.r_[False, (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh)
-    heads = [x[:CONTEXT] for x in right]
-    ends = {min(heads), max(heads)}
-    edge = np.fromiter((x in ends for x in heads), bool, len(heads))
+    hot = np.asarray(table.column("hot"))
     gone_rid, gone_at = [], []
-    for o, some, first in equal_strings(right, left, rank):
+    for o, some, first, edge in equal_strings(right, left, rank):
         gone_rid.append(rid[some[~first]])
         gone_at.append(at[some[~first]] - o)
-        ask = some[first & edge[some]]
+        ask = some[first & edge & hot[some]]
         if len(ask):
             raw = b"".join(xxhash.xxh3_128_digest(left[i][len(left[i]) - o :] + right[i][: WIDTH - o]) for i in ask.tolist())
             h = np.frombuffer(raw, np.int64).reshape(-1, 2)
@@ -251,13 +254,14 @@ def sorted_suffixes(found: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(rid, at, runs): the strings that start earlier, by the places where they start, as far as ``entries`` (a written table) tells."""
     n = found.count()
     parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // bucket))
-    # repartitionByRange samples the splitters; the number of the row lets them part even equal suffixes
-    rows = found.repartitionByRange(parts, "right", "rid", "at").mapInArrow(_bucket, _SETTLED)
+    # repartitionByRange samples the splitters; the number of the row lets them part even equal suffixes, where these are hot
+    head = F.substring("right", 1, CONTEXT)
+    rows = found.repartitionByRange(parts, head, *(F.when(F.col("hot"), F.col(c)) for c in ("right", "rid", "at"))).mapInArrow(_bucket, _SETTLED)
     gone = F.expr("known or min(if(known, null, struct(doc_id, at))) over (partition by k, k2) < struct(doc_id, at)")
     return rows.withColumn("gone", gone).where("gone").select("rid", "at", "runs")
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """Every row of ``docs`` with the bytes that are left: doc_id, n_bytes, n_removed, n_spans, spans, kept (binary), and the columns of ``carry``.
 
     A byte goes if a string of WIDTH bytes covers it that also starts earlier: in a row of
@@ -276,11 +280,11 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), bucket: int = B
     spans = cut(repeated_spans(texts.select("rid", "doc_id", "packed").join(again, "rid")), "spans")
     forget(again)
     firsts = spans.where("not gone").select("k", "rid", "first")
-    several = firsts.groupBy("k").count().where("count > 1").select("k")
+    several = firsts.groupBy("k").count().where("count > 1").select("k", (F.col("count") > hot).alias("hot"))
     # written, so that the join may part a frequent k over several tasks
     several = cut(several, "several")
-    places = firsts.join(several, "k").groupBy("rid").agg(F.collect_list("first").alias("at"))
-    found = cut(entries(texts.select("rid", "doc_id", "packed").join(places, "rid").select("rid", "doc_id", "packed", "at")), "entries")
+    places = firsts.join(several, "k").groupBy("rid").agg(F.collect_list(F.struct(F.col("first").alias("at"), "hot")).alias("firsts"))
+    found = cut(entries(texts.select("rid", "doc_id", "packed").join(places, "rid").select("rid", "doc_id", "packed", "firsts")), "entries")
     strings = cut(sorted_suffixes(found, bucket), "strings")
     forget(several, found)
 

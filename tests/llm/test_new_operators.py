@@ -55,10 +55,10 @@ def repetitive(seed):
     return [*zip(ids, texts, strict=True), (500, passage + "!"), (500, passage + "!"), (500, "?" + passage)]
 
 
-@pytest.mark.parametrize("bucket", [7, suffixes.BUCKET])
-def test_suffixes_against_all_strings(spark, bucket):
+@pytest.mark.parametrize(("bucket", "hot"), [(7, 3), (20, suffixes.HOT), (suffixes.BUCKET, 1)])
+def test_suffixes_against_all_strings(spark, bucket, hot):
     rows = repetitive(bucket)
-    got = suffixes.remove_repeats(with_clashes(spark, rows), bucket=bucket).collect()
+    got = suffixes.remove_repeats(with_clashes(spark, rows), bucket=bucket, hot=hot).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == sorted((str(i), *x) for (i, _), x in zip(rows, plain_removed(rows), strict=True))
     assert all(sum(r.spans[1::2]) == r.n_removed == r.n_bytes - len(r.kept) and len(r.spans) == 2 * r.n_spans for r in got)
 
