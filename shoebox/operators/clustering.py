@@ -18,6 +18,18 @@ from pyspark.sql import functions as F
 from shoebox.operators import vectors
 
 EPSILON = 1e-12
+#: How far consolidation looks beyond the threshold (least, most, share of it) and the lead that it asks for (least, share).
+LOOSER, LEAD = (0.02, 0.06, 0.1), (0.02, 0.06)
+#: Of splitting: quantile and share of a broad core, widest outlier and nearest parts as shares of the threshold, least distance of parts, rounds.
+CORE, BROAD, OUTLIER, APART, LEAST_APART, ROUNDS = 0.95, 0.05, 1.12, 0.12, 0.04, 12
+#: Faces for each prototype, and rounds of means.
+FACES_A_PROTOTYPE, MEANS = 12, 8
+
+
+def relaxed(threshold: float) -> float:
+    """How far consolidation looks."""
+    least, most, share = LOOSER
+    return min(1.0, threshold + min(most, max(least, share * threshold)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -34,15 +46,14 @@ def consolidate(faces: DataFrame, threshold: float, neighbours: int = 16, larges
     labels as they came, so nothing depends on order. With ``group``, a column within which
     clusters lie, faces look for neighbours in their own group only.
     """
-    relaxed = min(1.0, threshold + min(0.06, max(0.02, 0.1 * threshold)))
-    margin = max(0.02, 0.06 * threshold)
+    margin = max(LEAD[0], LEAD[1] * threshold)
     sizes = faces.groupBy("cluster_id").agg(F.count("*").alias("size"), F.bool_and(F.coalesce("movable", F.lit(False))).alias("all_movable"))
     own = [group] if group else []
     sized = faces.select("id", "cluster_id", "vec", *own).join(sizes, "cluster_id")
     movers = sized.where((F.col("size") <= largest_source) & F.col("all_movable"))
     edges = vectors.knn(movers.select("id", "vec", *own), faces.select("id", "vec", *own), neighbours - 1, digits=12, group=group).select("id", "other", "distance")
     target = sized.where(F.col("size") >= least_target).select(F.col("id").alias("other"), F.col("cluster_id").alias("target"))
-    near = edges.join(target, "other").where(F.col("distance") <= relaxed)
+    near = edges.join(target, "other").where(F.col("distance") <= relaxed(threshold))
     near = near.withColumn("vote", F.expr("row_number() over (partition by id order by distance, other)"))
     # a face has at most ``neighbours`` edges, so the list of a face and target is short
     per = near.groupBy("id", "target").agg(F.array_sort(F.collect_list("distance")).alias("ds"), F.count_if(F.col("vote") <= 5).alias("votes"))
@@ -60,7 +71,7 @@ def consolidate(faces: DataFrame, threshold: float, neighbours: int = 16, larges
 def split_labels(x: np.ndarray, threshold: float, outlier: float | None = None) -> np.ndarray:
     """Parts, from 0 in order of first member, of one cluster's vectors: two-means again and again while a part is too wide."""
     x, labels = _unit(x), np.zeros(len(x), int)
-    limit = min(1.0, 1.12 * threshold) if outlier is None else outlier
+    limit = min(1.0, OUTLIER * threshold) if outlier is None else outlier
     queue, top = [0], 0
     while queue:
         label = queue.pop(0)
@@ -69,15 +80,15 @@ def split_labels(x: np.ndarray, threshold: float, outlier: float | None = None)
             continue
         part = x[own]
         d = 1 - part @ _unit(part.mean(0))
-        broad = (d > limit).sum() >= max(3, math.ceil(0.05 * len(own)))
-        if np.quantile(d, 0.95) <= threshold and not broad:
+        broad = (d > limit).sum() >= max(3, math.ceil(BROAD * len(own)))
+        if np.quantile(d, CORE) <= threshold and not broad:
             continue
         a = int(d.argmax())
         b = int((1 - part @ part[a]).argmax())
         if a == b:
             continue
         centres, side = part[[a, b]], np.zeros(len(own), int)
-        for _ in range(12):
+        for _ in range(ROUNDS):
             new = (part @ centres.T).argmax(1)
             if (new == side).all() and _ or not 0 < new.sum() < len(own):
                 side = new
@@ -85,7 +96,7 @@ def split_labels(x: np.ndarray, threshold: float, outlier: float | None = None)
             side = new
             centres = np.stack([_unit(part[side == k].mean(0)) for k in (0, 1)])
         least = min((side == 0).sum(), (side == 1).sum())
-        if least < 3 or 1 - centres[0] @ centres[1] < max(0.04, 0.12 * threshold):
+        if least < 3 or 1 - centres[0] @ centres[1] < max(LEAST_APART, APART * threshold):
             continue
         top += 1
         labels[own[side != side[0]]] = top
@@ -108,7 +119,7 @@ def split_clusters(faces: DataFrame, threshold: float, outlier: float | None = N
 def select_prototypes(x: np.ndarray, most: int = 3) -> np.ndarray:
     """Up to ``most`` unit vectors that stand for a set: farthest first, then eight rounds of means."""
     x = _unit(x)
-    k = min(most, math.ceil(len(x) / 12))
+    k = min(most, math.ceil(len(x) / FACES_A_PROTOTYPE))
     mean = _unit(x.mean(0))
     if k <= 1:
         return mean[None]
@@ -116,7 +127,7 @@ def select_prototypes(x: np.ndarray, most: int = 3) -> np.ndarray:
     while len(chosen) < k:
         chosen.append(int((1 - x @ x[chosen].T).min(1).argmax()))
     centres = x[chosen]
-    for _ in range(8):
+    for _ in range(MEANS):
         side = (x @ centres.T).argmax(1)
         centres = np.stack([_unit(x[side == j].mean(0)) if (side == j).any() else centres[j] for j in range(k)])
     return centres
@@ -170,7 +181,8 @@ class Assigner:
 
     def __init__(self, threshold: float, persons: bool = True, neighbours: int = 64):
         self.t, self.persons, self.k = threshold, persons, neighbours
-        self.rows: list[np.ndarray] = []
+        self.x = np.zeros((0, 0))  # as many rows as there is room for
+        self.kept: dict[int, tuple[int, np.ndarray]] = {}  # prototypes of a cluster, and of how many faces
         self.labels: list[int] = []
         self.sums: dict[int, np.ndarray] = {}
         self.counts: dict[int, int] = defaultdict(int)
@@ -185,17 +197,32 @@ class Assigner:
             self._put(v, int(label))
 
     def _put(self, v: np.ndarray, label: int) -> None:
-        self.members[label].append(len(self.rows))
-        self.rows.append(v)
+        n = len(self.labels)
+        if n == len(self.x):
+            grown = np.zeros((max(64, 2 * n), len(v)))
+            grown[:n] = self.x.reshape(n, len(v))
+            self.x = grown
+        self.x[n] = v
+        self.members[label].append(n)
         self.labels.append(label)
         self.sums[label] = self.sums.get(label, 0) + v
         self.counts[label] += 1
 
+    @property
+    def rows(self) -> np.ndarray:
+        return self.x[: len(self.labels)]
+
+    def _prototypes(self, label: int) -> np.ndarray:
+        n = self.counts[label]
+        if self.kept.get(label, (0,))[0] != n:
+            self.kept[label] = n, select_prototypes(self.x[self.members[label]])
+        return self.kept[label][1]
+
     def add(self, v: np.ndarray) -> int:
         v = _unit(v)
         label = None
-        if self.rows:
-            d = 1 - np.stack(self.rows) @ v
+        if self.labels:
+            d = 1 - self.rows @ v
             order = np.lexsort((np.arange(len(d)), d))[: self.k]
             near = [(float(d[i]), self.labels[i]) for i in order]
             label = (self._of_person(v, near) if self.persons else None) or self._of_cluster(v, near)
@@ -210,8 +237,7 @@ class Assigner:
             return None
         scores = []
         for p in {p for d, p, _ in close if d <= self.t}:
-            own = [np.stack([self.rows[i] for i in self.members[c]]) for c, q in self.owner.items() if q == p]
-            proto = min(float((1 - select_prototypes(x) @ v).min()) for x in own)
+            proto = min(float((1 - self._prototypes(c) @ v).min()) for c, q in self.owner.items() if q == p)
             scores.append(((proto + float(np.mean([d for d, q, _ in close if q == p][:3]))) / 2, p))
         scores.sort()
         best, person = scores[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions.text import name_key
 from shoebox.library import Library
+from shoebox.operators.reclustering import recluster
 from shoebox.schemas import FACE_STATUSES
 
 
@@ -33,6 +34,27 @@ def checked_ids(ids: Sequence[int]) -> list[int]:
     return found
 
 
+def id_table(lib: Library, ids: Sequence[int] | DataFrame) -> DataFrame:
+    """Face ids, given as a list or as a table (id), as a table of positive ids, once each; none at all is an error."""
+    if isinstance(ids, DataFrame):
+        found = ids.select(F.col("id").cast("bigint").alias("id")).where("id > 0").distinct()
+        if not found.limit(1).count():
+            raise ValueError("no valid face ids")
+        return found
+    return lib.face.sparkSession.createDataFrame([(i,) for i in checked_ids(ids)], "id bigint")
+
+
+def _marked(face: DataFrame, ids: DataFrame) -> DataFrame:
+    """``face`` with _in: whether a row is among the ids."""
+    return face.join(ids.withColumn("_in", F.lit(True)), "id", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+
+
+def owners_of(lib: Library, ids: DataFrame) -> DataFrame:
+    """(person_id) of the people whose clusters hold some of the faces."""
+    held = lib.face.join(ids, "id", "left_semi").select("cluster_id")
+    return lib.cluster.where("person_id is not null").join(held, lib.cluster["id"] == held["cluster_id"], "left_semi").select("person_id").distinct()
+
+
 def mark_dirty(lib: Library, persons: DataFrame) -> Library:
     """Note people (null: nobody's pool) whose groups are to be rebuilt."""
     fresh = persons.select(F.coalesce(F.col("person_id").cast("bigint"), F.lit(-1)).alias("person_id")).distinct()
@@ -98,35 +120,41 @@ def _set(face: DataFrame, chosen: Column, **values) -> DataFrame:
     return face.withColumns({c: F.when(chosen, v).otherwise(F.col(c)).cast(kinds[c]) for c, v in values.items()})
 
 
-def create_cluster(lib: Library, face_ids: Sequence[int], label: str | None = None, person_id: int | None = None) -> tuple[Library, int]:
+def create_cluster(lib: Library, face_ids: Sequence[int] | DataFrame, label: str | None = None, person_id: int | None = None) -> tuple[Library, int]:
     """A new cluster of the faces, all of which must exist."""
-    ids = checked_ids(face_ids)
-    chosen = F.col("id").isin(ids)
-    if lib.face.where(chosen).count() != len(ids):
+    ids = id_table(lib, face_ids)
+    if ids.join(lib.face.select("id"), "id", "left_anti").limit(1).count():
         raise LookupError("some faces don't exist")
     fresh = max(next_id(lib.cluster), (lib.face.agg(F.max("cluster_id")).first()[0] or 0) + 1)
     row = lib.cluster.sparkSession.createDataFrame([(fresh, label, person_id)], "id bigint, label string, person_id bigint")
-    out = lib.with_tables(face=_set(lib.face, chosen, cluster_id=F.lit(fresh), review_status=F.lit("active")), cluster=lib.cluster.select("id", "label", "person_id").unionByName(row))
+    face = _set(_marked(lib.face, ids), F.col("_in"), cluster_id=F.lit(fresh), review_status=F.lit("active")).select(*lib.face.columns)
+    out = lib.with_tables(face=face, cluster=lib.cluster.select("id", "label", "person_id").unionByName(row))
     return drop_empty_clusters(out), fresh
 
 
-def assign_faces(lib: Library, face_ids: Sequence[int], name: str) -> Library:
-    """Give faces to a person: their cluster if they are exactly its active faces, else a new one."""
-    ids = checked_ids(face_ids)
-    active = lib.face.where("review_status = 'active' and cluster_id is not null").withColumn("_in", F.col("id").isin(ids))
-    whole = active.groupBy("cluster_id").agg(F.count_if("_in").alias("n"), F.count("*").alias("all")).where((F.col("n") == F.col("all")) & (F.col("n") == len(ids)))
+def assign_faces(lib: Library, face_ids: Sequence[int] | DataFrame, name: str) -> Library:
+    """Give faces to a person: their cluster if they are exactly its active faces, else a new one. Whoever had some of them becomes dirty too."""
+    ids = id_table(lib, face_ids)
+    before = owners_of(lib, ids)
+    active = _marked(lib.face.where("review_status = 'active' and cluster_id is not null"), ids)
+    whole = active.groupBy("cluster_id").agg(F.count_if("_in").alias("n"), F.count("*").alias("all")).where((F.col("n") == F.col("all")) & (F.col("n") == ids.count()))
     reuse = whole.agg(F.min("cluster_id")).first()[0]
-    if reuse is not None:
-        return assign_cluster(lib, reuse, name)
-    lib, fresh = create_cluster(lib, ids)
-    return assign_cluster(lib, fresh, name)
+    if reuse is None:
+        lib, reuse = create_cluster(lib, ids)
+    return mark_dirty(assign_cluster(lib, reuse, name), before)
 
 
-def remove_faces(lib: Library, cluster_id: int, face_ids: Sequence[int]) -> Library:
-    """Take faces out of a cluster into the inbox."""
-    chosen = F.col("id").isin(checked_ids(face_ids)) & (F.col("cluster_id") == cluster_id)
-    out = lib.with_tables(face=_set(lib.face, chosen, cluster_id=F.lit(None)))
-    return drop_empty_clusters(mark_dirty(out, lib.cluster.where(F.col("id") == cluster_id).select("person_id")))
+def remove_faces(lib: Library, cluster_id: int, face_ids: Sequence[int] | DataFrame, vectors: DataFrame | None = None, threshold: float = 0.5) -> Library:
+    """Take faces out of a cluster into the inbox; with ``vectors`` (id, vec) they are grouped there at once, but never into the cluster that they left."""
+    ids = id_table(lib, face_ids).join(lib.face.where(F.col("cluster_id") == cluster_id).select("id"), "id", "left_semi")
+    if not ids.limit(1).count():
+        raise LookupError("no chosen face is in this cluster")
+    owner = owners_of(lib, ids)
+    out = lib.with_tables(face=_set(_marked(lib.face, ids), F.col("_in"), cluster_id=F.lit(None)).select(*lib.face.columns))
+    if vectors is not None:
+        source = lib.cluster.sparkSession.createDataFrame([(cluster_id,)], "cluster_id bigint")
+        out, _ = recluster(out, vectors, threshold, ids, source)
+    return mark_dirty(drop_empty_clusters(out), owner)
 
 
 def claim_faces(lib: Library, claims: DataFrame) -> Library:
@@ -138,12 +166,12 @@ def claim_faces(lib: Library, claims: DataFrame) -> Library:
     return lib.with_tables(face=face, cluster=insert_missing(lib.cluster.select("id", "label", "person_id"), rows, "id"))
 
 
-def archive_faces(lib: Library, face_ids: Sequence[int], status: str) -> Library:
-    """Archive faces: a cluster chosen whole keeps its id and loses its person, a part is split off under a new id, loose faces share one."""
+def archive_faces(lib: Library, face_ids: Sequence[int] | DataFrame, status: str) -> Library:
+    """Archive faces: a cluster chosen whole keeps its id and loses its person, a part is split off under a new id, loose faces share one. Their people become dirty."""
     if status not in FACE_STATUSES[1:]:
         raise ValueError(f"unknown review status {status}")
-    ids = checked_ids(face_ids)
-    face = lib.face.withColumn("_in", F.col("id").isin(ids))
+    ids = id_table(lib, face_ids)
+    face = _marked(lib.face, ids)
     parts = face.groupBy("cluster_id").agg(F.count_if("_in").alias("n"), F.count("*").alias("all")).where("n > 0")
     base = max(next_id(lib.cluster), (lib.face.agg(F.max("cluster_id")).first()[0] or 0) + 1)
     split = parts.where("cluster_id is null or n < all")
@@ -154,13 +182,16 @@ def archive_faces(lib: Library, face_ids: Sequence[int], status: str) -> Library
     whole = parts.where("cluster_id is not null and n = all").select(F.col("cluster_id").alias("id"), F.lit(True).alias("_whole"))
     cluster = lib.cluster.join(whole, "id", "left").withColumn("person_id", F.when(F.col("_whole"), None).otherwise(F.col("person_id"))).select("id", "label", "person_id")
     rows = fresh.select(F.col("_new").alias("id"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("bigint").alias("person_id"))
-    return drop_empty_clusters(lib.with_tables(face=out_face, cluster=cluster.unionByName(rows)))
+    return mark_dirty(drop_empty_clusters(lib.with_tables(face=out_face, cluster=cluster.unionByName(rows))), owners_of(lib, ids))
 
 
-def restore_faces(lib: Library, face_ids: Sequence[int]) -> Library:
-    """Archived faces become active and loose."""
-    chosen = F.col("id").isin(checked_ids(face_ids))
-    return drop_empty_clusters(lib.with_tables(face=_set(lib.face, chosen, cluster_id=F.lit(None), review_status=F.lit("active"))))
+def restore_faces(lib: Library, face_ids: Sequence[int] | DataFrame, vectors: DataFrame | None = None, threshold: float = 0.5) -> Library:
+    """Archived faces become active and loose; with ``vectors`` (id, vec) they are grouped among nobody's at once. Their people become dirty."""
+    ids = id_table(lib, face_ids)
+    out = lib.with_tables(face=_set(_marked(lib.face, ids), F.col("_in"), cluster_id=F.lit(None), review_status=F.lit("active")).select(*lib.face.columns))
+    if vectors is not None:
+        out, _ = recluster(out, vectors, threshold, ids)
+    return mark_dirty(drop_empty_clusters(out), owners_of(lib, ids))
 
 
 def rename_cluster(lib: Library, cluster_id: int, label: str | None) -> Library:
@@ -168,16 +199,17 @@ def rename_cluster(lib: Library, cluster_id: int, label: str | None) -> Library:
 
 
 def rename_person(lib: Library, person_id: int, name: str) -> Library:
-    """Rename a person; one who has that name already takes over the clusters."""
+    """Rename a person; one who has that name already takes over the clusters, and both become dirty."""
     other = lib.person.where((name_key(F.col("name")) == name.strip().lower()) & (F.col("id") != person_id)).agg(F.min("id")).first()[0]
     if other is None:
         return lib.with_tables(person=lib.person.withColumn("name", F.when(F.col("id") == person_id, F.lit(name.strip())).otherwise(F.col("name"))))
     cluster = lib.cluster.withColumn("person_id", F.when(F.col("person_id") == person_id, other).otherwise(F.col("person_id")).cast("bigint"))
-    return lib.with_tables(cluster=cluster, person=lib.person.where(F.col("id") != person_id))
+    both = lib.person.sparkSession.createDataFrame([(person_id,), (other,)], "person_id bigint")
+    return mark_dirty(lib.with_tables(cluster=cluster, person=lib.person.where(F.col("id") != person_id)), both)
 
 
-def delete_person(lib: Library, person_id: int, target: str = "unassigned") -> Library:
-    """Delete a person; the faces become active and loose, or are archived with their clusters. Nobody's pool is to be rebuilt."""
+def delete_person(lib: Library, person_id: int, target: str = "unassigned", vectors: DataFrame | None = None, threshold: float = 0.5) -> Library:
+    """Delete a person; the faces become active and loose, or are archived with their clusters. With ``vectors`` (id, vec) loose ones are grouped among nobody's at once. Nobody's pool is to be rebuilt."""
     if not lib.person.where(F.col("id") == person_id).limit(1).count():
         raise LookupError(f"there is no person {person_id}")
     own = lib.cluster.where(F.col("person_id") == person_id).select(F.col("id").alias("cluster_id"), F.lit(True).alias("_own"))
@@ -190,6 +222,8 @@ def delete_person(lib: Library, person_id: int, target: str = "unassigned") -> L
         raise ValueError(f"unknown target {target}")
     cluster = lib.cluster.withColumn("person_id", F.when(F.col("person_id") == person_id, None).otherwise(F.col("person_id")))
     out = lib.with_tables(face=face.select(*lib.face.columns), cluster=cluster, person=lib.person.where(F.col("id") != person_id))
+    if vectors is not None and target == "unassigned":
+        out, _ = recluster(out, vectors, threshold, lib.face.join(own, "cluster_id", "left_semi").select("id"))
     return drop_empty_clusters(mark_dirty(out, lib.person.where("false").select(F.col("id").alias("person_id")).unionByName(lib.person.sparkSession.createDataFrame([(None,)], "person_id bigint"))))
 
 
@@ -206,17 +240,20 @@ def accept_person_suggestions(lib: Library, accepted: DataFrame) -> Library:
     return mark_dirty(out, accepted.select("person_id"))
 
 
-def accept_review_suggestions(lib: Library, cluster_ids: Sequence[int]) -> Library:
-    """Archive the active faces of clusters as their pending suggestions say, all or none."""
-    wanted = list(dict.fromkeys(cluster_ids))
-    pending = lib.cluster_review_suggestion.where((F.col("status") == "pending") & F.col("cluster_id").isin(wanted)).select("cluster_id", F.col("review_status").alias("_new"))
-    if pending.count() != len(wanted):
+def accept_review_suggestions(lib: Library, cluster_ids: Sequence[int] | DataFrame) -> Library:
+    """Archive the active faces of clusters (a list, or a table of cluster_id) as their pending suggestions say, all or none. Nobody's pool becomes dirty, and whoever had them."""
+    spark = lib.cluster.sparkSession
+    wanted = cluster_ids if isinstance(cluster_ids, DataFrame) else spark.createDataFrame([(int(i),) for i in cluster_ids], "cluster_id bigint")
+    wanted = wanted.select("cluster_id").distinct()
+    pending = lib.cluster_review_suggestion.where("status = 'pending'").join(wanted, "cluster_id", "left_semi").select("cluster_id", F.col("review_status").alias("_new"))
+    if wanted.join(pending, "cluster_id", "left_anti").limit(1).count():
         raise LookupError("a suggestion is out of date")
     face = lib.face.join(pending, "cluster_id", "left")
     hit = F.col("_new").isNotNull() & (F.col("review_status") == "active")
     face = face.withColumn("cluster_id", F.when(hit, None).otherwise(F.col("cluster_id"))).withColumn("review_status", F.when(hit, F.col("_new")).otherwise(F.col("review_status")))
-    left = lib.cluster_review_suggestion.where(~F.col("cluster_id").isin(wanted))
-    return drop_empty_clusters(lib.with_tables(face=face.select(*lib.face.columns), cluster_review_suggestion=left))
+    left = lib.cluster_review_suggestion.join(wanted, "cluster_id", "left_anti")
+    owners = lib.cluster.join(wanted, lib.cluster["id"] == wanted["cluster_id"], "left_semi").select("person_id")
+    return mark_dirty(drop_empty_clusters(lib.with_tables(face=face.select(*lib.face.columns), cluster_review_suggestion=left)), owners)
 
 
 def dismiss_suggestion(suggestions: DataFrame, cluster_id: int) -> DataFrame:
@@ -286,33 +323,16 @@ def dirty_scopes(lib: Library) -> DataFrame:
     return faces.join(lib.recluster_dirty_person, "person_id", "left_semi")
 
 
-def recluster_inbox(lib: Library, vectors: DataFrame, threshold: float) -> Library:
-    """Group the active loose faces among themselves and with nobody's active clusters; each group's cluster is made, a face alone too.
-
-    ``vectors`` has id and vec; faces without one stay loose. Known clusters keep their ids,
-    new ones are numbered after all others; only faces that are still loose are claimed.
-    """
-    from shoebox.operators.clustering import assign_incrementally
-
-    nobody = lib.cluster.where("person_id is null").select(F.col("id").alias("cluster_id"))
-    active = lib.face.where("review_status = 'active'").join(vectors, "id")
-    pool = F.lit(-1).cast("bigint").alias("group_id")
-    new = active.where("cluster_id is null").select(pool, "id", "vec")
-    known = active.join(nobody, "cluster_id", "left_semi").select(pool, "id", "vec", "cluster_id")
-    found = assign_incrementally(new, known, threshold).select("id", "cluster_id")
-    fresh = max(next_id(lib.cluster), (lib.face.agg(F.max("cluster_id")).first()[0] or 0) + 1)
-    # numbers beyond the pool's own are new; they are moved beyond everybody's
-    top = known.agg(F.max("cluster_id")).first()[0] or 0
-    moved = F.when(F.col("cluster_id") > top, F.col("cluster_id") - top - 1 + fresh).otherwise(F.col("cluster_id"))
-    none = lib.person.where("false").select(F.col("id").alias("person_id"))
-    gone = none.unionByName(lib.person.sparkSession.createDataFrame([(None,)], "person_id bigint"))
-    return clear_dirty(claim_faces(lib, found.withColumn("cluster_id", moved.cast("bigint"))), gone)
+def recluster_inbox(lib: Library, vectors: DataFrame, threshold: float, cohesion: float | None = None, outlier: float | None = None) -> Library:
+    """Group all active loose faces among themselves and with nobody's clusters (``reclustering.recluster``); nobody's pool is done then."""
+    out, _ = recluster(lib, vectors, threshold, cohesion=cohesion, outlier=outlier)
+    return clear_dirty(out, lib.person.sparkSession.createDataFrame([(None,)], "person_id bigint"))
 
 
-def rebuild_pool(lib: Library, vectors: DataFrame, threshold: float) -> Library:
+def rebuild_pool(lib: Library, vectors: DataFrame, threshold: float, cohesion: float | None = None, outlier: float | None = None) -> Library:
     """Nobody's active faces are set loose and grouped anew; faces of people and archived ones stay."""
     nobody = lib.cluster.where("person_id is null").select(F.col("id").alias("cluster_id"), F.lit(True).alias("_nobody"))
     face = lib.face.join(nobody, "cluster_id", "left")
     loose = F.coalesce("_nobody", F.lit(False)) & (F.col("review_status") == "active")
     face = face.withColumn("cluster_id", F.when(loose, None).otherwise(F.col("cluster_id"))).select(*lib.face.columns)
-    return recluster_inbox(drop_empty_clusters(lib.with_tables(face=face)), vectors, threshold)
+    return recluster_inbox(drop_empty_clusters(lib.with_tables(face=face)), vectors, threshold, cohesion, outlier)

@@ -64,7 +64,7 @@ def online_groups(faces: DataFrame, threshold: float) -> DataFrame:
             work.load(np.frombuffer(raw, np.float64).reshape(-1, width), labels)
         rows = pd.concat(list(frames)).sort_values("id")
         labels = [work.add(np.asarray(v, np.float64)) for v in rows["vec"]]
-        state.update((np.stack(work.rows).tobytes(), [int(x) for x in work.labels], len(work.rows[0])))
+        state.update((work.rows.tobytes(), [int(x) for x in work.labels], len(work.rows[0])))
         yield pd.DataFrame({"pool": key[0], "id": rows["id"], "cluster_id": labels})
 
     return faces.groupBy("pool").applyInPandasWithState(step, "pool bigint, id bigint, cluster_id bigint", "rows binary, labels array<bigint>, width int", "append", "NoTimeout")
