@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions.vector import clipped, distance, normalized
 from shoebox.operators import vectors
+from shoebox.storage import settled
 
 
 def tune_grid(pairs: DataFrame) -> DataFrame:
     """(threshold, same, other, balanced) over 0, 0.01 ... 1 from (person_id, pos, neg): distances of each face to its
-    own person (null: none) and to the nearest other. Rates are means over people."""
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i / 100.0)).alias("threshold")
-    rates = pairs.select("person_id", "pos", "neg", grid).groupBy("threshold", "person_id").agg(
-        F.avg(F.when(F.col("pos").isNotNull(), (F.col("pos") <= F.col("threshold")).cast("double"))).alias("same"),
-        F.avg(F.when(F.col("neg").isNotNull(), (F.col("neg") > F.col("threshold")).cast("double"))).alias("other"),
+    own person (null: none) and to the nearest other. Rates are means over people.
+
+    Faces are counted by person and by the first threshold that reaches them, so what meets
+    the thresholds are a person's hundred counts.
+    """
+
+    def reached(c: str) -> Column:
+        """The first threshold, in hundredths, that is no less; 101 beyond the last."""
+        near = F.ceil(F.col(c) * 100).cast("int")
+        exact = F.when(F.col(c) <= (near - 1) / 100.0, near - 1).when(F.col(c) <= near / 100.0, near).otherwise(near + 1)
+        return F.when(F.col(c).isNotNull(), F.least(F.greatest(exact, F.lit(0)), F.lit(101)))
+
+    counts = pairs.select("person_id", reached("pos").alias("p"), reached("neg").alias("q"))
+    each = counts.groupBy("person_id", "p", "q").agg(F.count("*").alias("n")).groupBy("person_id").agg(F.collect_list(F.struct("p", "q", "n")).alias("held"))
+    total = lambda keep: F.aggregate(F.filter("held", keep), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    grid = F.explode(F.sequence(F.lit(0), F.lit(100))).alias("g")
+    rates = each.select("person_id", "held", grid)
+    share = lambda hit, there: F.when(there > 0, hit / there)
+    rates = rates.select(
+        "g", share(total(lambda x: x["p"] <= F.col("g")), total(lambda x: x["p"].isNotNull())).alias("same"),
+        share(total(lambda x: x["q"] > F.col("g")), total(lambda x: x["q"].isNotNull())).alias("other"),
     )
-    return rates.groupBy("threshold").agg(F.avg("same").alias("same"), F.avg("other").alias("other")).withColumn("balanced", (F.col("same") + F.col("other")) / 2)
+    done = rates.groupBy("g").agg(F.avg("same").alias("same"), F.avg("other").alias("other"))
+    return done.select((F.col("g") / 100.0).alias("threshold"), "same", "other", ((F.col("same") + F.col("other")) / 2).alias("balanced"))
 
 
 def best_threshold(grid: DataFrame) -> DataFrame:
@@ -39,6 +59,59 @@ def group_distances(faces: DataFrame, group: str) -> DataFrame:
     return met.where(n > 0).select("id", group, clipped(far, 0.0, 2.0).alias("distance"))
 
 
+def own_distance(faces: DataFrame, group: str) -> DataFrame:
+    """(id, distance): how far each face is from the others of its own group, as ``group_distances`` has it; faces alone in their group are left out."""
+    two = vectors.nearest_two_within(faces, group)
+    centre = vectors.centroids(faces, group)
+    met = two.join(faces.select("id", group, "vec"), "id").join(centre.select(group, "sum", "n"), group)
+    rest = F.zip_with("sum", "vec", lambda s, x: s - x)
+    far = F.greatest("nearest", distance(F.col("vec"), normalized(rest)), F.when(F.col("n") >= 4, F.col("second")))
+    return met.select("id", clipped(far, 0.0, 2.0).alias("distance"))
+
+
+def nearest_other(faces: DataFrame, group: str) -> DataFrame:
+    """(id, distance): the least distance, as ``group_distances`` has it, of each face to a group that isn't its own.
+
+    A group's distance is no less than that of its centroid. So a face looks first at the two
+    groups of nearest centroids, and then only at groups whose centroid is no farther than
+    what it has found: rows are made for those, not for every face and group.
+    """
+    named = settled(faces.select(F.col("id"), F.col(group).cast("bigint").alias("g"), "vec"))
+    centre = settled(vectors.centroids(named, "g").select("g", "centroid", "n"))
+    points = centre.select(F.col("g").alias("id"), F.col("centroid").alias("vec"))
+
+    def first(a, b):
+        own, x = a[1][:, 0], a[1][:, 2:]
+        d = 1 - x @ b[1].T
+        d[own[:, None] == b[0][None, :]] = np.inf
+        near = np.argsort(d, axis=1)[:, :2]
+        rows = np.repeat(np.arange(len(x)), near.shape[1])
+        far = d[rows, near.ravel()]
+        return pd.DataFrame({"id": a[0][rows], "g": b[0][near.ravel()], "far": far})[np.isfinite(far)]
+
+    def within(a, b):
+        own, most, x = a[1][:, 0], a[1][:, 1], a[1][:, 2:]
+        d = 1 - x @ b[1].T
+        i, j = np.nonzero((d <= most[:, None] + 1e-9) & (own[:, None] != b[0][None, :]))
+        return pd.DataFrame({"id": a[0][i], "g": b[0][j], "far": d[i, j]})
+
+    def asked(most: Column, rows: DataFrame) -> DataFrame:
+        return rows.select("id", F.concat(F.array(F.col("g").cast("double"), most), "vec").alias("vec"))
+
+    def exact(wanted: DataFrame) -> DataFrame:
+        """(id, g, distance) of faces and groups: the nearest two faces of the group, met by group and block."""
+        two = vectors.nearest_two_of(wanted.join(named.select("id", "vec"), "id"), named)
+        met = two.join(wanted, ["id", "g"]).join(centre.select("g", "n"), "g")
+        return met.select("id", clipped(F.greatest("nearest", "far", F.when(F.col("n") >= 3, F.col("second"))), 0.0, 2.0).alias("distance"))
+
+    schema = "id bigint, g bigint, far double"
+    near = vectors.block_pairs(asked(F.lit(0.0), named), points, first, schema)
+    near = settled(near.withColumn("_r", F.expr("row_number() over (partition by id order by far, g)")).where("_r <= 2").drop("_r"))
+    found = settled(exact(near).groupBy("id").agg(F.min("distance").alias("distance")))
+    rest = vectors.block_pairs(asked(F.col("distance"), named.join(found, "id")), points, within, schema).join(near, ["id", "g"], "left_anti")
+    return found.unionByName(exact(settled(rest))).groupBy("id").agg(F.min("distance").alias("distance"))
+
+
 def person_distances(faces: DataFrame) -> DataFrame:
     """(id, person_id, pos, neg): each named face's distance to its own appearance, and the least to another person.
 
@@ -47,12 +120,12 @@ def person_distances(faces: DataFrame) -> DataFrame:
     """
     if "cluster_id" not in faces.columns:  # then a person has one appearance
         faces = faces.withColumn("cluster_id", F.col("person_id"))
-    named = faces.where("person_id is not null").select("id", "person_id", "cluster_id", "vec")
-    own = named.select("id", F.col("person_id").alias("_person"), F.col("cluster_id").alias("_cluster"))
-    people = group_distances(named, "person_id").join(own, "id")
-    per = people.groupBy("id").agg(F.min(F.when(F.col("person_id") == F.col("_person"), F.col("distance"))).alias("by_person"), F.min(F.when(F.col("person_id") != F.col("_person"), F.col("distance"))).alias("neg"))
-    looks = group_distances(named, "cluster_id").join(own, "id").where(F.col("cluster_id") == F.col("_cluster")).select("id", F.col("distance").alias("by_cluster"))
-    return named.select("id", "person_id").join(per, "id", "left").join(looks, "id", "left").select("id", "person_id", F.coalesce("by_cluster", "by_person").alias("pos"), "neg")
+    named = settled(faces.where("person_id is not null").select("id", "person_id", "cluster_id", "vec"))
+    by_person = own_distance(named, "person_id").withColumnRenamed("distance", "by_person")
+    by_cluster = own_distance(named.where("cluster_id is not null"), "cluster_id").withColumnRenamed("distance", "by_cluster")
+    other = nearest_other(named, "person_id").withColumnRenamed("distance", "neg")
+    held = named.select("id", "person_id").join(by_cluster, "id", "left").join(by_person, "id", "left").join(other, "id", "left")
+    return held.select("id", "person_id", F.coalesce("by_cluster", "by_person").alias("pos"), "neg")
 
 
 def cohesion(sample: DataFrame, unknown: DataFrame, threshold: float) -> DataFrame:

@@ -107,6 +107,57 @@ def nearest_two(targets: DataFrame, references: DataFrame, group: str, but_itsel
     return held.select("id", group, F.get("near", F.lit(0)).alias("nearest"), F.get("near", F.lit(1)).alias("second"))
 
 
+def _two_least(d: np.ndarray) -> np.ndarray:
+    """The two least of each row, ascending; infinity where there are none."""
+    if d.shape[1] < 2:
+        d = np.concatenate([d, np.full((len(d), 2 - d.shape[1]), np.inf)], axis=1)
+    return np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1)
+
+
+def _merged_two(parts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, nearest, second) from the two least of each block; a block gives two numbers at most."""
+    held = parts.groupBy(*keys).agg(F.array_sort(F.filter(F.concat(F.collect_list("one"), F.collect_list("two")), lambda x: x < float("inf"))).alias("near"))
+    return held.where(F.size("near") > 0).select(*keys, F.get("near", F.lit(0)).alias("nearest"), F.get("near", F.lit(1)).alias("second"))
+
+
+def nearest_two_within(faces: DataFrame, group: str) -> DataFrame:
+    """(id, nearest, second): each face's two least distances to the others of its own group; second is null where there is one other."""
+
+    def work(a, b):
+        d = 1 - a[1] @ b[1].T
+        d[a[0][:, None] == b[0][None, :]] = np.inf
+        two = _two_least(d)
+        return pd.DataFrame({"id": a[0], "one": two[:, 0], "two": two[:, 1]})
+
+    rows = faces.select("id", group, "vec")
+    return _merged_two(block_pairs(rows, rows, work, "id bigint, one double, two double", group=group), "id")
+
+
+def nearest_two_of(targets: DataFrame, references: DataFrame, most: int = BLOCK) -> DataFrame:
+    """(id, g, nearest, second) of ``targets`` (id, g, vec) among the ``references`` (id, g, vec) of the group that each asks for.
+
+    Groups meet in blocks of about ``most`` rows on either side, whatever a group's size.
+    """
+    sizes = references.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias("_rb"))
+    asked = targets.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias("_tb"))
+    both = sizes.join(asked, "g")
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = targets.join(both, "g").select("g", part("_tb").alias("t"), every("_rb").alias("r"), "id", "vec")
+    right = references.join(both, "g").select(F.col("g").alias("_g"), part("_rb").alias("_r"), every("_tb").alias("_t"), F.col("id").alias("_id"), F.col("vec").alias("_vec"))
+
+    def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["id", "g", "one", "two"])
+        d = 1 - np.stack(a["vec"].to_numpy()) @ np.stack(b["_vec"].to_numpy()).T
+        d[a["id"].to_numpy()[:, None] == b["_id"].to_numpy()[None, :]] = np.inf
+        two = _two_least(d)
+        return pd.DataFrame({"id": a["id"], "g": key[0], "one": two[:, 0], "two": two[:, 1]})
+
+    parts = left.groupBy("g", "t", "r").cogroup(right.groupBy("_g", "_t", "_r")).applyInPandas(one, "id bigint, g bigint, one double, two double")
+    return _merged_two(parts, "id", "g")
+
+
 def nearest_reference(targets: DataFrame, references: DataFrame, group: str, but_itself: bool = False) -> DataFrame:
     """(id, group, distance): each target's least distance to the references of each group."""
     return nearest_two(targets, references, group, but_itself).select("id", group, F.col("nearest").alias("distance"))

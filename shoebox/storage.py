@@ -37,3 +37,11 @@ def numbered(rows: DataFrame, *order: str, name: str = "n") -> DataFrame:
     before = counts.select("_part", F.expr("sum(_rows) over (order by _part) - _rows").alias("_before"))
     local = ranged.withColumn("_local", F.expr(f"row_number() over (partition by _part order by {', '.join(order)}) - 1"))
     return local.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_local")).cast("bigint")).select(*rows.columns, name)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes (4 MB unless the session says otherwise), as rows that hold blocks of vectors need."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) in (None, str(2**31 - 1), "2147483647b"):
+        conf.set(key, str(4 << 20))
+    return df
