@@ -11,8 +11,11 @@ from pyspark.sql import types as T
 from shoebox.functions.text import name_key, rename_preview
 from shoebox.library import Library
 from shoebox.schemas import REVIEW_GROUPS, UNKNOWN
+from shoebox.storage import numbered
 
 MOST_ROWS = 200
+#: People shown before a list is unfolded, names of sections.
+COLLAPSED, GROUP_LABEL, LOOSE_LABEL = 12, "Gruppe ", "Einzelne Gesichter"
 
 
 def in_folders(directory: Column, folders: Sequence[str]) -> Column:
@@ -78,8 +81,10 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
 def image_page(lib: Library, folders=(), persons=(), statuses=(), sort_by="date", direction="desc", limit=40, offset=0) -> DataFrame:
     """The faces and number of locations of a page of images: the page is cut before faces are joined."""
     rows = page(matching_images(lib, folders, persons, statuses), image_order(sort_by, direction), limit, offset)
-    counts = lib.image_location.groupBy("image_id").agg(F.count("*").alias("location_count"))
-    faces = named_faces(lib).where(F.col("review_status").isin("active", *statuses)).select("image_id", F.col("id").alias("face_id"), "bbox_x", "cluster_id", "person_name", "review_status")
+    # what is counted and named is the page's alone
+    shown = rows.select("image_id")
+    counts = lib.image_location.join(shown, "image_id", "left_semi").groupBy("image_id").agg(F.count("*").alias("location_count"))
+    faces = named_faces(lib.with_tables(face=lib.face.join(shown, "image_id", "left_semi"))).where(F.col("review_status").isin("active", *statuses)).select("image_id", F.col("id").alias("face_id"), "bbox_x", "cluster_id", "person_name", "review_status")
     # a page is short, so its order is put back after the joins; faces stand from the left
     return rows.join(counts, "image_id", "left").join(faces, "image_id", "left").orderBy(*image_order(sort_by, direction), "bbox_x", "face_id")
 
@@ -242,12 +247,14 @@ def rename_candidates(lib: Library, folders=(), persons=()) -> DataFrame:
     named = named_faces(lib).where("person_name is not null").groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bbox_x", "id", "person_name"))), lambda s: s["person_name"]).alias("names"))
     places = lib.image_location.join(matching_images(lib, folders, persons).select("image_id"), "image_id", "left_semi").join(named, "image_id")
     shown = places.withColumn("r", rename_preview(F.col("filename"), F.col("names"))).where("r.proposed_filename is not null")
-    return shown.select(F.col("id").alias("location_id"), "image_id", "path", "directory", "r.*")
+    return shown.select(F.col("id").alias("location_id"), "image_id", "path", "directory", "created_at", "r.*")
 
 
-def rename_plan(candidates: DataFrame, excluded: Sequence[str] = (), existing: DataFrame | None = None) -> DataFrame:
-    """(path, target, status): what a renaming would do; a target that exists, or that two files want, is skipped."""
-    plan = candidates.where(~F.col("path").isin(list(excluded))).withColumn("target", F.concat_ws("/", "directory", "proposed_filename"))
+def rename_plan(candidates: DataFrame, excluded: Sequence[str] | DataFrame = (), existing: DataFrame | None = None) -> DataFrame:
+    """(path, target, status): what a renaming would do; a target that exists, or that two files want, is skipped. ``excluded`` paths are a list or a table (path)."""
+    if not isinstance(excluded, DataFrame):
+        excluded = candidates.sparkSession.createDataFrame([(p,) for p in excluded], "path string")
+    plan = candidates.join(excluded.select("path"), "path", "left_anti").withColumn("target", F.concat_ws("/", "directory", "proposed_filename"))
     taken = plan.groupBy("target").agg(F.count("*").alias("_n"))
     plan = plan.join(taken, "target")
     if existing is not None:
@@ -264,13 +271,30 @@ def search_clusters(lib: Library, text: str) -> DataFrame:
     return cluster_summaries(lib).where(hit)
 
 
-def rename_order() -> list[Column]:
-    return [F.lower("directory"), F.lower("current_filename"), F.col("location_id")]
+def rename_order(sort_by: str = "date", direction: str = "desc") -> list[Column]:
+    """Sort keys of renaming candidates: by date with undated last either way, or by folder; then file name and path without case."""
+    up = direction == "asc"
+    ties = [F.lower("current_filename"), F.lower("path"), F.col("location_id")]
+    if sort_by == "folder":
+        return [F.lower("directory").asc() if up else F.lower("directory").desc(), *ties]
+    return [F.col("created_at").asc_nulls_last() if up else F.col("created_at").desc_nulls_last(), *ties]
+
+
+def rename_page(candidates: DataFrame, limit: int = 40, offset: int = 0, sort_by: str = "date", direction: str = "desc") -> DataFrame:
+    """A page of renaming candidates in ``rename_order``: what is to change is filtered before the page is cut."""
+    return page(candidates, rename_order(sort_by, direction), limit, offset)
+
+
+def rename_total(candidates: DataFrame) -> DataFrame:
+    """(locations, images) that should change their name."""
+    images = candidates.select("image_id").distinct().agg(F.count("*").alias("images")).withColumn("_one", F.lit(1))
+    # either side is one row
+    return candidates.agg(F.count("*").alias("locations")).withColumn("_one", F.lit(1)).join(images, "_one").drop("_one")
 
 
-def rename_page(candidates: DataFrame, limit: int = 40, offset: int = 0) -> DataFrame:
-    """A page of renaming candidates in order of folder and name: what is to change is filtered before the page is cut."""
-    return page(candidates, rename_order(), limit, offset)
+def rename_by_paths(candidates: DataFrame, paths: DataFrame, sort_by: str = "date", direction: str = "desc") -> DataFrame:
+    """The candidates of ``paths`` (path) in ``rename_order``; paths that need no change give no row."""
+    return candidates.join(paths.select("path"), "path", "left_semi").orderBy(*rename_order(sort_by, direction))
 
 
 def in_asked_order(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
@@ -279,20 +303,45 @@ def in_asked_order(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     return rows.join(first, key).orderBy("place")
 
 
-def person_picker(lib: Library) -> DataFrame:
-    """(id, name, face_count) of people by their active faces, most first, then by name."""
-    counts = cluster_summaries(lib).join(lib.cluster.select(F.col("id").alias("cluster_id"), "person_id"), "cluster_id").groupBy("person_id").agg(F.sum("face_count").alias("face_count"))
-    named = lib.person.join(counts, lib.person["id"] == counts["person_id"], "left")
-    return named.select("id", "name", F.coalesce("face_count", F.lit(0)).alias("face_count")).orderBy(F.desc("face_count"), F.lower("name"), "id")
+def person_picker(lib: Library, selected: Sequence[str] = (), search: str = "", collapsed: int | None = COLLAPSED, folders: Sequence[str] = ()) -> DataFrame:
+    """(name, selected) of the people to choose from: those of active faces and the selected ones, these first, then by name without case.
 
+    Nobody's name isn't offered. A search narrows the list and shows all of it; else
+    ``collapsed`` are shown (None: all), and never less than are selected.
+    """
+    spark = lib.face.sparkSession
+    mine = spark.createDataFrame([(n,) for n in dict.fromkeys(selected)], "name string").withColumn("selected", F.lit(True))
+    names = available_persons(lib, folders).select(F.col("person_name").alias("name")).unionByName(mine.select("name")).where(F.col("name") != UNKNOWN).distinct()
+    found = names.join(mine, "name", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    query = search.strip().lower()
+    if query:
+        found = found.where(F.lower("name").contains(query))
+    found = found.orderBy(F.desc("selected"), F.lower("name"), "name")
+    return found if query or collapsed is None else found.limit(max(collapsed, len(set(selected))))
 
-def archive_sections(lib: Library) -> DataFrame:
-    """(review_status, face_count, cluster_count, image_count) of archived faces; each count is of grouped rows."""
-    archived = lib.face.where("review_status <> 'active'")
-    faces = archived.groupBy("review_status").agg(F.count("*").alias("face_count"))
-    clusters = archived.where("cluster_id is not null").select("review_status", "cluster_id").distinct().groupBy("review_status").agg(F.count("*").alias("cluster_count"))
-    images = archived.select("review_status", "image_id").distinct().groupBy("review_status").agg(F.count("*").alias("image_count"))
-    return faces.join(clusters, "review_status", "left").join(images, "review_status", "left").select("review_status", "face_count", F.coalesce("cluster_count", F.lit(0)).alias("cluster_count"), "image_count")
+
+def archive_sections(lib: Library, status: str) -> DataFrame:
+    """(place, key, label, cluster_id, face_count) of the archived faces of one review status: a section for each cluster, most faces first, ties by least face, and the loose ones last.
+
+    A section has its cluster's label where active faces show that too, else its number.
+    """
+    labels = cluster_summaries(lib).select("cluster_id", F.trim("cluster_label").alias("_label"))
+    faces = lib.face.where(F.col("review_status") == status).groupBy("cluster_id").agg(F.count("*").alias("face_count"), F.min("id").alias("_least"))
+    loose = F.col("cluster_id").isNull()
+    number = F.col("cluster_id").cast("string")
+    named = faces.join(labels, "cluster_id", "left").select(
+        F.when(loose, "ungrouped").otherwise(F.concat(F.lit("cluster-"), number)).alias("key"),
+        F.when(loose, LOOSE_LABEL).when(F.coalesce("_label", F.lit("")) != "", F.col("_label")).otherwise(F.concat(F.lit(GROUP_LABEL), number)).alias("label"),
+        "cluster_id", "face_count", loose.alias("_loose"), (-F.col("face_count")).alias("_down"), "_least",
+    )
+    return numbered(named, "_loose", "_down", "_least", name="place").select("place", "key", "label", "cluster_id", "face_count")
+
+
+def archive_section_faces(lib: Library, status: str) -> DataFrame:
+    """(place, face_id, image_id): the faces of the sections, by id."""
+    sections = archive_sections(lib, status).select("place", "cluster_id")
+    faces = lib.face.where(F.col("review_status") == status)
+    return faces.join(sections, faces["cluster_id"].eqNullSafe(sections["cluster_id"])).select("place", F.col("id").alias("face_id"), "image_id")
 
 
 def active_vectors(lib: Library) -> DataFrame:
@@ -308,14 +357,33 @@ def after_id(rows: DataFrame, last: int | None, limit: int) -> DataFrame:
     return rest.orderBy("id").limit(max(1, limit))
 
 
+def first_cluster(lib: Library) -> DataFrame:
+    """The summary that stands first."""
+    return cluster_summaries(lib).orderBy(*summary_order()).limit(1)
+
+
 def overview(lib: Library) -> DataFrame:
-    """One row of totals: images, locations, faces, people, clusters, inbox, archived."""
-    count = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_one", F.lit(1))
-    faces = lib.face.agg(F.count("*").alias("faces"), F.count_if(F.expr("review_status = 'active' and cluster_id is null")).alias("inbox"), F.count_if(F.expr("review_status <> 'active'")).alias("archived")).withColumn("_one", F.lit(1))
-    out = faces
-    for df, name in ((lib.image, "images"), (lib.image_location, "locations"), (lib.person, "people"), (lib.cluster, "clusters")):
-        out = out.join(count(df, name), "_one")  # each side is one row
-    return out.drop("_one")
+    """(part, place, id, label, person_name, face_count): what the cluster page starts from.
+
+    Part ``cluster`` has all summaries in their order, ``group`` the three review groups,
+    ``face`` the active faces of the cluster that stands first, in similarity order where
+    faces have vectors (column ``vec``), those without last, by id.
+    """
+    from shoebox.operators.clustering import similarity_order
+
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    keyed = cluster_summaries(lib).withColumns({"_down": -F.col("face_count"), "_none": F.expr("coalesce(trim(person_name), '') = ''"), "_name": F.lower(F.coalesce("person_name", F.lit(UNKNOWN)))})
+    clusters = numbered(keyed, "_down", "_none", "_name", "cluster_id", name="place")
+    groups = review_groups(lib)
+    top = first_cluster(lib).select("cluster_id")
+    faces = lib.face.where("review_status = 'active'").join(top, "cluster_id", "left_semi")
+    vec = F.col("vec") if "vec" in lib.face.columns else F.lit(None).cast("array<double>")
+    shown = similarity_order(faces.select("id", "cluster_id", vec.alias("vec")))
+    part = lambda name: F.lit(name).alias("part")
+    columns = [F.col("place").cast("bigint").alias("place")]
+    out = clusters.select(part("cluster"), *columns, F.col("cluster_id").alias("id"), F.col("cluster_label").alias("label"), "person_name", "face_count")
+    out = out.unionByName(groups.select(part("group"), *columns, *none("bigint", "id"), "label", *none("string", "person_name"), "face_count"))
+    return out.unionByName(shown.select(part("face"), *columns, "id", *none("string", "label", "person_name"), *none("bigint", "face_count")))
 
 
 def _previews(lib: Library, suggestions: DataFrame) -> DataFrame:

@@ -49,6 +49,7 @@ def sql_of(body: str, *ctes: str, views: tuple[str, ...] = ()) -> str:
     return start + "".join(f", {c}" for c in ctes) + " " + body
 
 
+_MATCHING_INSIDE = _matching(INSIDE)
 _DATE_ORDER = "created_at DESC NULLS LAST, lower(filename), lower(path), image_id"
 _PAGE_BODY = """SELECT paged.image_id, paged.path, paged.created_at, location_count, f.id AS face_id, f.cluster_id, f.person_name, f.review_status
   FROM paged LEFT JOIN (SELECT image_id, count(*) AS location_count FROM image_location GROUP BY image_id) l ON l.image_id = paged.image_id
@@ -278,30 +279,6 @@ def ewma_rate(spark, sf_dir):
     return jobs.rates(tables(spark, sf_dir, "events")["events"], ["user_id"], "event_id", "value").withColumn("rate", F.round("rate", 6))
 
 
-@register("makespan_eta")
-def makespan_eta(spark, sf_dir):
-    o = tables(spark, sf_dir, "orders")["orders"]
-    return jobs.makespan(o.select(F.col("o_custkey").alias("queue"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("place"), F.expr("double(o_orderkey % 97 + 1)").alias("seconds")), 2)
-
-
-@register("latest_per_topic", "SELECT event_type AS topic, arg_max(event_id, epoch_us(ts)::HUGEINT * 1000000000 + event_id) AS event_id, count(*) AS n FROM events GROUP BY event_type")
-def latest_per_topic(spark, sf_dir):
-    e = tables(spark, sf_dir, "events")["events"]
-    return e.groupBy(F.col("event_type").alias("topic")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
-
-
-@register("throttle_windows", "SELECT event_type AS topic, time_bucket(INTERVAL 2 SECOND, ts) AS at, arg_max(event_id, epoch_us(ts)::HUGEINT * 1000000000 + event_id) AS event_id FROM events GROUP BY ALL")
-def throttle_windows(spark, sf_dir):
-    e = tables(spark, sf_dir, "events")["events"]
-    return e.groupBy(F.col("event_type").alias("topic"), F.window("ts", "2 seconds")["start"].alias("at")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-
-
-@register("debounce_sessions", "WITH gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 90 SECOND THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), runs AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM gaps) SELECT user_id, max(ts) + INTERVAL 90 SECOND AS fires_at, count(*) AS n FROM runs GROUP BY user_id, run")
-def debounce_sessions(spark, sf_dir):
-    e = tables(spark, sf_dir, "events")["events"]
-    return e.groupBy("user_id", F.session_window("ts", "90 seconds").alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.end").alias("fires_at"), "n")
-
-
 _V = f"v AS ({FACE_VECTORS})"
 _DOT = "list_dot_product(a.vec, b.vec)"
 
@@ -557,21 +534,11 @@ def suggestions_by_person(spark, sf_dir):
     return R.suggestions_by_person(_with_proposals(spark, sf_dir))
 
 
-@register("rename_page", sql_of("SELECT l.id AS location_id, l.filename AS current_filename, regexp_replace(l.filename, '[.]jpg$', '') || ' ' || n.names || '.jpg' AS proposed_filename FROM image_location l JOIN joined n ON n.image_id = l.image_id WHERE l.image_id IN (SELECT image_id FROM matching) ORDER BY lower(directory), lower(filename), l.id LIMIT 30 OFFSET 10", _NAMED, _matching(INSIDE), _DISTINCT_NAMES))
+@register("rename_page", sql_of("SELECT l.id AS location_id, l.filename AS current_filename, regexp_replace(l.filename, '[.]jpg$', '') || ' ' || n.names || '.jpg' AS proposed_filename FROM image_location l JOIN joined n ON n.image_id = l.image_id WHERE l.image_id IN (SELECT image_id FROM matching) ORDER BY l.created_at DESC NULLS LAST, lower(l.filename), lower(l.path), l.id LIMIT 30 OFFSET 10", _NAMED, _matching(INSIDE), _DISTINCT_NAMES))
 def rename_page(spark, sf_dir):
     return R.rename_page(R.rename_candidates(library(spark, sf_dir), [FOLDER]), 30, 10).select("location_id", "current_filename", "proposed_filename")
 
 
-@register("person_picker", sql_of("SELECT p.id, p.name, count(f.id) AS face_count FROM person p LEFT JOIN cluster c ON c.person_id = p.id LEFT JOIN face f ON f.cluster_id = c.id AND f.review_status = 'active' GROUP BY ALL"))
-def person_picker(spark, sf_dir):
-    return R.person_picker(library(spark, sf_dir))
-
-
-@register("archive_sections", sql_of("SELECT review_status, count(*) AS face_count, count(DISTINCT cluster_id) AS cluster_count, count(DISTINCT image_id) AS image_count FROM face WHERE review_status <> 'active' GROUP BY review_status"))
-def archive_sections(spark, sf_dir):
-    return R.archive_sections(library(spark, sf_dir))
-
-
 @register("active_keyset_page", sql_of("SELECT id, coalesce(cluster_id, -1) AS cluster_id, coalesce(person_id, -1) AS person_id FROM named WHERE review_status = 'active' AND id > 5000 ORDER BY id LIMIT 500", _NAMED))
 def active_keyset_page(spark, sf_dir):
     lib = library(spark, sf_dir)
@@ -579,11 +546,6 @@ def active_keyset_page(spark, sf_dir):
     return R.after_id(R.active_vectors(with_vectors), 5000, 500).drop("embedding")
 
 
-@register("overview", sql_of("SELECT (SELECT count(*) FROM image) AS images, (SELECT count(*) FROM image_location) AS locations, (SELECT count(*) FROM face) AS faces, (SELECT count(*) FROM person) AS people, (SELECT count(*) FROM cluster) AS clusters, (SELECT count(*) FROM face WHERE review_status = 'active' AND cluster_id IS NULL) AS inbox, (SELECT count(*) FROM face WHERE review_status <> 'active') AS archived"))
-def overview(spark, sf_dir):
-    return R.overview(library(spark, sf_dir))
-
-
 @register("asked_order", "SELECT o_orderkey AS id, n - 1 AS place FROM (SELECT min(n) AS n, k FROM (SELECT l_orderkey AS k, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 50 GROUP BY k) JOIN orders ON o_orderkey = k")
 def asked_order(spark, sf_dir):
     t = tables(spark, sf_dir, "orders", "lineitem")
@@ -674,10 +636,5 @@ def cluster_totals(spark, sf_dir):
     return housekeeping.cluster_totals(library(spark, sf_dir))
 
 
-@register("profile_from_threshold", "SELECT t AS threshold, least(0.48, 0.7 * t)::DOUBLE AS anchor, greatest(0.055, 0.09 * t)::DOUBLE AS ambiguity, least(1.0, 1.12 * t)::DOUBLE AS outlier, (1 - t)::DOUBLE AS strictness FROM (SELECT g / 10.0 AS t FROM range(11) AS r(g))")
-def profile_from_threshold(spark, sf_dir):
-    from shoebox.schemas import clustering_profile
-
-    rows = [(g / 10.0, clustering_profile(g / 10.0)) for g in range(11)]
-    keep = ("cluster_person_anchor_threshold", "cluster_ambiguity_margin", "cluster_outlier_threshold", "strictness")
-    return spark.createDataFrame([(t, *(p[k] for k in keep)) for t, p in rows], "threshold double, anchor double, ambiguity double, outlier double, strictness double")
+# the other queries register themselves here
+from shoebox.plans import changes, views  # noqa: E402, F401
