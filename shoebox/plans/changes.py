@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shoebox import migrations
 from shoebox.adapters import library, tables
 from shoebox.library import Library
 from shoebox.operators import imports, mutations, reclustering
@@ -124,3 +125,11 @@ def merged_images(spark, sf_dir):
 @register("deleted_image", sql_of("SELECT id FROM face WHERE image_id <> 7"))
 def deleted_image(spark, sf_dir):
     return mutations.delete_image(library(spark, sf_dir), 7).face.select("id")
+
+
+@register("migrated_faces", sql_of("SELECT id, '/old/' || (image_id % 50) || '/' || image_id || '.jpg' AS path, '/old/' || (image_id % 50) AS directory, cluster_id FROM face"))
+def migrated_faces(spark, sf_dir):
+    lib = library(spark, sf_dir)
+    old = lib.face.select("id", F.expr("concat('/old/', image_id % 50, '/', image_id, '.jpg')").alias("image_path"), "cluster_id")
+    now, _ = migrations.migrate({"person": lib.person, "cluster": lib.cluster, "face": old})
+    return now.face.join(now.image.select(F.col("id").alias("image_id"), "path", "directory"), "image_id").select("id", "path", "directory", "cluster_id")
