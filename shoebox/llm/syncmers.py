@@ -2,8 +2,8 @@
 
 A k-mer is K consecutive tokens; it is a closed syncmer if the least hash among its inner
 runs of S tokens is the first or the last of them. That depends on the k-mer alone, so equal
-passages give equal anchors whatever stands around them. Tokens are words; texts of few
-characters, and words too long to be words - as where no spaces are written - are taken
+passages give equal anchors whatever stands around them, and whatever the texts' lengths.
+Tokens are words; words too long to be words - as where no spaces are written - are taken
 character by character. A fingerprint keeps the anchors of the whole text whose hash is in
 the lowest part, one in RATE, and the LEAST anchors of least hash at any rate, with their
 places; so it grows with the text, and at rate 1 it keeps all. Likeness is the share of
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from shoebox.llm.common import cut
 
 #: Tokens of a k-mer and of its inner runs; one anchor in RATE is kept, and LEAST at any rate; shifts in one stretch of SLACK tokens, or in two that touch, agree.
-K, S, RATE, LEAST, SLACK = 5, 2, 4, 64, 16
-#: Texts of fewer characters than SHORT, and words of more than LONG, are taken by characters.
-SHORT, LONG = 120, 24
+K, S, RATE, LEAST, SLACK = 3, 1, 4, 64, 16
+#: Words of more characters than LONG are taken by characters.
+LONG = 24
 #: An anchor is one number: 32 bits of hash above 31 bits of position.
 PLACE_BITS = 31
 
@@ -49,8 +49,7 @@ def tokens(text: Column) -> Column:
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     characters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
     parted = lambda ws: F.flatten(F.transform(ws, lambda w: F.when(F.length(w) > LONG, characters(w)).otherwise(F.array(w))))
-    short = characters(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
-    return F.when(F.length(text) < SHORT, short).otherwise(let(words, lambda ws: F.when(F.exists(ws, lambda w: F.length(w) > LONG), parted(ws)).otherwise(ws)))
+    return let(words, lambda ws: F.when(F.exists(ws, lambda w: F.length(w) > LONG), parted(ws)).otherwise(ws))
 
 
 def anchors(text: Column, rate: int = RATE, least: int = LEAST) -> Column:
@@ -61,17 +60,16 @@ def anchors(text: Column, rate: int = RATE, least: int = LEAST) -> Column:
 
     def of_hashes(h: Column) -> Column:
         whole = F.array(_anchor(F.aggregate(h, F.lit(17).cast("bigint"), lambda a, x: F.xxhash64(a, x)), F.lit(0)))
-        inner = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-
+        # runs of one token are the tokens
         def of_runs(r: Column) -> Column:
             last = K - S
-            edge = lambda i: F.least(F.get(r, i), F.get(r, i + last)) <= F.least(*(F.get(r, i + j) for j in range(1, last)))
+            edge = lambda i: F.least(F.get(r, i), F.get(r, i + last)) <= F.array_min(F.slice(r, i + 2, F.lit(last - 1)))
             at = F.filter(F.sequence(F.lit(0), F.size(h) - K), edge)
             found = F.sort_array(F.transform(at, lambda i: _anchor(F.xxhash64(F.get(r, i), F.get(r, i + S), F.get(h, i + K - 1)), i)))
             distinct = let(found, lambda a: F.filter(a, lambda x, i: (i == 0) | (digest_of(x) != digest_of(F.get(a, i - 1)))))
             return distinct if rate == 1 else F.filter(distinct, lambda x, i: (i < least) | (digest_of(x) < (1 << 32) // rate))
 
-        long = F.when(F.size(h) >= K, let(inner, of_runs))
+        long = F.when(F.size(h) >= K, of_runs(h))
         return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(
             let(F.coalesce(long, F.array().cast("array<bigint>")), lambda a: F.when(F.size(a) == 0, whole).otherwise(a))
         )
