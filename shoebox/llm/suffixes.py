@@ -18,7 +18,8 @@ lies before them reversed, by multikey quicksort over characters of eight bytes,
 from the common prefixes of neighbours which strings are equal. Suffixes of equal CONTEXT
 bytes stay in one bucket unless they are more than HOT; those are parted by all their bytes,
 and the strings that the runs at a bucket's two ends have are compared once more across all
-buckets.
+buckets - but for strings that begin farther before the anchor than any two of them agree,
+which another sort, by the bytes before it, tells.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ PLACE = 22
 HOT = 4096
 _MASK = np.uint64((1 << PLACE) - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_ENTRY = "right binary, left binary, doc_id bigint, rid bigint, at int, hot boolean"
+_ENTRY = "right binary, back binary, doc_id bigint, rid bigint, at int, hot boolean"
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -148,7 +149,7 @@ def repeated_spans(asked: DataFrame) -> DataFrame:
 
 
 def entries(asked: DataFrame) -> DataFrame:
-    """(right, left, doc_id, rid, at, hot): an entry of the suffix array for each of the anchors in ``firsts`` (at, hot), with the bytes around it that strings can cover."""
+    """(right, back, doc_id, rid, at, hot): an entry of the suffix array for each of the anchors in ``firsts`` (at, hot), with the bytes from it on and those before it, backwards, that strings can cover."""
 
     def cut_out(batches):
         for b in batches:
@@ -159,8 +160,8 @@ def entries(asked: DataFrame) -> DataFrame:
                     at, hot = zip(*sorted((x["at"], x["hot"]) for x in places[i]), strict=True)
                     n = len(at)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([text[a : a + WIDTH] for a in at], pa.binary()), pa.array([text[max(a - BEFORE, 0) : a] for a in at], pa.binary()), pa.array(np.full(n, doc[i])), pa.array(np.full(n, rid[i])), pa.array(at, pa.int32()), pa.array(hot, pa.bool_())],
-                        ["right", "left", "doc_id", "rid", "at", "hot"],
+                        [pa.array([text[a : a + WIDTH] for a in at], pa.binary()), pa.array([text[max(a - BEFORE, 0) : a][::-1] for a in at], pa.binary()), pa.array(np.full(n, doc[i])), pa.array(np.full(n, rid[i])), pa.array(at, pa.int32()), pa.array(hot, pa.bool_())],
+                        ["right", "back", "doc_id", "rid", "at", "hot"],
                     )
 
     return asked.mapInArrow(cut_out, _ENTRY)
@@ -198,11 +199,34 @@ def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def equal_strings(right: list[bytes], left: list[bytes], rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _reaches(batches):
+    """Entries with ``reach``: how many bytes before its anchor one shares with another of equal CONTEXT bytes. The neighbours in order of both tell; the ends of a bucket, whose neighbours are elsewhere, may share all."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    keys = [r[:CONTEXT] + b for r, b in zip(table.column("right").to_pylist(), table.column("back").to_pylist(), strict=True)]
+    order, common = multikey_sort(characters(keys, CONTEXT + BEFORE))
+    shared = np.maximum(common, np.r_[common[1:], 0])
+    shared[[0, -1]] = CONTEXT + BEFORE
+    reach = np.empty(len(keys), np.int32)
+    reach[order] = np.clip(shared - CONTEXT, 0, BEFORE)
+    yield from table.append_column("reach", pa.array(reach)).to_batches(max_chunksize=10_000)
+
+
+def with_reach(found: DataFrame, bucket: int) -> DataFrame:
+    """Entries with ``reach``; those that aren't hot are never asked for and have all."""
+    hot = found.where("hot")
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hot.count() // bucket))
+    sorted_ = hot.repartitionByRange(parts, F.substring("right", 1, CONTEXT), "back", "rid", "at").mapInArrow(_reaches, _ENTRY + ", reach int")
+    return cut(found.where("not hot").withColumn("reach", F.lit(BEFORE)).unionByName(sorted_), "reaches")
+
+
+def equal_strings(right: list[bytes], back: list[bytes], rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(o, entries, first, edge): for each distance o from a string's start to its anchor the entries that have one, grouped by equal strings; whether each is as early as any of its group; and whether its bytes from the anchor on are those of the least or the largest entry. ``rank`` orders the entries by where they stand."""
     order_r, common_r = multikey_sort(characters(right, WIDTH))
-    order_l, common_l = multikey_sort(characters([x[::-1] for x in left], BEFORE))
-    size_r, size_l = (np.array([len(x) for x in xs]) for xs in (right, left))
+    order_l, common_l = multikey_sort(characters(back, BEFORE))
+    size_r, size_l = (np.array([len(x) for x in xs]) for xs in (right, back))
     run_r, run_l = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
     for o in range(SPREAD):
         some = np.flatnonzero((size_l >= o) & (size_r >= WIDTH - o))
@@ -224,20 +248,20 @@ def _bucket(batches):
     if not held:
         return
     table = pa.Table.from_batches(held)
-    right, left = table.column("right").to_pylist(), table.column("left").to_pylist()
+    right, back = table.column("right").to_pylist(), table.column("back").to_pylist()
     doc, rid, at = (table.column(c).to_numpy() for c in ("doc_id", "rid", "at"))
     order = np.lexsort((at, doc))
     fresh = np.r_[False, (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh)
-    hot = np.asarray(table.column("hot"))
+    reach = np.where(np.asarray(table.column("hot")), np.asarray(table.column("reach")), -1)
     gone_rid, gone_at = [], []
-    for o, some, first, edge in equal_strings(right, left, rank):
+    for o, some, first, edge in equal_strings(right, back, rank):
         gone_rid.append(rid[some[~first]])
         gone_at.append(at[some[~first]] - o)
-        ask = some[first & edge & hot[some]]
+        ask = some[first & edge & (reach[some] >= o)]
         if len(ask):
-            raw = b"".join(xxhash.xxh3_128_digest(left[i][len(left[i]) - o :] + right[i][: WIDTH - o]) for i in ask.tolist())
+            raw = b"".join(xxhash.xxh3_128_digest(back[i][:o][::-1] + right[i][: WIDTH - o]) for i in ask.tolist())
             h = np.frombuffer(raw, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(doc[ask]), pa.array(rid[ask]), pa.array((at[ask] - o).astype(np.int32)), pa.nulls(len(ask), pa.list_(pa.int32())), pa.array(np.zeros(len(ask), bool))], ["k", "k2", "doc_id", "rid", "at", "runs", "known"])
     gone_rid, gone_at = np.concatenate([[0][:0], *gone_rid]).astype(np.int64), np.concatenate([[0][:0], *gone_at]).astype(np.int64)
@@ -285,8 +309,9 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), bucket: int = B
     several = cut(several, "several")
     places = firsts.join(several, "k").groupBy("rid").agg(F.collect_list(F.struct(F.col("first").alias("at"), "hot")).alias("firsts"))
     found = cut(entries(texts.select("rid", "doc_id", "packed").join(places, "rid").select("rid", "doc_id", "packed", "firsts")), "entries")
-    strings = cut(sorted_suffixes(found, bucket), "strings")
-    forget(several, found)
+    reached = with_reach(found, bucket)
+    strings = cut(sorted_suffixes(reached, bucket), "strings")
+    forget(several, found, reached)
 
     none = F.lit(None)
     later = F.expr("concat(array(runs[0] + 1, runs[1] - 1), slice(runs, 3, greatest(size(runs) - 2, 0)))")
