@@ -257,23 +257,30 @@ def slow_judge(rows):
         n, chars, symbols, dup, rep = slow_counts(r[1])
         v = {"symbols": symbols / max(n, 1), "repeated": rep / max(n, 1), "dup_lines": dup / max(lines, 1), "word_length": chars / max(n, 1), "n_words": max(n, 1), "n_lines": max(lines, 1)}
         held.append((v, n < 20 or 100 * rep > 30 * n))
-        groups[r[2], r[3]].append(v)
+        groups[r[2], r[3]].append(v | {"passed": not held[-1][1]})
     kept = []
     for r, (v, failed) in zip(rows, held, strict=True):
+        if failed:
+            kept.append((str(r[0]), False))
+            continue
         own, lang = groups[r[2], r[3]], [x for k, g in groups.items() if k[0] == r[2] for x in g]
 
-        def q(name, share):
-            some = sorted([(bucket(x[name]), 1.0) for x in own] + [(bucket(x[name]), min(1.0, rules.PRIOR / len(lang))) for x in lang])
+        def q(name, share, tail=False):
+            seen = [(x, 1.0) for x in own] + [(x, min(1.0, rules.PRIOR / len(lang))) for x in lang]
+            some = sorted((bucket(x[name]), w) for x, w in seen if not tail or x["passed"] and bucket(x[name]) > 0)
             total, upto = sum(w for _, w in some), 0.0
             for k, w in some:
                 upto += w
                 if upto >= share * total - 1e-9 * total:
                     return value(k)
 
-        ok = not failed
+        ok = True
         for s in rules.SIGNALS:
             find = s.unit / q(s.per, 0.5)
-            ok &= v[s.name] <= q(s.name, 0.75) + rules.REACH * max(q(s.name, 0.75) - q(s.name, 0.5), find)
+            high = q(s.name, 0.75) + rules.REACH * max(q(s.name, 0.75) - q(s.name, 0.5), find)
+            if not s.low and (tail := q(s.name, rules.TAIL, tail=True)) is not None:
+                high = min(high, tail * math.sqrt(rules.GROWTH))
+            ok &= v[s.name] <= high
             ok &= not s.low or v[s.name] >= q(s.name, 0.25) - rules.REACH * max(q(s.name, 0.5) - q(s.name, 0.25), find)
         kept.append((str(r[0]), ok))
     return kept
