@@ -7,7 +7,9 @@ of its places, moved back by the word's place in the template, is where the temp
 begin, and the places of the phrase's other words, moved back likewise, are intersected with
 that. Where a key phrase stands, the template's postings vote: every licence word of the
 file, moved back by each of its places in the template, is a vote for a beginning, and the
-score is the share of the template's words that agree on it. All of it is DataFrame code.
+score is the share of the template's words that agree on it. A label is given where that
+share is LEAST_SHARE or more, so a key phrase by itself gives none unless it is the whole
+template. All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from shoebox.llm.common import cut
 
 #: What parts words: every ASCII character but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The share of a template's words that must agree for its label.
+LEAST_SHARE = 0.4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,7 +88,11 @@ misrepresented; you must not claim that you wrote the original software. 2. Alte
 not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
 _UNLICENSE = f"""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
 sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
-means. {_AS_IS}"""
+means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright
+law. {_AS_IS.replace(" OR COPYRIGHT HOLDERS", "")} For more information, please refer to
+<https://unlicense.org>"""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
 software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
@@ -117,13 +125,17 @@ NOTICES = (
     notice("zlib", _ZLIB, "permission is granted to anyone to use this software"),
     notice("unlicense", _UNLICENSE, "free and unencumbered software released into the public domain"),
     notice("apache-2.0", _APACHE, "apache license version 2 0"),
+    notice("apache-2.0", "Apache License, Version 2.0"),
     notice("apache-2.0-text", _APACHE_GRANT, "each contributor hereby grants to you a perpetual"),
     notice("gpl-2.0", "GNU General Public License, version 2", "general public license version 2"),
     notice("gpl-3.0", "GNU General Public License, version 3", "general public license version 3"),
     notice("gpl-header", _gnu("General Public License", "3"), "under the terms of the gnu general public license"),
     notice("lgpl", _gnu("Lesser General Public License", "3"), "gnu lesser general public license"),
+    notice("lgpl", "GNU Lesser General Public License"),
     notice("agpl", _gnu("Affero General Public License", "3"), "gnu affero general public license"),
+    notice("agpl", "GNU Affero General Public License"),
     notice("mpl-2.0", _MPL, "mozilla public license"),
+    notice("mpl-2.0", "Mozilla Public License, version 2.0"),
     notice("cc-by", "licensed under CC BY 4.0", "cc by 4 0"),
     notice("cc-by-sa", "licensed under CC BY-SA 4.0", "cc by sa 4 0"),
     notice("cc-by-nc", "licensed under CC BY-NC 4.0", "cc by nc 4 0"),
@@ -190,8 +202,9 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
 
     n_base counts all places of base phrases; first_word and last_word are the least and
     the largest of them (null: none), words counted from 0. base_labels and labels are
-    distinct, sorted and comma-joined, empty where nothing stands; a label's key phrase
-    stands in the text. score is the largest share of a template's words that agree with
+    distinct, sorted and comma-joined, empty where nothing stands; where a label is given
+    its key phrase stands in the text, and LEAST_SHARE of its template's words agree there
+    (of a base phrase all do). score is the largest share of a template's words that agree with
     the text where its key phrase stands, else 0: 1 for a whole template. A null text is
     empty; repeated rows stay; very long texts are scanned whole; other columns are ignored;
     an empty table gives an empty result.
@@ -206,20 +219,23 @@ def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     found = looked.select("doc_id", "n_words", "hits", *(starts(n, i, idf).alias(f"at_{k}") for k, (n, i) in enumerate(zip(notices, ids, strict=True))))
     base = [k for k, n in enumerate(notices) if n.base]
     places = F.concat(*(F.col(f"at_{k}") for k in base))
-    label = lambda some: F.concat_ws(",", F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.size(f"at_{k}") > 0, F.lit(notices[k].label)) for k in some))))))
+    label = lambda some: F.concat_ws(",", F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(F.col(f"share_{k}") >= LEAST_SHARE, F.lit(notices[k].label)) for k in some))))))
     shares = [
         F.when(F.size(f"at_{k}") > 0, F.lit(1.0) if n.key == n.words else agreement(n, i, F.col(f"at_{k}"), len(vocabulary))).otherwise(0.0)
         for k, (n, i) in enumerate(zip(notices, ids, strict=True))
     ]
-    return found.select(
+    agreed = found.select(
         "doc_id", "n_words", F.size(places).cast("bigint").alias("n_base"),
-        F.array_min(places).cast("bigint").alias("first_word"), F.array_max(places).cast("bigint").alias("last_word"),
-        label(base).alias("base_labels"), label(range(len(notices))).alias("labels"), F.greatest(*shares).alias("score"),
+        F.array_min(places).cast("bigint").alias("first_word"), F.array_max(places).cast("bigint").alias("last_word"), *(s.alias(f"share_{k}") for k, s in enumerate(shares)),
+    )
+    return agreed.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", label(base).alias("base_labels"), label(range(len(notices))).alias("labels"),
+        F.greatest(*(F.col(f"share_{k}") for k in range(len(notices)))).alias("score"),
     )
 
 
 def oracle(notices: tuple[Notice, ...] = NOTICES) -> str:
-    """The same rows in DuckDB SQL: every key phrase is looked for at every word, and where it stands every word of its template is compared."""
+    """The same rows in DuckDB SQL: every key phrase is looked for at every word, where it stands every word of its template is compared, and enough of them give the label."""
 
     def at(n: Notice) -> str:
         same = " AND ".join(f"w[i + {1 + j}] = '{x}'" for j, x in enumerate(n.key))
@@ -234,11 +250,11 @@ def oracle(notices: tuple[Notice, ...] = NOTICES) -> str:
         return f"CASE WHEN len(at_{k}) = 0 THEN 0.0::DOUBLE ELSE {agreed}::DOUBLE / {len(n.words)} END"
 
     base = [k for k, n in enumerate(notices) if n.base]
-    label = lambda some: "array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"CASE WHEN len(at_{k}) > 0 THEN ['{notices[k].label}'] ELSE []::VARCHAR[] END" for k in some) + "))), ',')"
+    label = lambda some: "array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"CASE WHEN share_{k} >= {LEAST_SHARE} THEN ['{notices[k].label}'] ELSE []::VARCHAR[] END" for k in some) + "))), ',')"
     return f"""
     WITH words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
     found AS (SELECT doc_id, w, len(w) AS n_words, {', '.join(f"{at(n)} AS at_{k}" for k, n in enumerate(notices))} FROM words),
-    based AS (SELECT *, list_concat({', '.join(f'at_{k}' for k in base)}) AS places FROM found)
+    based AS (SELECT *, list_concat({', '.join(f'at_{k}' for k in base)}) AS places, {', '.join(f"{share(k, n)} AS share_{k}" for k, n in enumerate(notices))} FROM found)
     SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
-      {label(base)} AS base_labels, {label(range(len(notices)))} AS labels, greatest({', '.join(share(k, n) for k, n in enumerate(notices))}) AS score
+      {label(base)} AS base_labels, {label(range(len(notices)))} AS labels, greatest({', '.join(f'share_{k}' for k in range(len(notices)))}) AS score
     FROM based"""

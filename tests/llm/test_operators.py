@@ -90,7 +90,9 @@ def test_whole_and_damaged_licence_texts(spark):
     whole = license._MIT
     words = whole.split()
     damaged = " ".join(w if i < 14 or i % 10 else "other" for i, w in enumerate(words))
-    texts = [whole, f"Copyright 2020 a name\n{whole} more", damaged, " ".join(words[:20]), license._gnu("Affero General Public License", "3"), "mit license " * 500, f"{license._BSD_TOP} {license._BSD_NAMES}", "permission is granted"]
+    texts = [whole, f"Copyright 2020 a name\n{whole} more", damaged, " ".join(words[:20]), license._gnu("Affero General Public License", "3"), "mit license " * 500, f"{license._BSD_TOP} {license._BSD_NAMES}", "permission is granted",
+             "we hope this text may be used to endorse or promote products of ours", "each contributor hereby grants to you a perpetual smile", license._UNLICENSE,
+             f"{license._MPL} GNU Lesser General Public License, Apache License version 2.0"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r for r in license.scan(df).collect()}
     assert got[0].labels == got[1].labels == "mit-text" and got[0].score == got[1].score == 1.0
@@ -98,6 +100,9 @@ def test_whole_and_damaged_licence_texts(spark):
     assert 0.05 < got[3].score < 0.2
     assert got[4].labels == "agpl,gpl" or "agpl" in got[4].labels and got[4].score == 1.0
     assert got[5].n_base == 500 and got[5].last_word == 998 and "bsd-3-clause" in got[6].labels and (got[7].labels, got[7].score) == ("", 0.0)
+    # a key phrase alone gives no label, and the score says how little agrees
+    assert [got[i].labels for i in (3, 8, 9)] == [""] * 3 and all(0 < got[i].score < license.LEAST_SHARE for i in (3, 8, 9))
+    assert (got[10].labels, got[10].score) == ("unlicense", 1.0) and got[11].labels == "apache,apache-2.0,gpl,lgpl,mpl-2.0"
     same(license.scan(df), as_duck(list(enumerate(texts))), license.oracle())
 
 
