@@ -95,7 +95,7 @@ def person_named(lib: Library, name: str) -> tuple[Library, int]:
     name = name.strip()
     if not name:
         raise ValueError("a person needs a name")
-    found = lib.person.where(name_key(F.col("name")) == name.lower()).agg(F.min("id")).first()[0]
+    found = lib.person.where(name_key(F.col("name")) == name_key(F.lit(name))).agg(F.min("id")).first()[0]
     if found is not None:
         return lib, found
     fresh = next_id(lib.person)
@@ -200,7 +200,7 @@ def rename_cluster(lib: Library, cluster_id: int, label: str | None) -> Library:
 
 def rename_person(lib: Library, person_id: int, name: str) -> Library:
     """Rename a person; one who has that name already takes over the clusters, and both become dirty."""
-    other = lib.person.where((name_key(F.col("name")) == name.strip().lower()) & (F.col("id") != person_id)).agg(F.min("id")).first()[0]
+    other = lib.person.where((name_key(F.col("name")) == name_key(F.lit(name))) & (F.col("id") != person_id)).agg(F.min("id")).first()[0]
     if other is None:
         return lib.with_tables(person=lib.person.withColumn("name", F.when(F.col("id") == person_id, F.lit(name.strip())).otherwise(F.col("name"))))
     cluster = lib.cluster.withColumn("person_id", F.when(F.col("person_id") == person_id, other).otherwise(F.col("person_id")).cast("bigint"))

@@ -42,7 +42,7 @@ def named_faces(lib: Library) -> DataFrame:
 
 def images_of_persons(lib: Library, persons: Sequence[str]) -> DataFrame:
     """image_id of the images whose active faces show all the people asked for; faces of nobody count as one name."""
-    keys = list(dict.fromkeys(p.strip().lower() for p in persons if p and p.strip()))
+    keys = list(dict.fromkeys(p.strip().casefold() for p in persons if p and p.strip()))
     key = name_key(F.coalesce("person_name", F.lit(UNKNOWN)))
     active = named_faces(lib).where("review_status = 'active'").withColumn("_key", key).where(F.col("_key").isin(keys))
     return active.groupBy("image_id").agg(F.count_distinct("_key").alias("n")).where(F.col("n") == len(keys)).select("image_id")
@@ -112,6 +112,20 @@ def available_path(locations: DataFrame, preferred: str | None = None) -> DataFr
     return locations.where("exists").groupBy("image_id").agg(F.min(F.struct(other.alias("other"), "path")).alias("r")).select("image_id", "r.path")
 
 
+def face_crops(faces: DataFrame, locations: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(face_id, path, x, y, w, h) of the faces ``wanted`` (id; all without it): the first location of its image that exists, and its box in whole pixels, cut towards 0.
+
+    A face whose image has no location that exists, and an id that no face has, give no row;
+    a number that is missing or not finite is 0. The faces wanted choose the locations that are read.
+    """
+    if wanted is not None:
+        faces = faces.join(wanted.select("id").distinct(), "id", "left_semi")
+    whole = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).otherwise(0.0).cast("int")
+    boxes = faces.select(F.col("id").alias("face_id"), "image_id", *(whole(f"bbox_{c}").alias(c) for c in "xywh"))
+    near = locations if wanted is None else locations.join(boxes.select("image_id"), "image_id", "left_semi")
+    return boxes.join(available_path(near), "image_id").select("face_id", "path", *"xywh")
+
+
 def available_persons(lib: Library, folders: Sequence[str] = ()) -> DataFrame:
     images = lib.image_location.where(in_folders(F.col("directory"), folders)).select("image_id")
     return named_faces(lib).where("review_status = 'active'").join(images, "image_id", "left_semi").select(F.coalesce("person_name", F.lit(UNKNOWN)).alias("person_name")).distinct()

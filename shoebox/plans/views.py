@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoebox.adapters import face_vectors, library, tables
+from shoebox.functions import routes
 from shoebox.functions.binary import as_doubles
 from shoebox.operators import display, jobs, pivots, queue
 from shoebox.operators import relational as R
@@ -190,3 +191,29 @@ def verified_digests(spark, sf_dir):
     line = F.when(F.expr("doc_id % 5 = 1"), F.concat_ws("  ", F.upper(own), "name")).when(F.expr("doc_id % 5 = 2"), F.concat_ws("  ", F.sha2(F.concat("text", F.lit("!")).cast("binary"), 256), "name")).when(F.expr("doc_id % 5 = 3"), own).otherwise(F.concat_ws(" ", own, "name"))
     published = docs.where("doc_id % 5 > 0").select("name", line.alias("text"), F.expr("if(doc_id % 15 = 4, 'sha256:00', null)").alias("digest"))
     return releases.verified(docs.select("name", "content"), published)
+
+
+@register("face_crops", sql_of("SELECT f.id AS face_id, l.path, trunc(bbox_x)::INTEGER AS x, trunc(bbox_y)::INTEGER AS y, trunc(bbox_w)::INTEGER AS w, trunc(bbox_h)::INTEGER AS h FROM face f JOIN (SELECT image_id, min(path) AS path FROM image_location WHERE id % 3 <> 0 GROUP BY image_id) l USING (image_id)"))
+def face_crops(spark, sf_dir):
+    lib = library(spark, sf_dir)
+    return R.face_crops(lib.face, lib.image_location.withColumn("exists", F.col("id") % 3 != 0))
+
+
+_PARTS = "CASE WHEN id % 7 = 0 THEN '9007199254740992' WHEN id % 7 = 1 THEN ' +' || id || 'x' ELSE id::VARCHAR END"
+
+
+@register("view_routes", sql_of(f"""SELECT id, route, CASE id % 4 WHEN 0 THEN 'people' WHEN 1 THEN 'renaming' WHEN 2 THEN 'review' ELSE 'settings' END AS page,
+  CASE WHEN id % 8 = 2 AND id % 7 > 0 THEN id END AS cluster_id, CASE WHEN id % 8 = 6 AND k IN ('unassigned', 'unknown_person', 'not_face') THEN k END AS group_key,
+  CASE WHEN id % 4 = 3 AND id % 5 < 4 THEN ['erkennung', 'dateinamen', 'updates', 'daten'][id % 5 + 1] END AS section
+  FROM (SELECT id, k, CASE id % 4 WHEN 0 THEN '#/bilder' WHEN 1 THEN '#/dateinamen' WHEN 2 THEN '#/gesichter-pruefen' || CASE WHEN id % 8 = 2 THEN '/gruppe/' || n ELSE '/kategorie/' || k END
+    ELSE '#/einstellungen/' || ['erkennung', 'dateinamen', 'updates', 'daten', 'mehr'][id % 5 + 1] END AS route
+    FROM (SELECT id, {_PARTS} AS n, CASE WHEN id % 3 = 0 THEN 'not_face' WHEN id % 3 = 1 THEN 'unassigned' ELSE lower(label) END AS k FROM cluster))"""))
+def view_routes(spark, sf_dir):
+    entries = library(spark, sf_dir).cluster.select(
+        "id", F.element_at(F.array(*map(F.lit, routes.PAGES)), (F.col("id") % 4 + 1).cast("int")).alias("page"),
+        F.expr(f"CASE WHEN id % 8 = 2 THEN {_PARTS.replace('id::VARCHAR', 'string(id)')} END").alias("number"),
+        F.expr("CASE WHEN id % 3 = 0 THEN 'not_face' WHEN id % 3 = 1 THEN 'unassigned' ELSE lower(label) END").alias("group_key"),
+        F.element_at(F.array(*map(F.lit, ("erkennung", "dateinamen", "updates", "daten", "mehr"))), (F.col("id") % 5 + 1).cast("int")).alias("section"),
+    )
+    built = entries.select("id", routes.route(*(F.col(c) for c in ("page", "number", "group_key", "section"))).alias("route"))
+    return built.withColumn("view", routes.view_of(F.col("route"))).select("id", "route", "view.*")
