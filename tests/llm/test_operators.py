@@ -496,33 +496,48 @@ def test_classifier(spark, docs):
     assert classifier.classify(df.where("false"), labels).count() == 0
 
 
-def test_fits_are_plain_logistic_fits():
-    """The fits against plain gradient descent on the same loss, over whole matrices."""
+def test_the_fit_is_a_plain_logistic_fit(monkeypatch):
+    """Counts and n-grams together, against plain gradient descent on the same loss over whole matrices."""
+    monkeypatch.setattr(classifier, "STEPS", 500)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 3))
     y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=60) > 0).astype(int)
     better, worse = classifier.pairs_of(y)
     assert (y[better] == 1).all() and (y[worse] == 0).all()
-    d, w = x[better] - x[worse], np.zeros(3)
-    for _ in range(20_000):
-        w -= 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + classifier.PENALTY * w)
-    assert np.allclose(classifier.fit_counts(d), w, atol=1e-4)
-
-    sparse = [classifier.shares(c) for c in classifier.grams([b"good words here " * int(3 + k) if k else b"bad junk junk" for k in y])]
-    full = np.zeros((60, 2 * classifier.CELLS))
+    sparse = [classifier.shares(c) for c in classifier.grams([b"neither one" if i % 2 else b"good words here" if k else b"bad junk junk" for i, k in enumerate(y)])]
+    cells, values = (np.concatenate(z) for z in zip(*sparse, strict=True))
+    ends = np.r_[0, np.cumsum([len(c) for c, _ in sparse])]
+    used = np.unique(cells)
+    full = np.zeros((60, len(used)))
     for i, (c, v) in enumerate(sparse):
-        full[i, c] = v
-    base, v, seen = x @ w, np.zeros(full.shape[1]), np.full(full.shape[1], 1e-12)
-    for _ in range(classifier.GRAM_STEPS):
-        s = base + full @ v
-        p = 1 / (1 + np.exp(s[better] - s[worse]))
-        g = -((full[better] - full[worse]) * p[:, None]).mean(0) + classifier.PENALTY * v
-        seen += g * g
-        v -= classifier.RATE * g / np.sqrt(seen)
+        full[i, np.searchsorted(used, c)] = v
+    both = np.hstack([x, full])
+    d, w = both[better] - both[worse], np.zeros(both.shape[1])
+    penalty = np.r_[np.full(3, classifier.PENALTY), np.full(len(used), classifier.GRAM_PENALTY)]
+    for _ in range(30_000):
+        w -= 0.02 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + penalty * w)
+    got = classifier.fit_weights(x, cells, values, ends, better, worse)
+    assert np.allclose(got[:3], w[:3], atol=2e-3) and np.allclose(got[3 + used], w[3:], atol=2e-3)
+    # cells that no text has weigh nothing; where n-grams tell nothing the counts decide
+    assert np.count_nonzero(got) <= both.shape[1]
+    said, told = full @ got[3 + used], np.arange(60) % 2 == 0
+    assert said[told & (y == 1)].min() > said[told & (y == 0)].max()
+    counted = x[~told] @ got[:3]
+    assert ((counted > 0) == y[~told]).mean() > 0.7
+
+
+def test_the_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(2)
+    sparse = [classifier.shares(c) for c in classifier.grams([bytes(rng.choice(list(b"ab c"), 30)) for _ in range(8)])]
     cells, values = (np.concatenate(z) for z in zip(*sparse, strict=True))
-    got = classifier.fit_grams(base, cells, values, np.r_[0, np.cumsum([len(c) for c, _ in sparse])], better, worse)
-    assert np.allclose(full @ got, full @ v, atol=1e-3)
-    assert (full @ v)[y == 1].min() > (full @ v)[y == 0].max()
+    rest = (rng.normal(size=(8, 2)), cells, values, np.r_[0, np.cumsum([len(c) for c, _ in sparse])], np.array([0, 1, 2, 3]), np.array([4, 5, 6, 7]))
+    w = rng.normal(size=2 + 2 * classifier.CELLS) * 0.1
+    gradient = classifier.loss_of(w, *rest)[1]
+    for at in (0, 1, 2 + int(cells[0]), 2 + int(cells[-1])):
+        step = np.zeros(len(w))
+        step[at] = 1e-5
+        slope = (classifier.loss_of(w + step, *rest)[0] - classifier.loss_of(w - step, *rest)[0]) / 2e-5
+        assert abs(slope - gradient[at]) < 1e-6
 
 
 def test_grams_count_every_occurrence():
