@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of the recursion: a queue's waiting jobs at most.
-LEVELS = 100_000
+
+def _walk(batches):
+    """When each waiting job ends, of rows (queue, id, seconds, free) by queue and place; a job of unknown length leaves its slot unknown."""
+    here, free = None, None
+    for b in batches:
+        etas = []
+        for queue, seconds, start in zip(*(b.column(c).to_pylist() for c in ("queue", "seconds", "free")), strict=True):
+            if queue != here:
+                here, free = queue, start
+            known = [x for x in free or () if x is not None]
+            end = None
+            if known:
+                end = None if seconds is None else min(known) + seconds
+                free[free.index(min(known))] = end
+            etas.append(end)
+        yield pa.RecordBatch.from_arrays([b.column("queue"), b.column("id"), pa.array(etas, pa.float64())], ["queue", "id", "eta"])
 
 
 def ends(jobs: DataFrame, slots: int) -> DataFrame:
@@ -16,8 +31,8 @@ def ends(jobs: DataFrame, slots: int) -> DataFrame:
     active job (null: unknown), or what a waiting one will take. Active jobs hold slots in
     order of their start, the last slot what is beyond; each waiting job, by place, takes
     the slot that frees first. Where an active job is paused or its rest unknown, nothing is
-    known of its queue. The recursion walks all queues at once, a waiting job a step, with a
-    queue's slots as its state.
+    known of its queue. A queue's rows meet in one task in their order and run through it, its
+    slots as the state, so neither a queue's length nor the number of rows is bounded.
     """
     active = jobs.where("status in ('running', 'cancelling', 'paused')").withColumn("n", F.expr("row_number() over (partition by queue order by coalesce(started_at, timestamp'1970-01-01'), id)"))
     waiting = jobs.where("status = 'queued'").select("queue", "id", F.col("seconds").cast("double").alias("seconds"), F.expr("row_number() over (partition by queue order by place, id)").alias("n"))
@@ -26,16 +41,8 @@ def ends(jobs: DataFrame, slots: int) -> DataFrame:
     slot = F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda i: F.coalesce(F.when(i < slots, F.get("own", i - 1)["s"]).otherwise(F.try_element_at(F.filter("own", lambda o: o["n"] >= slots), F.lit(-1))["s"]), F.lit(0.0)))
     none = F.array_repeat(F.lit(0.0), slots)
     begin = jobs.select("queue").distinct().join(held.select("queue", F.when(~F.col("blind"), slot).alias("free"), "blind"), "queue", "left").select("queue", F.when(F.col("blind").isNull(), none).otherwise(F.col("free")).alias("free"))
-    walked = jobs.sparkSession.sql(
-        f"""WITH RECURSIVE walk(queue, n, id, eta, free) MAX RECURSION LEVEL {LEVELS} AS (
-          SELECT queue, CAST(0 AS INT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), free FROM {{begin}}
-          UNION ALL
-          SELECT w.queue, CAST(w.n AS INT), CAST(j.id AS BIGINT), array_min(w.free) + j.seconds,
-            transform(w.free, (x, i) -> CASE WHEN i = array_position(w.free, array_min(w.free)) - 1 THEN x + j.seconds ELSE x END)
-          FROM (SELECT queue, n + 1 AS n, free FROM walk) w JOIN {{waiting}} j ON j.queue = w.queue AND j.n = w.n)
-        SELECT queue, id, eta FROM walk WHERE id IS NOT NULL""",
-        begin=begin, waiting=waiting,
-    )
+    ordered = waiting.join(begin, "queue").select("queue", "n", F.col("id").cast("bigint").alias("id"), "seconds", "free").repartition("queue").sortWithinPartitions("queue", "n")
+    walked = ordered.mapInArrow(_walk, f"queue {ordered.schema['queue'].dataType.simpleString()}, id bigint, eta double")
     known = held.select("queue", F.col("blind"))
     running = active.join(known, "queue").select("queue", F.col("id").cast("bigint").alias("id"), F.when(~F.col("blind"), F.col("seconds").cast("double")).alias("eta"))
     return walked.unionByName(running)

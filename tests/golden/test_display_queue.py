@@ -88,3 +88,24 @@ def test_queues(spark):
     assert held["a"] == (2, 2, 0, 1, 1) and held["b"] == (1, 1, 1, 0, 6) and held["c"][-1] is None
     stages = spark.createDataFrame([("x", 1, 2.0), ("x", 1, 3.0), ("x", 2, 4.0), ("y", 3, 1.0)], "family string, job int, seconds double")
     assert sorted(map(tuple, queue.family_totals(stages).collect())) == [("x", 2, 9.0, 5.0), ("y", 1, 1.0, 1.0)]
+
+
+def test_more_waiting_jobs_than_a_recursion_may_have_rows(spark):
+    rng = random.Random(3)
+    rows = [(q, q * 1000 + i, "queued", i, rng.choice([None, *range(1, 50)]) if q == 1 else rng.randrange(1, 50)) for q in range(3) for i in range(300)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "queue bigint, id bigint, status string, place int, seconds int").withColumn("started_at", F.lit(None).cast("timestamp"))
+    want = {}
+    for q in range(3):
+        free = [0.0, 0.0]
+        for _, i, _, _, s in (r for r in rows if r[0] == q):
+            least = min((x for x in free if x is not None), default=None)
+            want[i] = None if s is None or least is None else least + s
+            if least is not None:
+                free[free.index(least)] = want[i]
+    held = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        got = {r.id: r.eta for r in queue.ends(df, 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", held)
+    assert got == want
