@@ -214,17 +214,20 @@ def person_suggestions(targets: DataFrame, prototypes: DataFrame, limit: float,
     return per.select("cluster_id", "person_id", "support_count", "face_count", "support_ratio", "best_distance", "runner_up_margin", "confidence", "peel", (F.col("confidence") >= 0.72).alias("recommended"))
 
 
-def review_suggestions(targets: DataFrame, references: DataFrame, anchor: float, newest: int = 6000, per_status: int = 3000) -> DataFrame:
+def review_suggestions(targets: DataFrame, references: DataFrame, anchor: float, newest: int | None = 6000, per_status: int | None = 3000) -> DataFrame:
     """(cluster_id, review_status, support_count, face_count, support_ratio, best_distance, confidence, recommended).
 
-    ``references`` are archived faces (id, status, vec), of which the newest count. A cluster
+    ``references`` are archived faces (id, status, vec), of which the newest count, ``newest`` in
+    all and ``per_status`` of a state; without these limits (None) all do. A cluster
     near enough to archived faces of a state is offered that state, unless two states are close;
     best_distance is the median of the faces within the state's limit.
     """
     limits = {"unknown_person": min(0.42, max(0.28, 0.9 * anchor)), "not_face": 0.30}
     ratios = {"unknown_person": 0.78, "not_face": 0.88}
     code = F.when(F.col("status") == "unknown_person", 1).otherwise(0)
-    kept = references.orderBy(F.desc("id")).limit(newest).withColumn("_r", F.expr("row_number() over (partition by status order by id desc)")).where(F.col("_r") <= per_status)
+    kept = references if newest is None else references.orderBy(F.desc("id")).limit(newest)
+    if per_status is not None:
+        kept = kept.withColumn("_r", F.expr("row_number() over (partition by status order by id desc)")).where(F.col("_r") <= per_status)
     near = vectors.nearest_reference(targets, kept.select("id", code.alias("code"), "vec"), "code").join(targets.select("id", "cluster_id"), "id")
     near = near.withColumn("review_status", F.when(F.col("code") == 1, "unknown_person").otherwise("not_face"))
     of = lambda values: F.when(F.col("review_status") == "unknown_person", values["unknown_person"]).otherwise(values["not_face"])

@@ -46,6 +46,21 @@ def test_review_distance_is_the_median_of_supported_faces(spark):
     assert tuning.review_suggestions(t.where("id <> 3"), r, 0.45, newest=1).count() == 0
 
 
+def test_review_scores_look_at_every_archived_face(spark, tmp_path):
+    import duckdb
+    from shoebox.plans import registry
+
+    # of 3100 archived faces of one state only the oldest is near the three targets
+    turn = lambda sign: [sign if i == 20 else 0.0 for i in range(64)]
+    rows = [(11 * i, turn(1.0 if i == 1 else -1.0), 7) for i in range(1, 3101)] + [(11 * i + 2, turn(1.0), 7) for i in (3, 6, 9)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["review_suggestion_scores"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["review_suggestion_scores"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) > 0
+
+
 def test_nearest_two_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 20)
     df = spark.range(55).select("id", (F.col("id") % 2).alias("g"), F.expr("array(cos(radians(id)), sin(radians(id)))").alias("vec"))
