@@ -8,6 +8,9 @@ from shoebox.library import Library
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Rows of lineitem in a task. Their sorted keys shrink so far in a shuffle that parts of equal bytes would hold millions.
+TASK_ROWS = 1_000_000
+
 VIEWS = {
     "person": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, n_name AS name FROM nation",
     "cluster": "SELECT c_custkey + 1 AS id, c_mktsegment AS label, CAST(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey + 1 END AS BIGINT) AS person_id FROM customer",
@@ -31,7 +34,11 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
+    """The views over one set of tables. What is grouped and joined by order is dealt into parts of about TASK_ROWS rows, so a task's share doesn't grow with the table."""
     sources = tables(spark, sf_dir, "nation", "customer", "orders", "lineitem")
+    parts = -(-sources["lineitem"].count() // TASK_ROWS)
+    if parts > 1:
+        sources["lineitem"] = sources["lineitem"].repartition(parts, "l_orderkey")
     return Library(**{name: spark.sql(_named(sql, sources), **sources) for name, sql in VIEWS.items()})
 
 

@@ -134,15 +134,18 @@ def available_persons(lib: Library, folders: Sequence[str] = ()) -> DataFrame:
 def folder_tree(lib: Library) -> DataFrame:
     """(path, parent, name, depth, direct_image_count, image_count) of every folder and its ancestors, over processed images.
 
-    A location counts in each of its ancestors: it is exploded into them, and images are
-    counted once a folder by partial sets, so no folder's images meet in one task whole.
+    An image's folders are gathered first and their ancestors told apart inside its row, so an
+    image makes one row for each folder that it counts in, and these are only added up.
     """
     processed = lib.image.where("processed_at is not null").select(F.col("id").alias("image_id"))
-    placed = lib.image_location.join(processed, "image_id", "left_semi").select("image_id", "directory").distinct()
-    parts = F.filter(F.split("directory", "/"), lambda p: p != "")
-    ancestors = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda n: F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, n), "/")))
-    each = placed.withColumn("parts", parts).select("image_id", "directory", F.explode(ancestors).alias("path")).groupBy("path", "image_id").agg(F.max(F.expr("int(path = directory)")).alias("direct"))
-    counted = each.groupBy("path").agg(F.sum("direct").alias("direct_image_count"), F.count("*").alias("image_count"))
+    placed = lib.image_location.groupBy("image_id").agg(F.collect_set("directory").alias("own")).join(processed, "image_id", "left_semi")
+
+    def ancestors(directory: Column) -> Column:
+        parts = F.filter(F.split(directory, "/"), lambda p: p != "")
+        return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
+
+    each = placed.select("own", F.explode(F.array_distinct(F.flatten(F.transform("own", ancestors)))).alias("path"))
+    counted = each.groupBy("path").agg(F.sum(F.array_contains("own", F.col("path")).cast("int")).alias("direct_image_count"), F.count("*").alias("image_count"))
     parent = F.when(F.col("path") != "/", F.when(F.expr("instr(substr(path, 2), '/')") == 0, "/").otherwise(F.regexp_replace("path", r"/[^/]*$", "")))
     name = F.when(F.col("path") == "/", "/").otherwise(F.element_at(F.split("path", "/"), -1))
     depth = F.when(F.col("path") == "/", 0).otherwise(F.size(F.split("path", "/")) - 1)
