@@ -20,6 +20,8 @@ from shoebox.storage import in_small_batches, settled
 
 #: Pivots at most, which every task gets; vectors of a block, about; blocks of nearest centres that are looked at first.
 PIVOTS, BLOCK, FIRST = 1024, 1024, 2
+#: Blocks that meet as many in one task.
+STRIP = 16
 #: Vectors that pivots are chosen from, for each pivot.
 SAMPLE = 8
 _BLOCK = "block int, n int, ids array<bigint>, m binary, centre array<double>, radius double"
@@ -80,7 +82,7 @@ def first_pairs(queries: DataFrame, references: DataFrame, first: int = FIRST) -
         rows = np.repeat(np.arange(len(a[0])), near.shape[1])
         return pd.DataFrame({"id": a[0][rows], "other": b[0][near.ravel()], "distance": d[rows, near.ravel()]})
 
-    ranked = V.block_pairs(_summaries(queries), _summaries(references), work, "id bigint, other bigint, distance double")
+    ranked = V.block_pairs(_summaries(queries), _summaries(references), work, "id bigint, other bigint, distance double", block=2048)
     ranked = ranked.withColumn("_r", F.expr("row_number() over (partition by id order by distance, other)")).where(F.col("_r") <= first)
     return ranked.select(F.col("id").cast("int").alias("i"), F.col("other").cast("int").alias("j"))
 
@@ -93,33 +95,39 @@ def pairs_within(queries: DataFrame, references: DataFrame) -> DataFrame:
         i, j = np.nonzero(1 - np.cos(np.clip(angle, 0, np.pi)) <= a[1][:, 1:2] + 1e-9)
         return pd.DataFrame({"id": a[0][i], "other": b[0][j]})
 
-    found = V.block_pairs(_summaries(queries, F.col("most")), _summaries(references), work, "id bigint, other bigint")
+    found = V.block_pairs(_summaries(queries, F.col("most")), _summaries(references), work, "id bigint, other bigint", block=2048)
     return found.select(F.col("id").cast("int").alias("i"), F.col("other").cast("int").alias("j"))
 
 
 def scored(pairs: DataFrame, queries: DataFrame, references: DataFrame, k: int, digits: int) -> DataFrame:
-    """(i, id, other, distance): the k nearest others of each query of block i in block j, for all ``pairs``."""
-    left = queries.select(F.col("block").alias("i"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
-    right = references.select(F.col("block").alias("j"), F.col("ids").alias("b_ids"), F.col("m").alias("b_m"))
-
-    def work(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                a, b = np.array(r["a_ids"]), np.array(r["b_ids"])
-                x, y = np.frombuffer(r["a_m"]).reshape(len(a), -1), np.frombuffer(r["b_m"]).reshape(len(b), -1)
-                d = np.round(1 - x @ y.T, digits)
-                d[a[:, None] == b[None, :]] = np.inf
-                if d.shape[1] > k:  # whatever is beyond a row's k-th distance can't be among its k, ties included
-                    keep = (d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]).any(0)
-                    d, b = d[:, keep], b[keep]
-                order = np.lexsort((np.broadcast_to(b, d.shape), d), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(a)), order.shape[1])
-                at = order.ravel()
-                fine = np.isfinite(d[rows, at])
-                rows, at = rows[fine], at[fine]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), r["i"], np.int32)), pa.array(a[rows]), pa.array(b[at]), pa.array(d[rows, at])], ["i", "id", "other", "distance"])
-
-    return pairs.join(left, "i").join(right, "j").mapInArrow(work, _FOUND)
+    """(i, id, other, distance): the k nearest others of each query of block i in the blocks j of a strip, for all ``pairs``.
+
+    Blocks meet by strips of STRIP on either side, so a block is copied once for each strip that
+    it is asked for in, not for each block; a query keeps k of a strip.
+    """
+    strip = lambda c: F.floor(F.col(c) / STRIP).cast("int")
+    wanted = pairs.select("i", "j", strip("i").alias("a"), strip("j").alias("b"))
+    asked = wanted.groupBy("i", "a", "b").agg(F.collect_list("j").alias("js"))
+    left = asked.join(queries.select(F.col("block").alias("i"), "ids", "m"), "i").select("a", "b", F.col("i").alias("block"), "js", "ids", "m")
+    right = wanted.select("j", "a", "b").distinct().join(references.select(F.col("block").alias("j"), F.col("ids").alias("_ids"), F.col("m").alias("_m")), "j").select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("j").alias("_block"), "_ids", "_m")
+
+    def rows(ids: pa.Scalar, m: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        own = np.array(ids.as_py(), np.int64)
+        return own, np.frombuffer(m.as_py()).reshape(len(own), -1)
+
+    def work(one: pa.Table, two: pa.Table) -> pa.Table:
+        there = {j: rows(ids, m) for j, ids, m in zip(two.column("_block").to_pylist(), two.column("_ids"), two.column("_m"), strict=True)}
+        out = []
+        for i, js, ids, m in zip(one.column("block").to_pylist(), one.column("js").to_pylist(), one.column("ids"), one.column("m"), strict=True):
+            near = V.Nearest(*rows(ids, m), k, digits)
+            for j in sorted(js):
+                near.look(*there[j])
+            found = near.found()
+            out.append(pa.Table.from_arrays([pa.array(np.full(len(found[0]), i, np.int32)), *map(pa.array, found)], ["i", "id", "other", "distance"]))
+        empty = pa.schema([("i", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("distance", pa.float64())]).empty_table()
+        return pa.concat_tables([empty, *out])
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("_a", "_b")).applyInArrow(work, _FOUND)
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, block: int = BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:

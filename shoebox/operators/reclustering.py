@@ -29,7 +29,7 @@ def linked(targets: DataFrame, references: DataFrame, limit: float) -> DataFrame
         far = np.flatnonzero(root != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[far], "b": ids[root[far]]})
 
-    return vectors.block_pairs(targets, references, work, "a bigint, b bigint")
+    return vectors.block_pairs(targets, references, work, "a bigint, b bigint", block=2048)
 
 
 def pools(targets: DataFrame, known: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
