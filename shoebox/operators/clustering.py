@@ -176,6 +176,12 @@ def similarity_order(faces: DataFrame) -> DataFrame:
     return faces.select("id", "cluster_id", "vec").groupBy("cluster_id").applyInPandas(one, "cluster_id bigint, id bigint, place int")
 
 
+def nearest_rows(d: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k least, ties by place; only what isn't beyond the k-th is sorted."""
+    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+    return near[np.lexsort((near, d[near]))[:k]]
+
+
 class Assigner:
     """Assigns faces one by one: to a person's cluster, to another cluster, or to a new one."""
 
@@ -223,7 +229,7 @@ class Assigner:
         label = None
         if self.labels:
             d = 1 - self.rows @ v
-            order = np.lexsort((np.arange(len(d)), d))[: self.k]
+            order = nearest_rows(d, self.k)
             near = [(float(d[i]), self.labels[i]) for i in order]
             label = (self._of_person(v, near) if self.persons else None) or self._of_cluster(v, near)
         label = max(self.counts, default=0) + 1 if label is None else label
