@@ -4,12 +4,17 @@ Of two labelled texts the better is preferred; the chance of that is the logisti
 of the difference of their scores, and a score is a weighted sum of features of the text:
 a few counts, and the shares of its hashed word and character n-grams. Fitting the weights
 is logistic regression on feature differences: one problem over counts and n-grams together,
-with a penalty for each of the two, solved by limited-memory quasi-Newton steps. The threshold
-is the quantile of the labelled texts' scores that leaves as many below it as were labelled bad.
+with a penalty for each of the two, solved by limited-memory quasi-Newton steps. The pairs are
+all pairs of a good and a bad text. Their loss depends on the two distributions of scores alone:
+for each step tasks add up how many texts of each label score what, the driver works out what a
+score of either label costs, and tasks add up the gradient of their rows. The threshold is the
+quantile of the labelled texts' scores that leaves as many below it as were labelled bad.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,10 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm import textstats as ts
-from shoebox.llm.common import byte_texts, digests, in_small_batches, slices, spaced_words
-
-#: Labelled rows used at most, chosen by a hash of doc_id; pairs per row of the rarer label.
-SAMPLE, PAIRS = 5_000, 40
+from shoebox.llm.common import byte_texts, cut, digests, forget, in_small_batches, slices, spaced_words
+
+#: Pairs per row of the rarer label, where rows in memory are fitted by drawn pairs.
+PAIRS = 40
+#: The gradient at which a fit over a written table ends; each step reads the table twice.
+ENOUGH = 1e-3
+#: Scores are told apart by nodes of this distance, up to this size; ranges that a quantile's range is parted into.
+NODE, FARTHEST, RANGES = 1 / 32, 64.0, 1024
+NODES = int(2 * FARTHEST / NODE) + 3
 #: Strength of the penalty of counts, and of n-grams; steps of a fit at most, steps remembered, and the gradient it ends at.
 PENALTY, GRAM_PENALTY, STEPS, HISTORY, CLOSE = 1e-2, 1e-3, 60, 8, 1e-5
 #: Hash cells of word n-grams (one and two words) and as many of character n-grams (CHARS bytes); what a text's shares add up to.
@@ -29,6 +39,8 @@ CELL_BITS, CHARS, SHARE = 14, 4, 20.0
 CELLS = 1 << CELL_BITS
 #: Bytes of text that are looked at together, and n-gram cells of a fit.
 TOGETHER, BLOCK = 1 << 20, 1 << 19
+#: Columns of ``packed`` n-grams.
+PACKS = ("words", "word_counts", "chars", "char_counts")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 FEATURES = (
     "log_words", "log_word_length", "symbols", "punctuation", "upper", "digits", "distinct", "most_common", "same_as_before", "repeated",
@@ -91,19 +103,32 @@ def packed(cells: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
 
 def unpacked(columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cells, values, ends) of many texts from ``packed`` columns, as ``shares`` gives them."""
-    sizes = [sum(len(r[k].as_py()) // 2 for k in (0, 2)) for r in zip(*columns, strict=True)]
-    ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    held = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    bytes_ = [np.asarray(pc.binary_length(c), np.int64) for c in held]
+    sizes = bytes_[0] // 2, bytes_[2] // 2
+    ends = np.r_[0, np.cumsum(sizes[0] + sizes[1])].astype(np.int64)
     cells, values = np.zeros(ends[-1], np.int32), np.zeros(ends[-1], np.float32)
-    for at, row in zip(ends.tolist(), zip(*columns, strict=True), strict=False):
-        for k in (0, 2):
-            own, raw = np.frombuffer(row[k].as_py(), np.uint16), row[k + 1].as_py()
-            n = np.frombuffer(raw, np.uint8 if len(raw) == len(own) else np.uint32)
-            cells[at : at + len(own)] = own + np.int32(CELLS if k else 0)
-            values[at : at + len(own)] = n * SHARE / max(1, int(n.sum(dtype=np.int64)))
-            at += len(own)
+    for k, starts in ((0, ends[:-1]), (1, ends[:-1] + sizes[0])):
+        size = sizes[k]
+        row = np.repeat(np.arange(len(size)), size)
+        before = np.cumsum(size) - size
+        to = np.arange(len(row)) + (starts - before)[row]
+        cells[to] = np.frombuffer(_flat(held[2 * k]), np.uint16) + np.int32(CELLS if k else 0)
+        if (bytes_[2 * k + 1] == size).all():
+            n = np.frombuffer(_flat(held[2 * k + 1]), np.uint8).astype(np.float64)
+        else:
+            raw = held[2 * k + 1].to_pylist()
+            n = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == own else np.uint32) for x, own in zip(raw, size.tolist(), strict=True)]).astype(np.float64)
+        total = np.bincount(row, n, minlength=len(size))
+        values[to] = n * (SHARE / np.maximum(1, total))[row]
     return cells, values, ends
 
 
+def _flat(column: pa.BinaryArray) -> bytes:
+    """The bytes of a binary column's values, one after another."""
+    return b"".join(column.to_pylist())
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     """Whether a row is kept from learning: crc32 of its doc_id as text is 1 modulo 3. A null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -150,16 +175,13 @@ def loss_of(w: np.ndarray, z: np.ndarray, cells: np.ndarray, values: np.ndarray,
     return float(np.logaddexp(0, -margin).mean() + (penalty * w * w).sum() / 2), gradient
 
 
-def fit_weights(z: np.ndarray, cells: np.ndarray, values: np.ndarray, ends: np.ndarray, better: np.ndarray, worse: np.ndarray) -> np.ndarray:
-    """The weights of counts and n-grams that make ``loss_of`` least: quasi-Newton steps from the last HISTORY changes of the gradient.
-
-    Row i has ``values`` at ``cells``, from ends[i] to ends[i + 1]. A step costs two passes over them, block by block.
-    """
-    w = np.zeros(z.shape[1] + 2 * CELLS)
-    loss, gradient = loss_of(w, z, cells, values, ends, better, worse)
+def minimized(loss_at: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, close: float) -> np.ndarray:
+    """The weights at which the gradient of ``loss_at``, which gives a loss and its gradient, is below ``close``: quasi-Newton steps from the last HISTORY changes of the gradient."""
+    w = np.zeros(size)
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    loss, gradient = loss_at(w)
     for _ in range(STEPS):
-        if np.abs(gradient).max() < CLOSE:
+        if np.abs(gradient).max() < close:
             break
         way, parts = -gradient, []
         for moved, turned in reversed(held):
@@ -172,7 +194,7 @@ def fit_weights(z: np.ndarray, cells: np.ndarray, values: np.ndarray, ends: np.n
             way += moved * (part - turned @ way / (moved @ turned))
         size, slope = (1.0 if held else 1 / np.abs(gradient).sum()), gradient @ way
         for _ in range(30):
-            after = loss_of(w + size * way, z, cells, values, ends, better, worse)
+            after = loss_at(w + size * way)
             if after[0] <= loss + 1e-4 * size * slope:
                 break
             size /= 2
@@ -185,18 +207,138 @@ def fit_weights(z: np.ndarray, cells: np.ndarray, values: np.ndarray, ends: np.n
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray, cells: np.ndarray, values: np.ndarray, ends: np.ndarray) -> dict:
-    """Weights, scaling and threshold from features, n-gram shares and labels of 0 and 1; without both labels every text scores one half."""
-    mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-    model = {"mean": mean, "scale": scale, "weights": np.zeros(len(FEATURES)), "grams": np.zeros(2 * CELLS), "threshold": 0.0}
-    if not (y == 1).any() or not (y == 0).any():
+def fit_weights(z: np.ndarray, cells: np.ndarray, values: np.ndarray, ends: np.ndarray, better: np.ndarray, worse: np.ndarray) -> np.ndarray:
+    """The weights of counts and n-grams that make ``loss_of`` least, for rows in memory.
+
+    Row i has ``values`` at ``cells``, from ends[i] to ends[i + 1]. A step costs two passes over them, block by block.
+    """
+    return minimized(lambda w: loss_of(w, z, cells, values, ends, better, worse), z.shape[1] + 2 * CELLS, CLOSE)
+
+
+def spread(score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first node, weights, slopes) of scores: each is dealt to three nodes by a quadratic spline, so what nodes add up to is smooth in it."""
+    inside = np.abs(score) < FARTHEST
+    at = (np.clip(score, -FARTHEST, FARTHEST) + FARTHEST) / NODE
+    node = np.rint(at).astype(np.int64)
+    u = at - node
+    weights = np.stack([(0.5 - u) ** 2 / 2, 0.75 - u * u, (0.5 + u) ** 2 / 2])
+    return node, weights, np.stack([u - 0.5, -2 * u, u + 0.5]) / NODE * inside
+
+
+def pair_costs(good: np.ndarray, bad: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, costs of good, costs of bad): the mean logistic loss of all pairs of texts at nodes, and what one text at each node adds to it."""
+    apart = np.arange(1 - NODES, NODES) * NODE
+    each = np.logaddexp(0, -apart)  # of a good text so far above a bad one
+    n, m = good.sum(), bad.sum()
+    of_good = np.convolve(each, bad / (n * m), "valid")
+    return float(good @ of_good), of_good, np.convolve(each[::-1], good / (n * m), "valid")
+
+
+class Labelled:
+    """The learning rows as a written table of features, which tasks go through for each step; no row leaves them."""
+
+    def __init__(self, rows: DataFrame):
+        spark = rows.sparkSession
+        # a task reads its rows batch by batch, so their number is the cluster's and sums sent to the driver don't grow with the rows
+        self.rows = rows.coalesce(4 * spark.sparkContext.defaultParallelism)
+        self.k = len(FEATURES)
+        sums = self._summed(lambda x, y, _: np.r_[len(y), y.sum(), x.sum(0)])
+        self.n, self.good = (int(sums[0]), int(sums[1])) if len(sums) else (0, 0)
+        self.mean, self.scale = np.zeros(self.k), np.ones(self.k)
+        if self.n:
+            mean = self.mean = sums[2:] / self.n
+            self.scale = np.sqrt(self._summed(lambda x, y, _: ((x - mean) ** 2).sum(0)) / self.n) + 1e-9
+
+    def _each(self, of, schema: str, names: list[str]) -> DataFrame:
+        def run(batches):
+            yield from of(
+                (np.array(b.column("x").flatten(), np.float64).reshape(-1, len(FEATURES)), np.asarray(b.column("quality")), lambda b=b: unpacked([b.column(c) for c in PACKS]))
+                for b in batches
+                if b.num_rows
+            )
+
+        return self.rows.select(*names).mapInArrow(run, schema)
+
+    def _summed(self, of, names: tuple[str, ...] = ()) -> np.ndarray:
+        """The sum over batches of what ``of`` makes of their counts, labels and, where asked for, n-grams; empty without rows."""
+
+        def run(batches):
+            total = 0
+            for x, y, grams_ in batches:
+                total = total + of(x, y, grams_)
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["sums"])
+
+        found = self._each(run, "sums binary", ["quality", "x", *names]).toArrow().column("sums").to_pylist()
+        return np.sum([np.frombuffer(x) for x in found], 0) if found else np.zeros(0)
+
+    def _score(self, w: np.ndarray):
+        mean, scale, k = self.mean, self.scale, self.k
+
+        def score(x, grams_):
+            z = np.clip((x - mean) / scale, -8, 8)
+            return z, z @ w[:k] + gram_scores(w[k:], *grams_)
+
+        return score
+
+    def loss_at(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """(loss, gradient): as ``loss_of`` has them, over all pairs of a good and a bad row."""
+        score, k, size = self._score(w), self.k, len(w)
+
+        def scored(x, y, grams_):
+            node, weights, _ = spread(score(x, grams_())[1])
+            return np.concatenate([sum(np.bincount(node[y == v] + i, weights[i][y == v], minlength=NODES) for i in range(3)) for v in (1, 0)])
+
+        loss, *costs = pair_costs(*np.split(self._summed(scored, PACKS), 2))
+        costs = np.stack(costs[::-1])
+
+        def pushed(x, y, grams_):
+            cells, values, ends = grams_()
+            z, own = score(x, (cells, values, ends))
+            node, _, slopes = spread(own)
+            push = sum(slopes[i] * costs[y, node + i] for i in range(3))
+            return np.r_[z.T @ push, np.bincount(cells, values * np.repeat(push, np.diff(ends)), minlength=size - k)]
+
+        penalty = np.r_[np.full(k, PENALTY), np.full(size - k, GRAM_PENALTY)]
+        return loss + float((penalty * w * w).sum() / 2), self._summed(pushed, PACKS) + penalty * w
+
+    def scores(self, w: np.ndarray) -> DataFrame:
+        score = self._score(w)
+
+        def run(batches):
+            for x, _, grams_ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(score(x, grams_())[1])], ["score"])
+
+        return self._each(run, "score double", ["quality", "x", *PACKS])
+
+
+def nth_score(scores: DataFrame, n: int) -> float:
+    """The score that n others stand below: ranges of scores are counted, and that which holds it is parted anew until its scores are all the same."""
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while low < high:
+        width = (high - low) / RANGES or high - low
+        place = F.least(F.floor((F.col("score") - low) / width), F.lit(RANGES - 1))
+        found = scores.where(F.col("score").between(low, high)).groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min("score"), F.max("score")).orderBy("place").collect()
+        for _, count, low, high in found:
+            if n < count:
+                break
+            n -= count
+    return low
+
+
+def fit(rows: DataFrame) -> dict:
+    """Weights, scaling and threshold from all rows of features, n-grams and labels of 0 and 1; without both labels every text scores one half."""
+    held = Labelled(rows)
+    model = {"mean": held.mean, "scale": held.scale, "weights": np.zeros(held.k), "grams": np.zeros(2 * CELLS), "threshold": 0.0}
+    if not 0 < held.good < held.n:
         return model
-    z = np.clip((x - mean) / scale, -8, 8)
-    better, worse = pairs_of(y)
-    model["weights"], model["grams"] = np.split(fit_weights(z, cells, values, ends, better, worse), [z.shape[1]])
-    scores = np.sort(z @ model["weights"] + gram_scores(model["grams"], cells, values, ends))
-    k = int((y == 0).sum())  # the quantile: as many below as are labelled bad
-    return model | {"threshold": float((scores[k - 1] + scores[k]) / 2)}
+    w = minimized(held.loss_at, held.k + 2 * CELLS, ENOUGH)
+    model["weights"], model["grams"] = np.split(w, [held.k])
+    told = cut(held.scores(w), "scores")
+    k = held.n - held.good  # the quantile: as many below as are labelled bad
+    model["threshold"] = (nth_score(told, k - 1) + nth_score(told, k)) / 2
+    forget(told)
+    return model
 
 
 def score_of(model: dict, texts: list[bytes]) -> np.ndarray:
@@ -205,36 +347,31 @@ def score_of(model: dict, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """The model from at most ``sample`` labelled rows outside the held-out third.
+def learn(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model from all labelled rows outside the held-out third.
 
     Labels other than 0 and 1, and rows without a doc_id, teach nothing; of several labels
-    of one doc_id the least counts. At most ``sample`` rows of features reach the driver.
+    of one doc_id the least counts, and of its texts the least. Features stand in the shared
+    folder while they are learned from; the driver gets sums of them alone.
     """
     named = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     named = named.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-
-    packs = ("words", "word_counts", "chars", "char_counts")
 
     def run(batches):
         for b in batches:
-            texts = byte_texts(b)
-            kept = [packed(c) for c in grams(texts)]
-            columns = [pa.array(matrix(texts).tolist(), pa.list_(pa.float64())), *(pa.array([k[i] for k in kept], pa.binary()) for i in range(4))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), *columns], ["doc_id", "quality", "x", *packs])
+            for s in slices(b.column("text"), TOGETHER):
+                part = b.slice(s.start, s.stop - s.start)
+                texts = byte_texts(part)
+                kept = [packed(c) for c in grams(texts)]
+                columns = [pa.array(matrix(texts).tolist(), pa.list_(pa.float64())), *(pa.array([k[i] for k in kept], pa.binary()) for i in range(4))]
+                yield pa.RecordBatch.from_arrays([part.column("quality"), *columns], ["quality", "x", *PACKS])
 
-    # at most ``sample`` narrow rows, so the hint's size is bounded
     texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(named), "doc_id").select("doc_id", "quality", "text")
-    # of a repeated doc_id the first by its features
-    found = texts.mapInArrow(run, "doc_id bigint, quality int, x array<double>, " + ", ".join(f"{c} binary" for c in packs))
-    rows = found.groupBy("doc_id").agg(F.min(F.struct("quality", "x", *packs)).alias("r")).select("doc_id", "r.*").toArrow()
-    rows = rows.take(pc.sort_indices(rows.column("doc_id")))
-    x, y = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES)), rows.column("quality").to_numpy()
-    grams_ = unpacked([rows.column(c) for c in packs])
-    del rows
-    return fit(x, y, *grams_)
+    texts = texts.join(named, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
+    rows = cut(texts.mapInArrow(run, "quality int, x array<double>, " + ", ".join(f"{c} binary" for c in PACKS)), "features")
+    model = fit(rows)
+    forget(rows)
+    return model
 
 
 def scores(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
