@@ -248,14 +248,16 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, least_gain: float = 0
     full, task = int(NEARLY * capacity), F.shiftright("bin", 32)
     bins = placed.where(F.col("used") < full).groupBy("bin").agg(F.max("used").alias("used"))
     moves: list[DataFrame] = []
+    tasks = 0
     while True:
-        n, tasks = bins.agg(F.count("*"), F.count_distinct(task)).first()
+        n, met = bins.agg(F.count("*"), F.count_distinct(task)).first()
         if n < 2:
             break
         least = -(-n // TASK_ITEMS)
-        tasks = max(least, tasks // FAN_IN)
-        # bins of all sizes meet: the hash of a bin's number says nothing of its size
-        items = bins.select(F.col("bin").alias("item"), F.col("used").alias("size")).repartition(tasks, F.xxhash64("bin", F.lit(len(moves))))
+        # the tasks of the round before count as they were asked for, so the rounds are a logarithm of the first one's
+        tasks = max(least, min(tasks or met, met) // FAN_IN)
+        # bins of all sizes meet: they are dealt in turn, in the order of a hash, and their number is exact without a key
+        items = bins.select(F.col("bin").alias("item"), F.col("used").alias("size")).repartition(tasks)
         moves.append(cut(_next_round(items, len(moves) + 1, capacity), "moves"))
         bins = moves[-1].where(F.col("used") < full).groupBy("bin").agg(F.max("used").alias("used"))
         if tasks == 1 or tasks == least and bins.count() > (1 - least_gain) * n:
