@@ -27,7 +27,7 @@ from shoebox.llm.merges import MergeTable
 #: The id that closes a text; the share of the capacity from which a bin is done.
 END, NEARLY = 1, 0.995
 #: Words that a worker remembers; tasks whose leftovers meet in one; items that one task packs together.
-REMEMBERED, FAN_IN, TASK_ITEMS = 80_000, 8, 50_000
+REMEMBERED, FAN_IN, TASK_ITEMS = 300_000, 8, 50_000
 #: Bytes of text that are tokenized together.
 TOGETHER = 2 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -88,14 +88,14 @@ class WordTokenizer:
 
     def _words(self, new: list[str]) -> dict[str, bytes]:
         """The ids of words; what they are made of is merged once."""
-        made = [_PARTS.findall(w) for w in new]
+        made = [[w] if w.isalpha() else _PARTS.findall(w) for w in new]
         if len(self.parts) > REMEMBERED:
             self.parts = {}
         parts = self.parts
         fresh = list({p for m in made for p in m if p not in parts})
         for p, ids in zip(fresh, self.merges.encode([p.encode() for p in fresh]), strict=True):
             parts[p] = ids if ids is not None else self.whole([p])[0]
-        return {w: b"".join([parts[p] for p in m]) for w, m in zip(new, made, strict=True)}
+        return {w: parts[m[0]] if len(m) == 1 else b"".join([parts[p] for p in m]) for w, m in zip(new, made, strict=True)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as little-endian uint32."""
