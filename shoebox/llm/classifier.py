@@ -46,42 +46,53 @@ FEATURES = (
     "log_words", "log_word_length", "symbols", "punctuation", "upper", "digits", "distinct", "most_common", "same_as_before", "repeated",
     "dup_lines", "line_words", "non_ascii", "short_text", "one_letter", "upper_words",
 )
-_UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
-
-
-def features(text: bytes) -> list[float]:
-    words = text.split()
-    n, size = max(1, len(words)), max(1, len(text))
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    chars = ts.code_points(text) - ts.count_of(text, ts.WHITE)
-    lines = [x for x in text.split(b"\n") if x.strip(ts.WHITE)]
-    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    return [
-        np.log1p(len(words)), np.log1p(chars / n), min(2.0, ts.count_of(text, ts.SYMBOLS) / n), min(3.0, ts.count_of(text, b".,;:!?") / n),
-        ts.count_of(text, _UPPER) / size, ts.count_of(text, _DIGITS) / size, len(counts) / n, max(counts.values(), default=0) / n, same / n,
-        ts.repeated_words(words, 8) / n, 1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))),
-        ts.count_of(text, bytes(range(128, 256))) / size, float(len(words) < 20), sum(len(w) == 1 for w in words) / n, sum(w.isupper() for w in words) / n,
-    ]
-
-
-def matrix(texts: list[bytes]) -> np.ndarray:
-    return np.array([features(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
-
-
-def grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+_UPPER, _DIGITS, _HIGH = bytes(range(65, 91)), b"0123456789", bytes(range(128, 256))
+
+
+Parted = tuple[list[bytes], np.ndarray, np.ndarray]
+
+
+def matrix(texts: list[bytes], parted: Parted | None = None) -> np.ndarray:
+    """FEATURES of each text. What depends on a word alone is worked out once for the texts together; ``parted`` is their ``spaced_words``."""
+    words, codes, offsets = parted or spaced_words(texts)
+    count = np.diff(offsets)
+    row = np.repeat(np.arange(len(texts)), count)
+    of_rows = lambda marks: np.bincount(row, marks, minlength=len(texts))
+    sizes, raw = np.fromiter(map(len, words), np.int64, len(words)), np.frombuffer(b"".join(words), np.uint8)
+    upper, lower = (_row_sums(((raw >= a) & (raw < a + 26)).astype(np.int64), sizes) > 0 for a in b"Aa")
+    one_letter, upper_words = of_rows((sizes == 1)[codes]), of_rows((upper & ~lower)[codes])
+    same = of_rows(np.r_[False, (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])][: len(codes)])
+    each = np.sort(row * max(1, len(words)) + codes)
+    new = np.flatnonzero(np.r_[True, each[1:] != each[:-1]][: len(each)])
+    distinct, most = np.bincount(row[new], minlength=len(texts)), np.zeros(len(texts), np.int64)
+    np.maximum.at(most, row[new], np.diff(np.r_[new, len(each)]))
+    found = []
+    for i, text in enumerate(texts):
+        n, size = max(1, int(count[i])), max(1, len(text))
+        chars = ts.code_points(text) - ts.count_of(text, ts.WHITE)
+        lines = [x for x in text.split(b"\n") if x.strip(ts.WHITE)]
+        repeated = ts.repeated_numbers(codes[offsets[i] : offsets[i + 1]], int(distinct[i]), 8)
+        found.append([
+            np.log1p(count[i]), np.log1p(chars / n), min(2.0, ts.count_of(text, ts.SYMBOLS) / n), min(3.0, ts.count_of(text, b".,;:!?") / n),
+            ts.count_of(text, _UPPER) / size, ts.count_of(text, _DIGITS) / size, distinct[i] / n, most[i] / n, same[i] / n,
+            repeated / n, 1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))),
+            ts.count_of(text, _HIGH) / size, float(count[i] < 20), one_letter[i] / n, upper_words[i] / n,
+        ])
+    return np.array(found, np.float64).reshape(-1, len(FEATURES))
+
+
+def grams(texts: list[bytes], parted: Parted | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text the cells of its word n-grams, and of its character n-grams, one for each occurrence."""
-    words, codes, offsets = spaced_words(texts)
+    words, codes, offsets = parted or spaced_words(texts)
     h, top = digests(words)[:, 0][codes], np.uint64(64 - CELL_BITS)
     two = (h[:-1] * _MIX[0] + h[1:] * _MIX[1]) >> top if len(h) else h
     found = []
     for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        raw = np.frombuffer(t, np.uint8).astype(np.uint64)
+        raw = np.frombuffer(t, np.uint8)
         n = max(0, len(raw) - CHARS + 1)
         code = np.zeros(n, np.uint64)
-        for i in range(CHARS):
-            code |= raw[i : i + n] << np.uint64(8 * i)
+        for i in range(min(CHARS, n)):  # CHARS bytes are one little-endian number
+            code[i::CHARS] = raw[i : i + (len(raw) - i) // CHARS * CHARS].view("<u4")
         found.append((np.r_[h[a:b] >> top, two[a : max(a, b - 1)]].astype(np.int32), ((code * _MIX[0]) >> top).astype(np.int32) + CELLS))
     return found
 
@@ -101,32 +112,61 @@ def packed(cells: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
     return out
 
 
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def counted(columns: list[pa.ChunkedArray]) -> list[Counted]:
+    """For words and for characters, of many texts from ``packed`` columns: (cells, counts, cells of each row, what makes a row's counts its values)."""
+    held = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    found = []
+    for k, base in enumerate((0, CELLS)):
+        at, raw = held[2 * k], held[2 * k + 1]
+        size, bytes_ = (np.asarray(pc.binary_length(c), np.int64) for c in (at, raw))
+        size = size // 2
+        if (bytes_ == size).all():
+            n = _flat(raw).astype(np.float64)
+        else:
+            n = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == own else np.uint32) for x, own in zip(raw.to_pylist(), size.tolist(), strict=True)]).astype(np.float64)
+        found.append((_flat(at).view("<u2").astype(np.intp) + base, n, size, SHARE / np.maximum(1, _row_sums(n, size))))
+    return found
+
+
+def _row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sums of consecutive runs of so many values."""
+    found, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        found[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return found
+
+
+def counted_scores(w: np.ndarray, kinds: list[Counted]) -> np.ndarray:
+    """What each row's n-grams weigh, as ``gram_scores`` has it."""
+    return sum(factor * _row_sums(n * w[cells], size) for cells, n, size, factor in kinds)
+
+
+def counted_sums(push: np.ndarray, kinds: list[Counted]) -> np.ndarray:
+    """The sums of the rows' n-gram values, each row ``push`` times."""
+    return sum(np.bincount(cells, n * np.repeat(push * factor, size), minlength=2 * CELLS) for cells, n, size, factor in kinds)
+
+
 def unpacked(columns: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cells, values, ends) of many texts from ``packed`` columns, as ``shares`` gives them."""
-    held = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-    bytes_ = [np.asarray(pc.binary_length(c), np.int64) for c in held]
-    sizes = bytes_[0] // 2, bytes_[2] // 2
-    ends = np.r_[0, np.cumsum(sizes[0] + sizes[1])].astype(np.int64)
+    kinds = counted(columns)
+    ends = np.r_[0, np.cumsum(kinds[0][2] + kinds[1][2])].astype(np.int64)
     cells, values = np.zeros(ends[-1], np.int32), np.zeros(ends[-1], np.float32)
-    for k, starts in ((0, ends[:-1]), (1, ends[:-1] + sizes[0])):
-        size = sizes[k]
-        row = np.repeat(np.arange(len(size)), size)
-        before = np.cumsum(size) - size
-        to = np.arange(len(row)) + (starts - before)[row]
-        cells[to] = np.frombuffer(_flat(held[2 * k]), np.uint16) + np.int32(CELLS if k else 0)
-        if (bytes_[2 * k + 1] == size).all():
-            n = np.frombuffer(_flat(held[2 * k + 1]), np.uint8).astype(np.float64)
-        else:
-            raw = held[2 * k + 1].to_pylist()
-            n = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == own else np.uint32) for x, own in zip(raw, size.tolist(), strict=True)]).astype(np.float64)
-        total = np.bincount(row, n, minlength=len(size))
-        values[to] = n * (SHARE / np.maximum(1, total))[row]
+    for (own, n, size, factor), starts in zip(kinds, (ends[:-1], ends[:-1] + kinds[0][2]), strict=True):
+        to = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(own))
+        cells[to], values[to] = own, n * np.repeat(factor, size)
     return cells, values, ends
 
 
-def _flat(column: pa.BinaryArray) -> bytes:
-    """The bytes of a binary column's values, one after another."""
-    return b"".join(column.to_pylist())
+def _flat(column: pa.BinaryArray) -> np.ndarray:
+    """The bytes of a binary column's values without nulls, one after another."""
+    _, ends, raw = column.buffers()
+    if raw is None or not len(column):
+        return np.zeros(0, np.uint8)
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]]
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -252,7 +292,7 @@ class Labelled:
     def _each(self, of, schema: str, names: list[str]) -> DataFrame:
         def run(batches):
             yield from of(
-                (np.array(b.column("x").flatten(), np.float64).reshape(-1, len(FEATURES)), np.asarray(b.column("quality")), lambda b=b: unpacked([b.column(c) for c in PACKS]))
+                (np.array(b.column("x").flatten(), np.float64).reshape(-1, len(FEATURES)), np.asarray(b.column("quality")), lambda b=b: counted([b.column(c) for c in PACKS]))
                 for b in batches
                 if b.num_rows
             )
@@ -277,7 +317,7 @@ class Labelled:
 
         def score(x, grams_):
             z = np.clip((x - mean) / scale, -8, 8)
-            return z, z @ w[:k] + gram_scores(w[k:], *grams_)
+            return z, z @ w[:k] + counted_scores(w[k:], grams_)
 
         return score
 
@@ -293,11 +333,11 @@ class Labelled:
         costs = np.stack(costs[::-1])
 
         def pushed(x, y, grams_):
-            cells, values, ends = grams_()
-            z, own = score(x, (cells, values, ends))
+            kinds = grams_()
+            z, own = score(x, kinds)
             node, _, slopes = spread(own)
             push = sum(slopes[i] * costs[y, node + i] for i in range(3))
-            return np.r_[z.T @ push, np.bincount(cells, values * np.repeat(push, np.diff(ends)), minlength=size - k)]
+            return np.r_[z.T @ push, counted_sums(push, kinds)]
 
         penalty = np.r_[np.full(k, PENALTY), np.full(size - k, GRAM_PENALTY)]
         return loss + float((penalty * w * w).sum() / 2), self._summed(pushed, PACKS) + penalty * w
@@ -342,8 +382,9 @@ def fit(rows: DataFrame) -> dict:
 
 
 def score_of(model: dict, texts: list[bytes]) -> np.ndarray:
-    said = [sum(SHARE * float(model["grams"][c].mean()) for c in cells if len(c)) for cells in grams(texts)]
-    raw = np.clip((matrix(texts) - model["mean"]) / model["scale"], -8, 8) @ model["weights"] + np.array(said) - model["threshold"]
+    parted = spaced_words(texts)
+    said = [sum(SHARE * float(model["grams"][c].mean()) for c in cells if len(c)) for cells in grams(texts, parted)]
+    raw = np.clip((matrix(texts, parted) - model["mean"]) / model["scale"], -8, 8) @ model["weights"] + np.array(said) - model["threshold"]
     return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
 
 
@@ -362,8 +403,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
             for s in slices(b.column("text"), TOGETHER):
                 part = b.slice(s.start, s.stop - s.start)
                 texts = byte_texts(part)
-                kept = [packed(c) for c in grams(texts)]
-                columns = [pa.array(matrix(texts).tolist(), pa.list_(pa.float64())), *(pa.array([k[i] for k in kept], pa.binary()) for i in range(4))]
+                parted = spaced_words(texts)
+                kept = [packed(c) for c in grams(texts, parted)]
+                columns = [pa.array(matrix(texts, parted).tolist(), pa.list_(pa.float64())), *(pa.array([k[i] for k in kept], pa.binary()) for i in range(4))]
                 yield pa.RecordBatch.from_arrays([part.column("quality"), *columns], ["quality", "x", *PACKS])
 
     texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

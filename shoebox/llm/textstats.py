@@ -43,13 +43,17 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 def repeated_words(words: list[bytes], width: int) -> int:
     """How many words lie in windows of ``width`` words that the text has twice or more, the first included."""
-    n = len(words)
-    if n <= width:
-        return 0
     number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, n)
-    if n - len(number) < width:
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
+    return repeated_numbers(ids, len(number), width)
+
+
+def repeated_numbers(ids: np.ndarray, distinct: int, width: int) -> int:
+    """``repeated_words`` of words given as numbers, of which so many are distinct."""
+    n = len(ids)
+    if n <= width or n - distinct < width:
         return 0  # a repeated window repeats as many words
+    ids = ids.astype(np.uint64, copy=False)
     sums = window_sums(ids * _ODD[62] + _ODD[61], width)
     order = np.argsort(sums, kind="stable")
     ranked = sums[order]
