@@ -48,7 +48,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates - linked by similarities of 0.8 or more over shingles of five words - one row stays: that of the least doc_id, of several the one of least key.
 
-    The links are all there are (``near``). Fingerprints of op2 miss most pairs at this similarity, whatever the budget that a trie can walk.
+    SimHash fingerprints that op2's trie self-join brings within three bits come first, settled on the whole sets; as most pairs
+    at this similarity differ in more bits, an exact join finds the links that are left, so none is missing (``near``).
     Rows without a doc_id come last; null and blank texts are copies of each other.
     """
     rows = cut(near.near_classes(docs.select(*COLUMNS, _key()), keep=("key",)), "classes")

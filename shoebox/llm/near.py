@@ -1,4 +1,8 @@
-"""Near copies by shingle similarity: an exact join of all pairs of Jaccard similarity 0.8 or more over shingles of five words.
+"""Near copies: texts whose SimHash fingerprints meet in the binary trie, and all others of Jaccard similarity 0.8 or more over shingles of five words.
+
+Fingerprints of the sets of shingles are joined by op2's trie, walked in node pairs; what it brings
+together is settled on the whole sets, and what they link is one node for all that follows. Of pairs at
+0.8 most differ in more bits than a trie can walk, so an exact join finds the rest.
 
 Put the shingles of every text in one order. Two texts that share 0.8 of their shingles then
 share one among the first fifth of each, so only that prefix is shuffled. Order is by hash,
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 
 from shoebox.llm.common import byte_texts, cut, digests, forget, in_small_batches, slices, spaced_words
 from shoebox.llm.components import connected_components
+from shoebox.llm.simhash import fingerprint_links, majority
 
 #: Words of a shingle; the least similarity is 4/5, of which the whole-number tests below are made.
 WIDTH = 5
@@ -108,7 +113,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def _sized(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """(doc_id, node, n, bits) and the columns ``keep`` for every row: its set's name, size and signature."""
+    """(doc_id, node, n, bits, fp) and the columns ``keep`` for every row: its set's name, size, signature and fingerprint."""
     texts = in_small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *(F.col(c).alias(f"_{c}") for c in keep))
     more = "".join(f", _{c} {texts.schema[f'_{c}'].dataType.simpleString()}" for c in keep)
 
@@ -117,11 +122,11 @@ def _sized(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             for s in slices(b.column("text"), TOGETHER):
                 part = b.slice(s.start, s.stop - s.start)
                 sets = shingle_sets(byte_texts(part))
-                columns = [pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([signature(x) for x in sets], pa.list_(pa.int64()))]
+                columns = [pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array([signature(x) for x in sets], pa.list_(pa.int64())), pa.array([majority(x) for x in sets], pa.int64())]
                 kept = [f"_{c}" for c in keep]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, *(part.column(c) for c in kept)], ["doc_id", "node", "n", "bits", *kept])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, *(part.column(c) for c in kept)], ["doc_id", "node", "n", "bits", "fp", *kept])
 
-    return texts.mapInArrow(run, f"doc_id bigint, node bigint, n int, bits array<bigint>{more}")
+    return texts.mapInArrow(run, f"doc_id bigint, node bigint, n int, bits array<bigint>, fp bigint{more}")
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -202,6 +207,22 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "node bigint, held array<bigint>").dropDuplicates(["node"])
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of nodes that their fingerprints (node, fp) bring together.
+
+    Nodes of one fingerprint go with the first of them; firsts go with each other where the trie
+    links their fingerprints, each with the least of its class there. So a node has few pairs, however many are alike.
+    """
+    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "fingerprints")
+    same = nodes.join(firsts.where("n > 1"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    one, two = (firsts.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_first")) for k in "ab")
+    far = fingerprint_links(firsts.select("fp")).join(one, "a").join(two, "b")
+    far = far.select(F.least("a_first", "b_first").alias("u"), F.greatest("a_first", "b_first").alias("v"))
+    held = cut(same.unionByName(far).distinct(), "pairs")
+    forget(firsts)
+    return held
+
+
 def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` (u, v) whose sets have a Jaccard similarity of 4/5 or more."""
     sets = _sets(docs, pairs)
@@ -247,11 +268,25 @@ def near_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     rows = cut(_sized(docs, keep), "sizes")
     nodes = rows.groupBy("node").agg(F.any_value("bits").alias("bits"))
-    entries = rows.agg(F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).first()[0] or 0
-    lists = cut(shared_lists(docs, frequent_shingles(docs), entries), "lists")
     spark = docs.sparkSession
     links = tried = spark.createDataFrame([], "u bigint, v bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
+    written = []
+
+    def settle(pairs: DataFrame) -> None:
+        """The links among ``pairs``, and the roots of all links so far."""
+        nonlocal links, tried, roots
+        written.append(pairs)
+        if pairs.isEmpty():
+            return
+        written.append(found := cut(_similar(docs, pairs), "links"))
+        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        if not found.isEmpty():
+            roots = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+    settle(fingerprint_pairs(rows.where("n > 0").groupBy("node").agg(F.any_value("fp").alias("fp"))))
+    entries = rows.agg(F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).first()[0] or 0
+    lists = cut(shared_lists(docs, frequent_shingles(docs), entries), "lists")
     for k, stars in enumerate((*STARS, None)):
         at = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
@@ -271,13 +306,8 @@ def near_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         pairs = cut(pairs.select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
         if stars is None:
             forget(held)
-        if pairs.isEmpty():
-            continue
-        found = cut(_similar(docs, pairs), "links")
-        tried, links = tried.unionByName(pairs), links.unionByName(found)
-        if not found.isEmpty():
-            roots = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    forget(lists)
+        settle(pairs)
+    forget(lists, *written)
     found = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return found.select("doc_id", "root", *(F.col(f"_{c}").alias(c) for c in keep))
 

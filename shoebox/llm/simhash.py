@@ -36,7 +36,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles], dtype=np.uint64)
+    return majority(np.array([digest(s, 42) for s in shingles], dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of uint64 hashes: the bits that over half of them have."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)]
