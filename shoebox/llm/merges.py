@@ -11,6 +11,8 @@ from shoebox.llm.bpe import byte_symbols
 #: Words of more bytes than this are left to the library; words merged together.
 LONGEST, TOGETHER = 32, 1 << 15
 _NONE = np.int32(2**31 - 1)
+#: Slots of a table of pairs, as a power of 2; an odd factor that scatters the pairs.
+_BITS, _FACTOR = 18, 0x9E3779B97F4A7C15
 
 
 class MergeTable:
@@ -29,61 +31,86 @@ class MergeTable:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.size = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.out = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        # a table has slots for keys and their ranks; of keys that share a slot all but the first go to the next table
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        rest = np.arange(len(keys))[::-1]
+        while len(rest):
+            slots = self._slots(keys[rest], len(self.tables))
+            held, ranks = np.full(1 << _BITS, -1, np.int64), np.full(1 << _BITS, _NONE, np.int32)
+            held[slots], ranks[slots] = keys[rest], rest
+            self.tables.append((held, ranks))
+            rest = rest[held[slots] != keys[rest]]
+
+    @staticmethod
+    def _slots(keys: np.ndarray, table: int) -> np.ndarray:
+        odd = np.uint64((_FACTOR * (2 * table + 1)) % (1 << 64))
+        return ((keys.view(np.uint64) * odd) >> np.uint64(64 - _BITS)).view(np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a.astype(np.int64) * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (b >= 0), self.ranks[at], _NONE)
+        """The rank of each pair, _NONE where it has none."""
+        key = (a.astype(np.int64) * self.size + b).ravel()
+        found, some = np.full(len(key), _NONE, np.int32), slice(None)
+        for table, (held, ranks) in enumerate(self.tables):
+            slots = self._slots(key, table)
+            there = held[slots]
+            hit = there == key
+            found[some] = np.where(hit, ranks[slots], _NONE)
+            # only a key whose slot another one has can be in the next table
+            more = np.flatnonzero(~hit & (there >= 0))
+            if not len(more):
+                break
+            key, some = key[more], more if isinstance(some, slice) else some[more]
+        return found.reshape(a.shape)
 
-    def _merge(self, ids: np.ndarray) -> np.ndarray:
-        """Rows of symbols, -1 after their end: each step applies each row's least rank, leftmost first."""
+    def _merge(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of rows of as many symbols each: a step applies each row's least rank, leftmost first, so all rows lose a symbol."""
         n, width = ids.shape
+        ends = np.full(n, width)
         if width < 2:
-            return ids
-        ranks = np.full((n, width), _NONE, np.int32)
-        ranks[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])
-        columns = np.arange(width)
-        live = np.arange(n)
-        a, r = ids, ranks
+            return ids, ends
+        live, a, r = np.arange(n), ids, self._rank(ids[:, :-1], ids[:, 1:])
         while True:
             best = r.argmin(1)
             least = r[np.arange(len(live)), best]
             open_ = least < _NONE
             if not open_.all():
-                ids[live[~open_]] = a[~open_]
+                done = live[~open_]
+                ids[done, : a.shape[1]], ends[done] = a[~open_], a.shape[1]
                 live, a, r, best, least = live[open_], a[open_], r[open_], best[open_], least[open_]
                 if not len(live):
-                    return ids
-            rows = np.arange(len(live))
-            at = np.minimum(columns + (columns > best[:, None]), width - 1)
-            a, r = np.take_along_axis(a, at, 1), np.take_along_axis(r, at, 1)
-            a[:, -1], r[:, -1] = -1, _NONE
-            a[rows, best] = self.out[least]
-            right = np.minimum(best + 1, width - 1)
-            r[rows, best] = np.where(best + 1 < width, self._rank(a[rows, best], a[rows, right]), _NONE)
+                    return ids, ends
+            rows, made, width = np.arange(len(live)), self.out[least], a.shape[1] - 1
+            gone = np.ones(a.shape, bool)
+            gone[rows, best + 1] = False
+            a = a[gone].reshape(-1, width)
+            a[rows, best] = made
+            if width == 1:
+                ids[live, :1], ends[live] = a, 1
+                return ids, ends
+            # the pair that was merged goes; those beside it get their new ranks
+            r = r[gone[:, 1:]].reshape(-1, width - 1)
+            some = np.flatnonzero(best < width - 1)
+            r[some, best[some]] = self._rank(made[some], a[some, best[some] + 1])
             some = np.flatnonzero(best > 0)
-            r[some, best[some] - 1] = self._rank(a[some, best[some] - 1], a[some, best[some]])
+            r[some, best[some] - 1] = self._rank(a[some, best[some] - 1], made[some])
 
     def encode(self, words: list[bytes]) -> list[bytes | None]:
         """The ids of each word as little-endian uint32 bytes; None for a word of more than LONGEST bytes or none."""
         found: list[bytes | None] = [None] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((0, 4), (4, 8), (8, 12), (12, 18), (18, LONGEST)):
-            some = np.flatnonzero((sizes > low) & (sizes <= high))
+        order = np.argsort(sizes, kind="stable")
+        order = order[(sizes[order] > 0) & (sizes[order] <= LONGEST)]
+        for some in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
             for s in range(0, len(some), TOGETHER):
-                part = some[s : s + TOGETHER]
-                own = sizes[part]
-                raw = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
-                row = np.repeat(np.arange(len(part)), own)
-                column = np.arange(len(raw)) - np.repeat(np.cumsum(own) - own, own)
-                ids = np.full((len(part), high), -1, np.int32)
-                ids[row, column] = np.where(column == own[row] - 1, self.last[raw], self.inner[raw])
-                ids = self._merge(ids)
-                ends = (ids >= 0).sum(1) * 4
-                flat, step = ids.tobytes(), high * 4
-                for k, (i, end) in enumerate(zip(part.tolist(), ends.tolist(), strict=True)):
-                    found[i] = flat[k * step : k * step + end]
+                part = some[s : s + TOGETHER].tolist()
+                width = len(words[part[0]])
+                raw = np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(-1, width)
+                ids = self.inner[raw]
+                ids[:, -1] = self.last[raw[:, -1]]
+                ids, ends = self._merge(ids)
+                flat, step = ids.tobytes(), width * 4
+                starts = np.arange(len(part)) * step
+                for i, a, b in zip(part, starts.tolist(), (starts + ends * 4).tolist(), strict=True):
+                    found[i] = flat[a:b]
         return found

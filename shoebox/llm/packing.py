@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import string
 import zlib
 from collections import defaultdict
 
@@ -26,17 +28,19 @@ from shoebox.llm.merges import MergeTable
 
 #: The id that closes a text; the share of the capacity from which a bin is done.
 END, NEARLY = 1, 0.995
-#: Words that a worker remembers; tasks whose leftovers meet in one; items that one task packs together.
+#: Words after which a worker begins a new memory, keeping the last; tasks whose leftovers meet in one; items that one task packs together.
 REMEMBERED, FAN_IN, TASK_ITEMS = 300_000, 8, 50_000
 #: Bytes of text that are tokenized together.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 #: Texts of these characters alone are cut into words here; they are their own NFC and lower-case letter by letter.
-_PLAIN = regex.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u017f]*")
+_PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u012f\u0131-\u017f]*")
 #: Fixed value: how the tokenizer parts the words of a lower-cased text.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Neither space nor letter nor number: at the end of a word they are one part together.
+_MARKS = string.punctuation
 
 
 #: Fixed value: the tokenizer's own rules, which the two patterns above restate.
@@ -71,8 +75,9 @@ class WordTokenizer:
         self.path, self.tokenizer = path, None
         self.special = [t["content"] for t in held["added_tokens"]]
         self.merges = MergeTable(path, held)
+        # ids of words and of their parts: those met lately, and those met before them
         self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -86,27 +91,45 @@ class WordTokenizer:
             self.tokenizer.no_padding()
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _words(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of words; what they are made of is merged once."""
-        made = [[w] if w.isalpha() else _PARTS.findall(w) for w in new]
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        parts = self.parts
-        fresh = list({p for m in made for p in m if p not in parts})
-        for p, ids in zip(fresh, self.merges.encode([p.encode() for p in fresh]), strict=True):
-            parts[p] = ids if ids is not None else self.whole([p])[0]
-        return {w: parts[m[0]] if len(m) == 1 else b"".join([parts[p] for p in m]) for w, m in zip(new, made, strict=True)}
+    def _learn(self, new: list[str]) -> None:
+        """Enter words, and the parts they are made of, into the memory; a part is merged once."""
+        known, older = self.known, self.older
+        made, parts = [], set()
+        for w in new:
+            if w.isalpha():
+                parts.add(w)
+            elif w in older:
+                known[w] = older[w]
+            else:
+                head = w.rstrip(_MARKS)
+                m = (head, w[len(head) :]) if head.isalpha() else _PARTS.findall(w)
+                made.append((w, m))
+                parts.update(m)
+        parts = [p for p in parts if p not in known]
+        known.update((p, older[p]) for p in parts if p in older)
+        fresh = [p for p in parts if p not in older]
+        known.update(zip(fresh, self.merges.encode([p.encode() for p in fresh]), strict=True))
+        long = [p for p in fresh if known[p] is None]
+        known.update(zip(long, self.whole(long), strict=True))
+        for w, m in made:
+            known[w] = b"".join([known[p] for p in m])
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {"": b""}, self.known
+        found = list(map(self.known.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        self._learn([words[k] for k in new])
+        for k in new:
+            found[k] = self.known[words[k]]
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as little-endian uint32."""
         plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         words, codes, offsets = coded_words(pa.array([t.lower().replace("\n", " ") for t, p in zip(texts, plain, strict=True) if p], pa.string()))
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = {w: known[w] for w in words if w in known}
-        known.update(self._words(new))
-        own = [known[w] for w in words]
+        own = self._known(words)
         flat = np.frombuffer(b"".join(own), "<u4")
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         starts = np.cumsum(sizes) - sizes
