@@ -1,20 +1,23 @@
 """Hard-negative mining by a block matrix multiply over rows and dimensions.
 
 Anchors and rows are dealt into blocks, vectors into chunks of dimensions. A tile is what
-one block has in one chunk, packed once. Tiles of anchors meet tiles of rows of the same
-chunk; their products are partial score tiles, which travel in strips of few anchors and
-are added up, in int64, by block pair and strip. What is left of a whole tile is a few
-rows for each anchor and window, and those are reduced once more over all blocks.
-
-Blocks hold rows of one group of labels, so the first pass, which finds an anchor's
-positives, multiplies blocks of its own group only; the second, which finds negatives
-in the window under each positive's score, multiplies all but blocks that have no other
-label. So hardly a product is made twice, and no score is ever stored.
+one block has in one chunk, packed once in the narrowest integers that hold it. As in
+SUMMA a tile of scores stays where it is: all chunks of a block of anchors and a block of
+rows meet in one task, which multiplies them chunk by chunk and adds the products up, a
+strip of anchors at a time. What leaves the task is a few rows for each anchor and window,
+and those are reduced once more over all blocks. So rows travel once for each block of
+anchors, and no score does.
+
+Blocks of rows hold one group of labels. The first pass finds an anchor's positives and
+multiplies anchors by rows of their own label only; the second, which finds negatives in
+the window under each positive's score, leaves out anchors whose label is the only one of
+a block. So hardly a product is made twice.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,13 @@ from shoebox.llm.common import cut, forget, in_small_batches
 #: Groups of labels; a group has as many blocks as its rows need.
 GROUPS = 64
 #: Rows and anchors of a block, about; dimensions of a chunk; anchors of a strip of scores.
-ROWS, ANCHORS, CHUNK, STRIP = 2048, 512, 32, 64
+ROWS, ANCHORS, CHUNK, STRIP = 16_384, 4096, 32, 64
+#: Components of a block, about, where vectors are long.
+CELLS = 1 << 21
 _TILE = "block int, k int, rids array<bigint>, vec_ids array<bigint>, labels array<bigint>, m binary"
-_PART = "i int, j int, strip int, k int, a_rids array<bigint>, a_vecs array<bigint>, a_labels array<bigint>, wins array<struct<arid:bigint,prid:bigint,pid:bigint,score:bigint>>, b_rids array<bigint>, b_vecs array<bigint>, b_labels array<bigint>, m binary"
-_FOUND = "i int, arid bigint, anchor_id bigint, prid bigint, positive_id bigint, positive_score bigint, nrid bigint, negative_id bigint, negative_score bigint"
+_WINS = "array<struct<arid:bigint,prid:bigint,pid:bigint,score:bigint>>"
+_FIRST = "i int, arid bigint, anchor_id bigint, prid bigint, positive_id bigint, positive_score bigint"
+_FOUND = "arid bigint, anchor_id bigint, prid bigint, positive_id bigint, positive_score bigint, nrid bigint, negative_id bigint, negative_score bigint"
 
 
 def quantised(vectors: DataFrame, vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -50,10 +56,11 @@ def _pack(table: pa.Table) -> pa.Table:
     sizes = np.asarray(parts.value_lengths(), np.int64)
     m = np.zeros((len(sizes), CHUNK), np.int64)
     m[np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.asarray(parts.flatten(), np.int64)
-    block, k = table.column("block")[0], table.column("k")[0].as_py()
-    meta = [[table.column(c).to_pylist()] if k == 0 else [None] for c in ("vec_id", "label")]
-    big = pa.list_(pa.int64())
-    return pa.Table.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([k], pa.int32()), pa.array([table.column("rid").to_pylist()], big), *(pa.array(x, big) for x in meta), pa.array([m.tobytes()], pa.binary())], ["block", "k", "rids", "vec_ids", "labels", "m"])
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= m.min() and m.max() <= np.iinfo(t).max)
+    k = table.column("k")[0].as_py()
+    whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), table.column(c).combine_chunks())
+    meta = [whole(c) if k == 0 else pa.nulls(1, pa.list_(pa.int64())) for c in ("vec_id", "label")]
+    return pa.Table.from_arrays([table.column("block").slice(0, 1), table.column("k").slice(0, 1), whole("rid"), *meta, pa.array([m.astype(kind).tobytes()], pa.binary())], ["block", "k", "rids", "vec_ids", "labels", "m"])
 
 
 def tiles(rows: DataFrame, block: Column, chunk: int = CHUNK) -> DataFrame:
@@ -63,10 +70,6 @@ def tiles(rows: DataFrame, block: Column, chunk: int = CHUNK) -> DataFrame:
     return rows.select(block.alias("block"), "rid", "vec_id", "label", F.posexplode(parts).alias("k", "part")).groupBy("block", "k").applyInArrow(_pack, _TILE)
 
 
-def _matrix(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.int64).reshape(-1, CHUNK)
-
-
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T of integers, through doubles where these hold every sum exactly, else modulo 2^64."""
     most = [int(max(abs(int(x.max())), abs(int(x.min())))) if x.size else 0 for x in (a, b)]
@@ -75,75 +78,153 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _products(batches):
-    """Partial score tiles of joined tiles, in strips: an anchor's rid decides its strip, so all its chunks meet there."""
-    names = [x.split()[0] for x in re.sub(r"<.*?>+", "", _PART).split(", ")]
-    schema = pa.schema([(n, _ARROW.get(n, pa.int32())) for n in names])
-    for batch in batches:
-        for one in batch.to_pylist():
-            a, b, rids = _matrix(one["a_m"]), _matrix(one["b_m"]), np.array(one["a_rids"], np.int64)
-            strips = (rids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(ANCHORS // STRIP)
-            for s in np.unique(strips).tolist():
-                at = np.flatnonzero(strips == s)
-                mine = set(rids[at].tolist())
-                some = {n: one[n] and [one[n][x] for x in at.tolist()] for n in ("a_rids", "a_vecs", "a_labels")}
-                wins = one["wins"] and [w for w in one["wins"] if w["arid"] in mine]
-                row = {n: one.get(n) for n in names} | some | {"strip": s, "wins": wins, "m": _times(a[at], b).tobytes()}
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
-
-
-_BIG = pa.list_(pa.int64())
-_ARROW = {"a_rids": _BIG, "a_vecs": _BIG, "a_labels": _BIG, "wins": pa.list_(pa.struct([(n, pa.int64()) for n in ("arid", "prid", "pid", "score")])), "b_rids": _BIG, "b_vecs": _BIG, "b_labels": _BIG, "m": pa.binary()}
-
-
-def _added(table: pa.Table):
-    """The whole tile of a strip: its partial tiles added up, by row; and what its first chunk says of its rows."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-    first = rows[0]
-    a_rids, b_rids = np.array(first["a_rids"]), np.array(first["b_rids"])
-    total = np.frombuffer(first["m"], np.int64).reshape(len(a_rids), len(b_rids)).copy()
-    for r in rows[1:]:  # vectors that have ended are in no later chunk
-        a, b = np.array(r["a_rids"]), np.array(r["b_rids"])
-        total[np.ix_(np.searchsorted(a_rids, a), np.searchsorted(b_rids, b))] += np.frombuffer(r["m"], np.int64).reshape(len(a), len(b))
-    return first, a_rids, b_rids, total
-
-
-def _best(scores: np.ndarray, n: int) -> np.ndarray:
-    """The places of the n largest scores, of equal ones the first."""
-    some = np.arange(len(scores))
-    if len(scores) > 8 * n:
-        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - n)[len(scores) - n])
-    return some[np.argsort(~scores[some], kind="stable")][:n]
-
-
-def _reducer(positives: int, negatives: int, low: int, high: int, windows: bool):
-    """Of a strip's whole tile the first rows of each anchor, or of each anchor and window."""
-
-    def reduce(table: pa.Table) -> pa.Table:
-        tile, a_rids, b_rids, scores = _added(table)
-        vecs = np.array([x if x is not None else 0 for x in tile["b_vecs"]], np.int64)
-        none = np.array([x is None for x in tile["b_vecs"]])
-        by_id = np.lexsort((b_rids, vecs, none))  # equal scores stay in this order
-        scores, b_rids, labels = scores[:, by_id], b_rids[by_id], np.array(tile["b_labels"])[by_id]
-        ids = [tile["b_vecs"][x] for x in by_id.tolist()]
-        wins: dict[int, list[dict]] = {}
-        for w in tile["wins"] or ():
-            wins.setdefault(w["arid"], []).append(w)
-        out = []
-        for row, rid, vec, label in zip(scores, a_rids.tolist(), tile["a_vecs"], tile["a_labels"], strict=True):
-            head = {"i": tile["i"], "arid": rid, "anchor_id": vec}
-            if not windows:
-                there = np.flatnonzero((labels == label) & (b_rids != rid))
-                out += [head | {"prid": int(b_rids[x]), "positive_id": ids[x], "positive_score": int(row[x])} for x in there[_best(row[there], positives)].tolist()]
-            elif rid in wins:
-                own = wins[rid]
-                bounds = [(-(-low * w["score"] // 100), high * w["score"] // 100) for w in own]
-                there = np.flatnonzero((labels != label) & (row >= min(x for x, _ in bounds)) & (row <= max(x for _, x in bounds)))
-                for w, (least, most) in zip(own, bounds, strict=True):
-                    fit = there[(row[there] >= least) & (row[there] <= most)]
-                    out += [head | {"prid": w["prid"], "positive_id": w["pid"], "positive_score": w["score"], "nrid": int(b_rids[x]), "negative_id": ids[x], "negative_score": int(row[x])} for x in fit[_best(row[fit], negatives)].tolist()]
-        names = [x.split()[0] for x in _FOUND.split(", ")]
-        return pa.Table.from_pylist(out, schema=pa.schema([(n, pa.int32() if n == "i" else pa.int64()) for n in names]))
+class _Block(NamedTuple):
+    """Rows in the order of their labels, then ids, a missing one last; chunks are (places, matrix, largest component) by number."""
+
+    rids: np.ndarray
+    vec_ids: pa.Array
+    labels: np.ndarray
+    place: np.ndarray  #: by id alone, whatever the label
+    chunks: dict[int, tuple[np.ndarray, np.ndarray, int]]
+
+
+def _block(tiles: pa.Table) -> _Block:
+    tiles = tiles.sort_by("k").combine_chunks()
+    rids, vec_ids, labels = (tiles.column(c)[0].values for c in ("rids", "vec_ids", "labels"))
+    rids, labels, ids, none = rids.to_numpy(), labels.to_numpy(), vec_ids.fill_null(0).to_numpy(), vec_ids.is_null().to_numpy(zero_copy_only=False)
+    by_id = np.lexsort((rids, ids, none))
+    order = by_id[np.argsort(labels[by_id], kind="stable")]
+    back, place = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    back[order], place[by_id] = np.arange(len(order)), np.arange(len(order))
+    chunks = {}
+    for k, some, m in zip(tiles.column("k").to_pylist(), tiles.column("rids"), tiles.column("m"), strict=True):
+        raw = m.as_buffer()
+        x = np.frombuffer(raw, f"i{raw.size // (len(some) * CHUNK)}").reshape(-1, CHUNK)  # as wide as _pack made it
+        at = back[np.searchsorted(rids, some.values.to_numpy())]  # vectors that have ended are in no later chunk
+        by = np.argsort(at)
+        chunks[k] = at[by], x[by], max(int(x.max()), -int(x.min()))
+    return _Block(rids[order], vec_ids.take(pa.array(order)), labels[order], place[order], chunks)
+
+
+class _Scores:
+    """The tile of scores of two blocks: numbers of a kind that holds every sum exactly, or int64, modulo 2^64."""
+
+    def __init__(self, a: _Block, b: _Block):
+        both = sorted(a.chunks.keys() & b.chunks.keys())
+        most = sum(a.chunks[k][2] * b.chunks[k][2] * CHUNK for k in both)
+        self.kind, self.bound = next(((t, n) for t, n in ((np.float32, 1 << 24), (np.float64, 1 << 53)) if most < n), (np.int64, 1 << 63))
+        self.chunks = [tuple((at, x.astype(self.kind)) for at, x, _ in (a.chunks[k], b.chunks[k])) for k in both]
+
+    def of(self, rows: slice, cols: slice) -> np.ndarray:
+        """The scores of these anchors and rows, added up over the chunks."""
+        total = np.zeros((rows.stop - rows.start, cols.stop - cols.start), self.kind)
+        for (at, x), (to, y) in self.chunks:
+            r, c = slice(*np.searchsorted(at, (rows.start, rows.stop))), slice(*np.searchsorted(to, (cols.start, cols.stop)))
+            part = _times(x[r], y[c]) if self.kind is np.int64 else x[r] @ y[c].T
+            if part.shape == total.shape:
+                total += part
+            else:
+                total[np.ix_(at[r] - rows.start, to[c] - cols.start)] += part
+        return total
+
+    def limit(self, x: np.ndarray) -> np.ndarray:
+        """Limits of scores in numbers of their kind; what lies beyond every score stays beyond."""
+        return x if self.kind is np.int64 else x.clip(-self.bound, self.bound).astype(self.kind)
+
+
+def _down(x: np.ndarray) -> np.ndarray:
+    """What sorts the other way round."""
+    return ~x if x.dtype == np.int64 else -x
+
+
+def _strips(start: int, stop: int) -> Iterator[slice]:
+    return (slice(x, min(x + STRIP, stop)) for x in range(start, stop, STRIP))
+
+
+def _first(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the n largest of each row and of what equals them, row by row from the largest, of equal ones the first."""
+    least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n, None] if s.shape[1] > n else s.min(1, keepdims=True)
+    i, j = np.nonzero(s >= least)
+    order = np.lexsort((_down(s[i, j]), i))
+    return i[order], j[order]
+
+
+def _table(parts: list[list], schema: str) -> pa.Table:
+    """The columns of all parts, one after another."""
+    names = [x.split() for x in schema.split(", ")]
+    whole = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in names])
+    return pa.concat_tables([whole.empty_table(), *(pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in p], schema=whole) for p in parts)])
+
+
+def _positives(most: int) -> Callable:
+    """Of a tile of scores each anchor's first other rows of its label."""
+
+    def reduce(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return _table([], _FIRST)
+        a, b, out = _block(one), _block(two), []
+        scores, i = _Scores(a, b), one.column("i")[0].as_py()
+        for label in np.unique(b.labels):
+            (lo, hi), (c, d) = ([np.searchsorted(x.labels, label, side) for side in ("left", "right")] for x in (a, b))
+            for rows in _strips(lo, hi):
+                s = scores.of(rows, slice(c, d))
+                r, m = _first(s, most + 1)  # itself may be among them
+                other = a.rids[rows][r] != b.rids[c:d][m]
+                r, m = r[other], m[other]
+                some = np.arange(len(r)) - np.searchsorted(r, r) < most
+                r, m = r[some], m[some]
+                out.append([np.full(len(r), i, np.int32), a.rids[rows][r], a.vec_ids.take(pa.array(rows.start + r)), b.rids[c:d][m], b.vec_ids.take(pa.array(c + m)), s[r, m].astype(np.int64)])
+        return _table(out, _FIRST)
+
+    return reduce
+
+
+def _negatives(most: int, low: int, high: int) -> Callable:
+    """Of a tile of scores the first rows of other labels in each window of each anchor."""
+
+    def reduce(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return _table([], _FOUND)
+        a, b, out = _block(one), _block(two), []
+        scores, alone = _Scores(a, b), b.labels[0] == b.labels[-1]
+        wins = one.sort_by("k").column("wins").combine_chunks()[0].values
+        arid, prid, score = (wins.field(c).to_numpy() for c in ("arid", "prid", "score"))
+        bounds = [(-(-low * x // 100), high * x // 100) for x in score.tolist()]
+        there = np.flatnonzero([x <= y and x < 1 << 63 and y >= -1 << 63 for x, y in bounds])
+        by = np.argsort(a.rids)
+        own = by[np.searchsorted(a.rids[by], arid[there])]  # the anchor of a window
+        order = np.argsort(own, kind="stable")
+        there, own = there[order], own[order]
+        floor, top = (scores.limit(np.array([min(max(bounds[w][x], -1 << 63), (1 << 63) - 1) for w in there.tolist()], np.int64)) for x in (0, 1))
+        spans = [(0, np.searchsorted(a.labels, b.labels[0])), (np.searchsorted(a.labels, b.labels[0], "right"), len(a.labels))] if alone else [(0, len(a.labels))]
+        for rows in (x for span in spans for x in _strips(*span)):
+            w = slice(*np.searchsorted(own, (rows.start, rows.stop)))
+            if w.start == w.stop:
+                continue
+            s, n, mine, least, last = scores.of(rows, slice(0, len(b.rids))), rows.stop - rows.start, own[w] - rows.start, floor[w], top[w]
+            lowest, highest = scores.limit(np.full(n, (1 << 63) - 1)), scores.limit(np.full(n, -1 << 63))
+            np.minimum.at(lowest, mine, least)
+            np.maximum.at(highest, mine, last)
+            r, m = np.nonzero((s >= lowest[:, None]) & (s <= highest[:, None]))
+            if not alone:
+                other = a.labels[rows][r] != b.labels[m]
+                r, m = r[other], m[other]
+            v = s[r, m]
+            order = np.lexsort((b.place[m], _down(v), r))
+            r, m, v = r[order], m[order], v[order]
+            # a window's rows begin at the first of its anchor that is no larger than its top
+            steps = np.unique(_down(v))
+            where = lambda anchor, x: anchor * (len(steps) + 1) + np.searchsorted(steps, _down(x))  # noqa: B023, E731
+            at = np.searchsorted(where(r, v), where(mine, last))[:, None] + np.arange(most)
+            fine = at < len(r)
+            at = np.where(fine, at, 0)
+            if len(r):
+                fine &= (r[at] == mine[:, None]) & (v[at] >= least[:, None])
+            k, x = np.nonzero(fine)
+            at, k = at[k, x], there[w][k]
+            anchors, rivals = rows.start + r[at], m[at]
+            out.append([a.rids[anchors], a.vec_ids.take(pa.array(anchors)), prid[k], wins.field("pid").take(pa.array(k)), score[k], b.rids[rivals], b.vec_ids.take(pa.array(rivals)), v[at].astype(np.int64)])
+        return _table(out, _FOUND)
 
     return reduce
 
@@ -157,47 +238,40 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80,
     rows of its label; a positive's negatives are the first ``negatives`` rows of other
     labels with low * positive_score <= 100 * negative_score <= high * positive_score.
     Higher scores come first, then the smaller vec_id, a missing one last. Repeated rows are
-    rows of their own, as anchors too. An empty table gives an empty result; other columns are
-    ignored. A long vector has more chunks. A tile holds one block and one chunk, however
-    many rows share a label or a vector.
+    rows of their own, as anchors too. Rows without a label take no part. An empty table gives
+    an empty result; other columns are ignored. A long vector has more chunks. A tile holds one
+    block and one chunk, however many rows share a label or a vector; a task holds two blocks
+    and a strip of scores, so its memory stays as the table grows.
     """
-    held = cut(in_small_batches(rows).select(F.monotonically_increasing_id().alias("rid"), "vec_id", "label", "v", "anchor"), "vectors")
+    held = cut(in_small_batches(rows).where("label is not null").select(F.monotonically_increasing_id().alias("rid"), "vec_id", "label", "v", "anchor"), "vectors")
     group = F.pmod(F.xxhash64("label"), F.lit(GROUPS)).cast("int")
-    found = {r["g"]: r for r in held.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.count_if("anchor").alias("a"), F.min("label").alias("lo"), F.max("label").alias("hi")).collect()}  # GROUPS rows at most
-    n_b, n_a = ([-(-(found[g][c] if g in found else 0) // size) for g in range(GROUPS)] for c, size in (("n", ROWS), ("a", ANCHORS)))
-    from_b, from_a = (np.cumsum([0, *n]).tolist() for n in (n_b, n_a))
-
-    def of(values, g: Column) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), g + 1)
-
-    def block(n, base) -> Column:
-        return (of(base[:GROUPS], group) + F.pmod(F.xxhash64("rid"), F.greatest(of(n, group), F.lit(1)))).cast("int")
-
-    b_tiles = cut(tiles(held, block(n_b, from_b)), "tiles")
-    a_tiles = cut(tiles(held.where("anchor"), block(n_a, from_a)), "anchor_tiles")
-    # the group of a block of anchors, by its number
-    whose = F.size(F.filter(F.array(*map(F.lit, from_a[1:])), lambda x: x <= F.col("block")))
-    alone = [g in found and found[g]["lo"] == found[g]["hi"] for g in range(GROUPS)]
-
-    def scored(a: DataFrame, among: Column, windows: bool) -> DataFrame:
-        left = a.select(F.col("block").alias("i"), F.explode(among).alias("j"), "k", F.col("rids").alias("a_rids"), F.col("vec_ids").alias("a_vecs"), F.col("labels").alias("a_labels"), F.col("m").alias("a_m"), F.when(F.col("k") == 0, F.col("wins")).alias("wins"))
-        right = b_tiles.select(F.col("block").alias("j"), "k", F.col("rids").alias("b_rids"), F.col("vec_ids").alias("b_vecs"), F.col("labels").alias("b_labels"), F.col("m").alias("b_m"))
-        parts = left.join(right, ["j", "k"]).mapInArrow(_products, _PART)
-        return parts.groupBy("i", "j", "strip").applyInArrow(_reducer(positives, negatives, low, high, windows), _FOUND)
-
-    no_wins = F.lit(None).cast("array<struct<arid:bigint,prid:bigint,pid:bigint,score:bigint>>")
-    numbers = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
-    g = whose
-    own = numbers(of(from_b[:GROUPS], g), of(from_b[1:], g))
-    place = F.expr("row_number() over (partition by arid order by positive_score desc, positive_id asc nulls last, prid)")
-    first = cut(scored(a_tiles.withColumn("wins", no_wins), own, False).withColumn("place", place).where(F.col("place") <= positives), "positives")
+    sums = (F.count("*"), F.sum(F.size("v")), F.count_if("anchor"), F.sum(F.when(F.col("anchor"), F.size("v"))))
+    found = {r["g"]: [x or 0 for x in r[1:]] for r in held.groupBy(group.alias("g")).agg(*sums).collect()}  # GROUPS rows at most
+    n_b = [max(-(-n // ROWS), -(-cells // CELLS)) for n, cells, *_ in (found.get(g, (0, 0)) for g in range(GROUPS))]
+    from_b = np.cumsum([0, *n_b]).tolist()
+    n_a = max(1, -(-sum(x[2] for x in found.values()) // ANCHORS), -(-sum(x[3] for x in found.values()) // CELLS))
+
+    def of(values) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), group + 1)
+
+    def dealt(n) -> Column:
+        return F.pmod(F.xxhash64("rid"), F.greatest(n, F.lit(1)))
 
-    every = F.sequence(F.lit(0), F.lit(max(from_b[-1] - 1, 0)))
-    others = F.when(of(alone, g), F.filter(every, lambda j: (j < of(from_b[:GROUPS], g)) | (j >= of(from_b[1:], g)))).otherwise(every)
+    b_tiles = cut(tiles(held, (of(from_b[:GROUPS]) + dealt(of(n_b))).cast("int")), "tiles")
+    a_tiles = cut(tiles(held.where("anchor"), dealt(F.lit(n_a)).cast("int")), "anchor_tiles")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    parts = min(2 * n_a * max(from_b[-1], 1), 4096)  # a task has few pairs of blocks, whatever their bytes
+
+    def scored(a: DataFrame, work: Callable, schema: str) -> DataFrame:
+        left = a.select(F.col("block").alias("i"), every(from_b[-1]).alias("j"), "k", "rids", "vec_ids", "labels", "m", F.when(F.col("k") == 0, F.col("wins")).alias("wins"))
+        right = b_tiles.select(every(n_a).alias("_i"), F.col("block").alias("_j"), "k", "rids", "vec_ids", "labels", "m")
+        return left.repartition(parts, "i", "j").groupBy("i", "j").cogroup(right.repartition(parts, "_i", "_j").groupBy("_i", "_j")).applyInArrow(work, schema)
+
+    place = F.expr("row_number() over (partition by arid order by positive_score desc, positive_id asc nulls last, prid)")
+    first = cut(scored(a_tiles.withColumn("wins", F.lit(None).cast(_WINS)), _positives(positives), _FIRST).withColumn("place", place).where(F.col("place") <= positives), "positives")
     wins = first.groupBy(F.col("i").alias("block")).agg(F.collect_list(F.struct("arid", "prid", F.col("positive_id").alias("pid"), F.col("positive_score").alias("score"))).alias("wins"))
-    with_wins = a_tiles.join(wins, "block")
     rank = F.expr("row_number() over (partition by arid, prid order by negative_score desc, negative_id asc nulls last, nrid)").cast("int")
-    found_ = cut(scored(with_wins, others, True).withColumn("rank", rank).where(F.col("rank") <= negatives), "negatives")
+    found_ = cut(scored(a_tiles.join(wins, "block"), _negatives(negatives, low, high), _FOUND).withColumn("rank", rank).where(F.col("rank") <= negatives), "negatives")
     forget(held, a_tiles, b_tiles, first)
     return found_.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
